@@ -13,7 +13,7 @@ from strandloom.schema import SITE_COLUMNS, VARIANT_KEY
 
 def variant_windows(variants: DataFrame, window: int) -> DataFrame:
     """Search window of each distinct variant; repeated variant rows become ``copies``."""
-    pos0 = F.col("pos") - 1
+    pos0 = F.col("somatic_pos") - 1
     return (
         variants.groupBy(*VARIANT_KEY).agg(F.count("*").alias("copies"))
         .withColumnRenamed("pos", "somatic_pos")

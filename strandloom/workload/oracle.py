@@ -168,7 +168,7 @@ FROM (
 # --- records and reads ------------------------------------------------------------------------
 
 _step("alleles", """
-SELECT * EXCLUDE (alt, alts), unnest(alts) AS alt, unnest(range(1, len(alts) + 1)) AS allele_index
+SELECT * EXCLUDE (alt, alts), unnest(alts) AS alt, CAST(unnest(range(1, len(alts) + 1)) AS INT) AS allele_index
 FROM (
   SELECT *, CASE WHEN alt = '.' THEN [] ELSE string_split(alt, ',') END AS alts,
     CASE WHEN contains(alt, ',') THEN 'MULTI'
@@ -247,9 +247,9 @@ _step("supporting", _alleles_of("pairs"), "pairs", "blocks")
 _step("mm_groups", r"""
 SELECT *, string_split(regexp_extract(g, '^[A-Z][-+]([a-z]+)', 1), '') AS codes,
   string_split(regexp_extract(g, ',(.*)$', 1), ',') AS skips,
-  coalesce(sum(len(codes) * len(skips)) OVER (
+  CAST(coalesce(sum(len(codes) * len(skips)) OVER (
     PARTITION BY ord_block, ord_row ORDER BY gi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
-  ), 0) AS used
+  ), 0) AS BIGINT) AS used
 FROM (
   SELECT ord_block, ord_row, flag, seq, ml, unnest(string_split(rtrim(mm, ';'), ';')) AS g,
     unnest(range(1, len(string_split(rtrim(mm, ';'), ';')) + 1)) AS gi
@@ -546,7 +546,8 @@ _oracle(
 )
 _oracle("bed_text_scan", "SELECT * FROM bed", "bed")
 _oracle("source_id", """
-SELECT page_id, CASE page_id % 3 WHEN 0 THEN name WHEN 1 THEN name
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN CASE name WHEN '' THEN '.vcf' ELSE name END
+  WHEN 1 THEN name
   ELSE CASE WHEN contains(name, '.')
     THEN substr(name, 1, length(name) - position('.' IN reverse(name))) ELSE name END
   END AS source_id

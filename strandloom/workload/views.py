@@ -35,7 +35,7 @@ SELECT 'chr' || CAST(o_custkey % 3 + 1 AS {str}) AS chrom,
   CASE o_orderkey % 8 WHEN 0 THEN 'A' WHEN 1 THEN 'GC' WHEN 2 THEN 'AT' WHEN 3 THEN 'G,T'
     WHEN 4 THEN '.' WHEN 5 THEN 'C' WHEN 6 THEN 'G' ELSE 'T' END AS alt,
   CASE WHEN o_orderkey % 11 = 0 THEN '.'
-    ELSE CAST(CAST(o_totalprice AS BIGINT) % 100 AS {str}) END AS qual,
+    ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) % 100 AS {str}) END AS qual,
   CASE o_orderkey % 5 WHEN 0 THEN 'LowQual' WHEN 1 THEN '.' WHEN 2 THEN 'PASS;Germline'
     ELSE 'PASS' END AS filter,
   'SOMATIC' AS info,
@@ -51,7 +51,7 @@ FROM orders
 _READS = """
 SELECT CASE WHEN l_linestatus = 'O' THEN 'tumor' ELSE 'normal' END AS bam_source_id,
   l_orderkey * 10 + l_linenumber AS ord_block,
-  l_partkey * 1000000000 + CAST(l_extendedprice * 100 AS BIGINT) AS ord_row,
+  l_partkey * 1000000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS ord_row,
   'q' || CAST(l_orderkey AS {str}) || '/' || CAST(l_linenumber AS {str}) AS qname,
   CAST(CASE l_partkey % 16 WHEN 0 THEN 4 WHEN 1 THEN 256 WHEN 2 THEN 2048 WHEN 3 THEN 512
     WHEN 4 THEN 1024 WHEN 5 THEN 16 WHEN 6 THEN 16 WHEN 7 THEN 16 WHEN 8 THEN 16 WHEN 9 THEN 16
