@@ -72,16 +72,25 @@ def base_at(seq: Column, index: Column) -> Column:
 _TOKEN_PARTS = re.compile(r"(\d+)([MIDNSHP=X])")
 
 
+def _advances(ops: str) -> np.ndarray:
+    """Lookup by character code: 1 for the given operations."""
+    table = np.zeros(128, dtype=np.int64)
+    table[[ord(op) for op in ops]] = 1
+    return table
+
+
+_ON_QUERY, _ON_REF, _ON_BOTH = _advances("M=XIS"), _advances("M=XDN"), _advances("M=X")
+
+
 def aligned_blocks(cigar: str, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gap-free stretches of one alignment: query starts, reference starts, lengths."""
     parts = _TOKEN_PARTS.findall(cigar or "")
     lengths = np.array([int(n) for n, _ in parts], dtype=np.int64)
-    ops = np.array([op for _, op in parts], dtype="U1")
-    both = np.isin(ops, ["M", "=", "X"])
-    query_step = np.where(both | np.isin(ops, ["I", "S"]), lengths, 0)
-    ref_step = np.where(both | np.isin(ops, ["D", "N"]), lengths, 0)
-    query_start = np.cumsum(query_step) - query_step
-    ref_start = start + np.cumsum(ref_step) - ref_step
+    ops = np.frombuffer("".join(op for _, op in parts).encode("ascii"), dtype=np.uint8)
+    query_step, ref_step = lengths * _ON_QUERY[ops], lengths * _ON_REF[ops]
+    both = _ON_BOTH[ops] == 1
+    query_start = query_step.cumsum() - query_step
+    ref_start = start + ref_step.cumsum() - ref_step
     return query_start[both], ref_start[both], lengths[both]
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandloom.session import materialize
+
 # After setting the HEAVY_KEYS most frequent keys aside, no other key can own more than
 # 1 / (HEAVY_KEYS + 1) of the rows.
 HEAVY_KEYS = 1000
@@ -35,10 +37,18 @@ def attach_by_key(
 ) -> DataFrame:
     """Left join ``attributes`` (one row per key) to ``left``, whatever the key frequencies.
 
-    ``weight`` is the number of ``left`` rows a key owns. The heaviest keys are joined by
-    broadcast, at most HEAVY_KEYS of them. Their rows then pass the shuffled join under a spread
-    key, so they land on many tasks instead of one.
+    ``attributes`` is written once, since it usually is an aggregate of ``left``. If its counted
+    size allows, it is broadcast and ``left`` is not shuffled at all.
+
+    Otherwise ``weight``, the number of ``left`` rows a key owns, decides. The heaviest keys are
+    joined by broadcast, at most HEAVY_KEYS of them. Their rows then pass the shuffled join under a
+    spread key, so they land on many tasks instead of one.
     """
+    attributes = materialize(attributes, "attributes")
+    if fits_broadcast(attributes):
+        return left.join(F.broadcast(attributes), on, "left").select(
+            *left.columns, *[c for c in attributes.columns if c not in on]
+        )
     payload = [c for c in attributes.columns if c not in on]
     packed = attributes.select(*on, F.struct(*payload).alias("_payload"))
     heavy = (

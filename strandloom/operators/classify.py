@@ -190,10 +190,13 @@ class Evaluation:
 
 
 def evaluate(df: DataFrame, features: list[str], key: list[str]) -> Evaluation:
-    """Impute, scale, split, fit and score the held-out rows."""
-    prepared = stratified_split(standardize(impute_medians(df, features), features), key)
-    table = materialize(prepared.select(*key, *[c for c in ["label"] if c not in key],
-                                        *features, "is_test"), "classifier-rows")
+    """Impute, scale, split, fit and score the held-out rows.
+
+    ``df`` is passed over several times and should be a stored table.
+    """
+    columns = [*key, *[c for c in ("label", *features) if c not in key], "is_test"]
+    prepared = standardize(impute_medians(df, features), features)
+    table = materialize(stratified_split(prepared, key).select(*columns), "classifier-rows")
     model = fit_balanced_logistic(table.where(~F.col("is_test")), features)
     scored = table.where("is_test").withColumn("score", model.probability())
     roc = roc_points(scored)

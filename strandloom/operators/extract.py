@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strandloom.config import RunConfig
 from strandloom.functions import alignment as A, basemods as B, sites as S
-from strandloom.operators.overlap import BIN_SIZE, limit_depth, overlap_join
+from strandloom.operators.overlap import bin_size_for, limit_depth, overlap_join
 from strandloom.operators.reads import fetchable_reads, with_haplotype, with_span
 from strandloom.schema import SITE_COLUMNS, VARIANT_KEY
 
@@ -33,7 +33,7 @@ def reads_near_variants(
     spans = with_span(fetchable_reads(reads)).withColumnRenamed("rname", "chrom")
     hits = overlap_join(
         spans, variant_windows(variants, window),
-        bin_size=max(BIN_SIZE, 2 * window), spread_by=["bam_source_id", "qname", "pos"],
+        bin_size=bin_size_for(spans, 2 * window), spread_by=["bam_source_id", "qname", "pos"],
     ).withColumn("place", F.struct("pos", "ord"))
     group = ["chrom", "somatic_pos", "ref", "alt", "variant_type", "vcf_source_id",
              "bam_source_id"]
@@ -41,19 +41,23 @@ def reads_near_variants(
 
 
 def allele_support(hits: DataFrame) -> DataFrame:
-    """Read base at the variant and the allele it supports; undecided reads leave."""
+    """Read base at the variant and the allele it supports; undecided reads leave.
+
+    Reads that do not reach over the variant leave first, by their span alone. The call is made as a list of at most one entry and then unpacked. So the CIGAR is walked once
+    per pair, after the join: a plain filter on the result would be pushed into the join
+    condition, with a copy of the walk for each use.
+    """
     index = A.query_index_at(F.col("cigar"), F.col("pos"), F.col("somatic_pos"))
-    base = F.when(F.col("_index") < 0, "?").otherwise(A.base_at(F.col("seq"), F.col("_index")))
-    return (
-        hits.withColumn("_index", index)
-        .withColumn("somatic_base_at_variant", base)
-        .withColumn(
-            "somatic_allele_type",
-            S.allele_type(F.col("somatic_base_at_variant"), F.col("ref"), F.col("alt")),
-        )
-        .where((F.col("_index") >= 0) & (F.col("somatic_allele_type") != "unknown"))
-        .drop("_index")
-    )
+    placed = F.filter(F.array(index), lambda i: i >= 0)
+    based = F.transform(placed, lambda i: A.base_at(F.col("seq"), i))
+    called = F.transform(based, lambda base: F.struct(
+        base.alias("somatic_base_at_variant"),
+        S.allele_type(base, F.col("ref"), F.col("alt")).alias("somatic_allele_type"),
+    ))
+    decided = F.filter(called, lambda call: call["somatic_allele_type"] != "unknown")
+    pos0 = F.col("somatic_pos") - 1
+    reaching = hits.where((F.col("start0") <= pos0) & (F.col("end0") > pos0))
+    return reaching.select("*", F.inline(decided))
 
 
 def sites_from_hits(hits: DataFrame, window: int, high: float, low: float) -> DataFrame:

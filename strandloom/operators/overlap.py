@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.operators.balance import attach_by_key, fits_broadcast, spread_bins
@@ -12,6 +14,16 @@ HOT_BIN_ROWS = 100_000
 RANK_PARTS = 64
 
 
+def bin_size_for(reads: DataFrame, width: int, start: str = "start0", end: str = "end0") -> int:
+    """Power of two near the wider of a window and a read, judged by the first reads.
+
+    The size only decides how many candidates share a bin, never which pairs are found.
+    """
+    mean = reads.limit(1000).agg(F.avg(F.col(end) - F.col(start))).first()[0] or 1.0
+    wanted = min(max(width, mean, 256), 1 << 20)
+    return 1 << math.ceil(math.log2(wanted))
+
+
 def _with_bins(df: DataFrame, start: str, end: str, size: int, first: str) -> DataFrame:
     """One row per bin the half-open interval touches, plus its first bin."""
     low = F.floor(F.col(start) / size).cast("int")
@@ -25,7 +37,7 @@ def overlap_join(
     read_span: tuple[str, str] = ("start0", "end0"),
     window_span: tuple[str, str] = ("low0", "high0"),
     chrom: str = "chrom",
-    bin_size: int = BIN_SIZE,
+    bin_size: int | None = None,
     hot_rows: int = HOT_BIN_ROWS,
     small_windows: bool | None = None,
     spread_by: list[str] | None = None,
@@ -39,6 +51,7 @@ def overlap_join(
     """
     r0, r1 = read_span
     w0, w1 = window_span
+    bin_size = bin_size or BIN_SIZE
     r = _with_bins(reads, r0, r1, bin_size, "_read_bin")
     w = _with_bins(windows, w0, w1, bin_size, "_window_bin")
     keys = [chrom, "_bin"]
@@ -85,22 +98,23 @@ def points_in_regions(
     return p.join(r, match, "left_semi").select(*points.columns)
 
 
-def depth_cutoffs(hits: DataFrame, group: list[str], order: str, cap: int) -> DataFrame:
-    """Last admitted ``order`` value of every group with more than ``cap`` rows.
+def depth_cutoffs(
+    narrow: DataFrame, crowded: DataFrame, group: list[str], order: str, cap: int
+) -> DataFrame:
+    """Last admitted ``order`` value of every group in ``crowded``.
 
     Groups are ranked in two steps: the first ``cap`` rows of each of RANK_PARTS parts, then the
-    first ``cap`` of those. No task sees more than RANK_PARTS * cap rows of a group, and the first
-    step only runs on groups over the limit.
+    first ``cap`` of those. No task sees more than RANK_PARTS * cap rows of a group.
     """
-    narrow = hits.select(*group, order)
-    over = narrow.groupBy(*group).agg(F.count("*").alias("_rows")).where(F.col("_rows") > cap)
-    crowded = attach_by_key(narrow, over, group, "_rows", [order]).where(
-        F.col("_rows").isNotNull()
-    ).withColumn("_part", F.pmod(F.xxhash64(order), F.lit(RANK_PARTS)))
+    rows = (
+        attach_by_key(narrow, crowded, group, "_rows", [order])
+        .where(F.col("_rows").isNotNull())
+        .withColumn("_part", F.pmod(F.xxhash64(order), F.lit(RANK_PARTS)))
+    )
     in_part = Window.partitionBy(*group, "_part").orderBy(order)
     in_group = Window.partitionBy(*group).orderBy(order)
     return (
-        crowded.withColumn("_rank", F.row_number().over(in_part)).where(F.col("_rank") <= cap)
+        rows.withColumn("_rank", F.row_number().over(in_part)).where(F.col("_rank") <= cap)
         .withColumn("_rank", F.row_number().over(in_group)).where(F.col("_rank") == cap)
         .select(*group, F.col(order).alias("_cutoff"), "_rows")
     )
@@ -109,16 +123,18 @@ def depth_cutoffs(hits: DataFrame, group: list[str], order: str, cap: int) -> Da
 def limit_depth(hits: DataFrame, group: list[str], order: str, cap: int) -> DataFrame:
     """First ``cap`` rows of every group in ``order``, which must be unique within a group.
 
-    The limits are found on the narrow columns and written once. Without a crowded group the wide
-    rows pass untouched; otherwise they meet a table with one row per crowded group.
+    Rows are counted per group on the narrow columns first. Without a crowded group that is all,
+    and the wide rows pass untouched. Otherwise the wide rows meet a table with one row per
+    crowded group; they are shuffled only if that table is too large to broadcast.
     """
-    cutoffs = materialize(depth_cutoffs(hits, group, order, cap), "depth-cutoffs")
-    if cutoffs.isEmpty():
+    narrow = hits.select(*group, order)
+    counts = narrow.groupBy(*group).agg(F.count("*").alias("_rows"))
+    crowded = materialize(counts.where(F.col("_rows") > cap), "crowded-groups")
+    if crowded.isEmpty():
         return hits
-    if fits_broadcast(cutoffs):
-        joined = hits.join(F.broadcast(cutoffs.drop("_rows")), group, "left")
-    else:
-        joined = attach_by_key(hits, cutoffs, group, "_rows", [order]).drop("_rows")
-    return joined.where(
-        F.col("_cutoff").isNull() | (F.col(order) <= F.col("_cutoff"))
-    ).select(*hits.columns)
+    cutoffs = depth_cutoffs(narrow, crowded, group, order, cap)
+    return (
+        attach_by_key(hits, cutoffs, group, "_rows", [order])
+        .where(F.col("_cutoff").isNull() | (F.col(order) <= F.col("_cutoff")))
+        .select(*hits.columns)
+    )

@@ -16,10 +16,16 @@ def fetchable_reads(reads: DataFrame) -> DataFrame:
 
 
 def with_span(reads: DataFrame) -> DataFrame:
-    """0-based half-open reference span; a read without aligned bases covers one position."""
+    """0-based half-open reference span; a read without aligned bases covers one position.
+
+    Both ends are declared non-null: else a join on them would add null checks below this step,
+    each with its own walk along the CIGAR. A read without a position gets an empty span.
+    """
     start = F.col("pos") - 1
     span = F.greatest(A.reference_span(F.col("cigar")), F.lit(1))
-    return reads.withColumn("start0", start).withColumn("end0", start + span)
+    return reads.withColumn("start0", F.coalesce(start, F.lit(0))).withColumn(
+        "end0", F.coalesce(start + span, F.lit(0))
+    )
 
 
 def with_haplotype(reads: DataFrame) -> DataFrame:

@@ -168,7 +168,7 @@ def bootstrap_p(
         out = draws[[*key]].copy()
         for side in ("tp", "fp"):
             number = np.asarray(draws[f"{side}_draws"].iloc[0], dtype=np.int64)
-            out[f"{side}_sums"] = [np.array([rng.multinomial(n, share) @ level for n in number])]
+            out[f"{side}_sums"] = [rng.multinomial(number, share) @ level]
         return out
 
     shares = sizes.groupBy(*key).applyInPandas(

@@ -14,6 +14,7 @@ from strandloom.operators import (
 )
 from strandloom.plans.analyze import analyze
 from strandloom.schema import CONTRAST_KEY, FEATURES, SITE_COLUMNS, SUMMARY_COLUMNS
+from strandloom.session import materialize
 from strandloom.sinks import reports
 from strandloom.sources.alignments import sam_reads
 from strandloom.sources.variants import bed_regions, vcf_records
@@ -74,6 +75,11 @@ def features(
     return C.merged_features(contrast(spark, d), details, ["label"])
 
 
+def stored_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features as a written table, for queries that pass over them several times."""
+    return materialize(features(spark, d), "features")
+
+
 def records(spark: SparkSession, d: str) -> DataFrame:
     return spark_view(spark, d, "records")
 
@@ -254,14 +260,14 @@ def tpr_fpr_grid(spark, d):
 @query
 def descriptive_stats(spark, d):
     return rounded(
-        D.descriptive_stats(features(spark, d), FEATURES), "mean", "median", "std", "min", "max"
+        D.descriptive_stats(stored_features(spark, d), FEATURES), "mean", "median", "std", "min", "max"
     )
 
 
 @query
 def describe(spark, d):
     return rounded(
-        D.describe(contrast(spark, d), C.CONTRAST),
+        D.describe(materialize(contrast(spark, d), "contrast"), C.CONTRAST),
         "mean", "std", "min", "q25", "q50", "q75", "max",
     )
 
@@ -273,12 +279,13 @@ def corr_matrix(spark, d):
 
 @query
 def histogram(spark, d):
-    return rounded(D.histogram(features(spark, d), FEATURES, 30), "left_edge")
+    return rounded(D.histogram(stored_features(spark, d), FEATURES, 30), "left_edge")
 
 
 @query
 def histogram_shared(spark, d):
-    return rounded(D.histogram(contrast(spark, d), C.CONTRAST, 50, shared=True), "left_edge")
+    stored = materialize(contrast(spark, d), "contrast")
+    return rounded(D.histogram(stored, C.CONTRAST, 50, shared=True), "left_edge")
 
 
 @query
@@ -320,13 +327,13 @@ def bonferroni(spark, d):
 
 @query
 def bootstrap_p(spark, d):
-    df = features(spark, d).withColumn("group", F.col("variant_type"))
+    df = stored_features(spark, d).withColumn("group", F.col("variant_type"))
     return T.bootstrap_p(df, FEATURES, ["group"], n_boot=200, seed=1)
 
 
 @query
 def feature_stats(spark, d):
-    return T.feature_tests(features(spark, d), FEATURES, "haplotype_tag", n_boot=100, seed=1)
+    return T.feature_tests(stored_features(spark, d), FEATURES, "haplotype_tag", n_boot=100, seed=1)
 
 
 @query
@@ -349,29 +356,29 @@ def dedup(spark, d):
 
 @query
 def median_impute_scale(spark, d):
-    ready = K.standardize(K.impute_medians(features(spark, d), FEATURES), FEATURES)
+    ready = K.standardize(K.impute_medians(stored_features(spark, d), FEATURES), FEATURES)
     return rounded(ready.select("label", *CONTRAST_KEY, *FEATURES), *FEATURES)
 
 
 @query
 def stratified_split(spark, d):
-    split = K.stratified_split(features(spark, d), [*CONTRAST_KEY, "label"])
+    split = K.stratified_split(stored_features(spark, d), [*CONTRAST_KEY, "label"])
     return split.groupBy("label", "is_test").agg(F.count("*").alias("rows"))
 
 
 @query
 def logreg_metrics(spark, d):
-    result = K.evaluate(features(spark, d), FEATURES, [*CONTRAST_KEY, "label"])
+    result = K.evaluate(stored_features(spark, d), FEATURES, [*CONTRAST_KEY, "label"])
     return result.metrics
 
 
 @query
 def logreg_coefficients(spark, d):
-    return K.evaluate(features(spark, d), FEATURES, [*CONTRAST_KEY, "label"]).coefficients
+    return K.evaluate(stored_features(spark, d), FEATURES, [*CONTRAST_KEY, "label"]).coefficients
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return features(spark, d).withColumn("score", F.round("mean_methylation", 4))
+    return stored_features(spark, d).withColumn("score", F.round("mean_methylation", 4))
 
 
 @query
@@ -567,6 +574,7 @@ def _pairs(spark: SparkSession, d: str, **options) -> DataFrame:
     spans = R.with_span(R.fetchable_reads(reads(spark, d))).withColumnRenamed("rname", "chrom")
     narrow = spans.select("bam_source_id", "chrom", "qname", "pos", "start0", "end0", "ord")
     windows = E.variant_windows(variants(spark, d), WINDOW).drop("copies")
+    options.setdefault("bin_size", O.bin_size_for(narrow, 2 * WINDOW))
     return O.overlap_join(narrow, windows, **options)
 
 
@@ -600,7 +608,9 @@ def depth_cap_topn(spark, d):
 @query
 def allele_call(spark, d):
     spans = R.with_span(reads(spark, d)).withColumnRenamed("rname", "chrom")
-    pairs = O.overlap_join(spans, E.variant_windows(variants(spark, d), 1))
+    pairs = O.overlap_join(
+        spans, E.variant_windows(variants(spark, d), 1), bin_size=O.bin_size_for(spans, 2)
+    )
     return E.allele_support(pairs).select(
         "qname", "chrom", "somatic_pos", "ref", "alt", "vcf_source_id",
         "somatic_base_at_variant", "somatic_allele_type",

@@ -116,7 +116,19 @@ def spark_view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     for place, value in (("{str}", "string"), ("{float}", "float"), ("{arr}", "array"),
                          ("{slice}", "slice")):
         text = text.replace(place, value)
-    return spark.sql(text, **{base: spark.read.parquet(f"{folder}/{base}.parquet")})
+    table = spark.read.parquet(f"{folder}/{base}.parquet")
+    if name in ("aln", "sites", "sparse_sites"):
+        table = _spread(table)
+    return spark.sql(text, **{base: table})
+
+
+def _spread(table: DataFrame) -> DataFrame:
+    """At least one split per core for the work on each row.
+
+    Files of real size come in many splits; a small test table is a single one.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if len(table.inputFiles()) >= cores else table.repartition(cores)
 
 
 def duckdb_view(name: str) -> str:
