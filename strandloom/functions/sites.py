@@ -105,15 +105,12 @@ def asm_mode(normal: Column, tumor: Column, low: float = 0.2, high: float = 0.8)
     if low <= high:
         return mode
     # Crossed bounds: a value can be below one and above the other, and nothing is in between.
-    sides = {
-        name: (F.lit(True) & (normal < F.lit(low) if n == "low" else normal > F.lit(high))
-               & (tumor < F.lit(low) if t == "low" else tumor > F.lit(high)))
-        for name, n, t in (
-            ("low→high", "low", "high"), ("high→low", "high", "low"),
-            ("low→low", "low", "low"), ("high→high", "high", "high"),
-        )
-    }
-    paired = F.coalesce(*[F.when(test, name) for name, test in sides.items()], F.lit("other"))
+    # A pair that fits several modes takes the first: a change before a constant level.
+    fits = {"low": lambda c: c < F.lit(low), "high": lambda c: c > F.lit(high)}
+    ranked = [("low", "high"), ("high", "low"), ("low", "low"), ("high", "high")]
+    paired = F.coalesce(
+        *[F.when(fits[n](normal) & fits[t](tumor), f"{n}→{t}") for n, t in ranked], F.lit("other")
+    )
     return F.when(normal.isNull() | tumor.isNull(), mode).otherwise(paired)
 
 

@@ -50,7 +50,9 @@ def attach_by_key(
             *left.columns, *[c for c in attributes.columns if c not in on]
         )
     payload = [c for c in attributes.columns if c not in on]
-    packed = attributes.select(*on, F.struct(*payload).alias("_payload"))
+    # Always 0, but not a constant to the optimizer: a constant would leave the join key.
+    own_part = F.when(F.col(weight) < 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    packed = attributes.select(*on, own_part.alias("_part"), F.struct(*payload).alias("_payload"))
     heavy = (
         attributes.orderBy(F.desc(weight), *on).limit(HEAVY_KEYS)
         .select(*on, F.struct(*payload).alias("_heavy"))
@@ -60,9 +62,7 @@ def attach_by_key(
         F.when(F.col("_heavy").isNull(), F.lit(0).cast("long"))
         .otherwise(F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)) + 1),
     )
-    joined = tagged.join(
-        packed.withColumn("_part", F.lit(0).cast("long")), [*on, "_part"], "left"
-    )
+    joined = tagged.join(packed, [*on, "_part"], "left")
     found = F.coalesce("_heavy", "_payload")
     return joined.select(
         *[joined[c] for c in left.columns], *[found[c].alias(c) for c in payload]
