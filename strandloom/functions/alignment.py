@@ -96,13 +96,20 @@ def aligned_blocks(cigar: str, start: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 @F.arrow_udf(BLOCKS)
 def cigar_blocks(cigar: pa.Array, start: pa.Array) -> pa.Array:
-    """Aligned blocks of every read in the batch."""
+    """Aligned blocks of every read in the batch.
+
+    Declared non-deterministic, although it is not: unpacking a deterministic call would add a
+    filter with a second copy of it.
+    """
     rows = [
         aligned_blocks(c, s) for c, s in zip(cigar.to_pylist(), start.to_pylist())
     ]
     return list_of_structs(rows, ["query_start", "ref_start", "length"])
 
 
+cigar_blocks = cigar_blocks.asNondeterministic()
+
+
 def list_of_structs(rows: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.Array:
     """Column of per-row parallel int arrays as one Arrow list-of-struct array."""
     sizes = [len(row[0]) for row in rows]

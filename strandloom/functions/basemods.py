@@ -90,6 +90,9 @@ def methylation_calls(
     """5mC and 5hmC calls of every read with a reference position in ``low..high``.
 
     ``start`` and the result are 1-based. A base with both codes gives two calls.
+
+    Declared non-deterministic, although it is not: unpacking a deterministic call would add a
+    filter with a second copy of it, and push that below joins to reads that need no decoding.
     """
     bounds = ml.offsets.to_numpy()
     values = ml.values.to_numpy(zero_copy_only=False)
@@ -103,3 +106,6 @@ def methylation_calls(
         for i, (s, f, p, c, m, lo, hi) in enumerate(plain)
     ]
     return list_of_structs(rows, ["ref_pos", "qual"])
+
+
+methylation_calls = methylation_calls.asNondeterministic()

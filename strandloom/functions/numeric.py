@@ -9,8 +9,9 @@ from pyspark.sql import Column, functions as F, types as T
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Fixed-point text; exact ties round to the even digit, as C's ``printf`` does."""
-    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+    """Fixed-point text, NULL for NULL; exact ties round to the even digit, as in C."""
+    number = F.bround(value.cast("double"), digits)
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", number))
 
 
 def ratio(top: Column, bottom: Column) -> Column:

@@ -21,11 +21,11 @@ def sam_reads(lines: DataFrame, sample: str | None = None) -> DataFrame:
     parsed = (
         lines.where(~F.col("value").startswith("@") & (F.col("value") != ""))
         .select("ord", F.split("value", "\t").alias("f"))
-        .withColumn("tags", F.slice("f", 12, 2147483647))
+        .withColumn("tags", F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))))
     )
     ml = F.transform(
         F.filter(F.split(F.coalesce(_tag("ML:"), _tag("Ml:")), ","), lambda v: v.rlike(r"^\d+$")),
-        lambda v: v.cast("int"),
+        lambda v: v.try_cast("int"),
     )
     field = lambda i: F.get("f", F.lit(i))
     hp = F.get(F.filter("tags", lambda t: t.startswith("HP:")), F.lit(0))
@@ -33,10 +33,10 @@ def sam_reads(lines: DataFrame, sample: str | None = None) -> DataFrame:
         "bam_source_id": F.lit(sample).cast("string"),
         "ord": F.col("ord"),
         "qname": field(0),
-        "flag": field(1).cast("int"),
+        "flag": field(1).try_cast("int"),
         "rname": field(2),
-        "pos": field(3).cast("int"),
-        "mapq": field(4).cast("int"),
+        "pos": field(3).try_cast("int"),
+        "mapq": field(4).try_cast("int"),
         "cigar": field(5),
         "seq": F.when(field(9) == "*", "").otherwise(field(9)),
         "mm": F.coalesce(_tag("MM:"), _tag("Mm:")),

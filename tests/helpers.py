@@ -37,7 +37,7 @@ def site_rows(spark, *rows):
 
 
 def read_rows(spark, *rows):
-    numbered = [dict(row, ord=row.get("ord", (0, i))) for i, row in enumerate(rows)]
+    numbered = [dict(row, ord=(0, i)) for i, row in enumerate(rows)]
     return table(spark, READS, READ, *numbered)
 
 
