@@ -7,6 +7,8 @@ import logging
 import os
 import sys
 
+from pyspark.errors import PySparkException
+
 from strandloom.config import LOG_LEVELS, RunConfig
 from strandloom.operators import grids as G
 from strandloom.session import build_session
@@ -137,7 +139,7 @@ def main(argv: list[str] | None = None) -> int:
     mode = "overwrite" if args.overwrite else "errorifexists"
     try:
         return _dispatch(args, mode)
-    except (ValueError, KeyError, OSError) as error:
+    except (ValueError, KeyError, OSError, PySparkException) as error:
         print(f"error: {error}", file=sys.stderr)
         return 1
 
