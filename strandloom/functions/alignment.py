@@ -6,8 +6,6 @@ in the CIGAR length also for long reads with tens of thousands of operations.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
@@ -69,7 +67,8 @@ def base_at(seq: Column, index: Column) -> Column:
     return F.when(inside, F.upper(F.substring(seq, index + 1, F.lit(1)))).otherwise("N")
 
 
-_TOKEN_PARTS = re.compile(r"(\d+)([MIDNSHP=X])")
+OPERATIONS = "MIDNSHP=X"
+_TO_BLANKS = str.maketrans(OPERATIONS, " " * len(OPERATIONS))
 
 
 def _advances(ops: str) -> np.ndarray:
@@ -79,14 +78,17 @@ def _advances(ops: str) -> np.ndarray:
     return table
 
 
+_NO_BLOCKS = (np.empty(0, np.int64),) * 3
 _ON_QUERY, _ON_REF, _ON_BOTH = _advances("M=XIS"), _advances("M=XDN"), _advances("M=X")
 
 
 def aligned_blocks(cigar: str, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gap-free stretches of one alignment: query starts, reference starts, lengths."""
-    parts = _TOKEN_PARTS.findall(cigar or "")
-    lengths = np.array([int(n) for n, _ in parts], dtype=np.int64)
-    ops = np.frombuffer("".join(op for _, op in parts).encode("ascii"), dtype=np.uint8)
+    if not cigar or cigar == "*":
+        return _NO_BLOCKS
+    lengths = np.fromstring(cigar.translate(_TO_BLANKS), dtype=np.int64, sep=" ")
+    codes = np.frombuffer(cigar.encode("ascii"), dtype=np.uint8)
+    ops = codes[codes > ord("9")]
     query_step, ref_step = lengths * _ON_QUERY[ops], lengths * _ON_REF[ops]
     both = _ON_BOTH[ops] == 1
     query_start = query_step.cumsum() - query_step

@@ -45,7 +45,7 @@ def _read_calls(seq: str, reverse: bool, mm: str, ml) -> tuple[np.ndarray, np.nd
             break
         base, codes, skips = group.groups()
         codes = list(codes) if codes.isalpha() else [codes]
-        steps = np.array([int(x) for x in skips.split(",") if x], dtype=np.int64)
+        steps = np.fromstring(skips[1:], dtype=np.int64, sep=",") if skips else nothing[0]
         first, used = used, used + len(steps) * len(codes)
         if quals is not None and used > len(quals):
             return nothing
