@@ -78,22 +78,32 @@ def _advances(ops: str) -> np.ndarray:
     return table
 
 
-_NO_BLOCKS = (np.empty(0, np.int64),) * 3
 _ON_QUERY, _ON_REF, _ON_BOTH = _advances("M=XIS"), _advances("M=XDN"), _advances("M=X")
 
 
-def aligned_blocks(cigar: str, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gap-free stretches of one alignment: query starts, reference starts, lengths."""
-    if not cigar or cigar == "*":
-        return _NO_BLOCKS
-    lengths = np.fromstring(cigar.translate(_TO_BLANKS), dtype=np.int64, sep=" ")
-    codes = np.frombuffer(cigar.encode("ascii"), dtype=np.uint8)
-    ops = codes[codes > ord("9")]
-    query_step, ref_step = lengths * _ON_QUERY[ops], lengths * _ON_REF[ops]
+def aligned_blocks(cigars: list[str], starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Gap-free stretches of many alignments: row, query start, reference start, length.
+
+    All operations are laid out in one array; positions within a read are running sums minus the
+    sum at the read's first operation.
+    """
+    cigars = ["" if c is None or c == "*" else c for c in cigars]
+    joined = "".join(cigars)
+    codes = np.frombuffer(joined.encode("ascii"), dtype=np.uint8)
+    is_op = codes > ord("9")
+    ops = codes[is_op]
+    lengths = np.fromstring(joined.translate(_TO_BLANKS), dtype=np.int64, sep=" ")
+    row = np.repeat(np.arange(len(cigars)), [len(c) for c in cigars])[is_op]
+    first = np.searchsorted(row, row, side="left")
+    query, ref = lengths * _ON_QUERY[ops], lengths * _ON_REF[ops]
+    query_end, ref_end = query.cumsum(), ref.cumsum()
+    query_at, ref_at = query_end - query, ref_end - ref
     both = _ON_BOTH[ops] == 1
-    query_start = query_step.cumsum() - query_step
-    ref_start = start + ref_step.cumsum() - ref_step
-    return query_start[both], ref_start[both], lengths[both]
+    row, first = row[both], first[both]
+    return (
+        row, query_at[both] - query_at[first], starts[row] + ref_at[both] - ref_at[first],
+        lengths[both],
+    )
 
 
 @F.arrow_udf(BLOCKS)
@@ -103,26 +113,19 @@ def cigar_blocks(cigar: pa.Array, start: pa.Array) -> pa.Array:
     Declared non-deterministic, although it is not: unpacking a deterministic call would add a
     filter with a second copy of it.
     """
-    rows = [
-        aligned_blocks(c, s) for c, s in zip(cigar.to_pylist(), start.to_pylist())
-    ]
-    return list_of_structs(rows, ["query_start", "ref_start", "length"])
+    row, *columns = aligned_blocks(cigar.to_pylist(), start.to_numpy(zero_copy_only=False))
+    return list_of_structs(len(cigar), row, columns, ["query_start", "ref_start", "length"])
 
 
 cigar_blocks = cigar_blocks.asNondeterministic()
 
 
-def list_of_structs(rows: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.Array:
-    """Column of per-row parallel int arrays as one Arrow list-of-struct array."""
-    sizes = [len(row[0]) for row in rows]
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    columns = [
-        pa.array(
-            np.concatenate([row[i] for row in rows]).astype(np.int32)
-            if rows else np.empty(0, np.int32)
-        )
-        for i in range(len(names))
-    ]
+def list_of_structs(
+    size: int, row: np.ndarray, columns: list[np.ndarray], names: list[str]
+) -> pa.Array:
+    """Parallel int columns, ordered by row number, as one list-of-struct value per row."""
+    offsets = np.searchsorted(row, np.arange(size + 1), side="left").astype(np.int32)
+    values = [pa.array(c.astype(np.int32)) for c in columns]
     return pa.ListArray.from_arrays(
-        pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names=names)
+        pa.array(offsets), pa.StructArray.from_arrays(values, names=names)
     )

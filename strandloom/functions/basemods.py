@@ -1,7 +1,7 @@
 """Base-modification tags (MM/ML) decoded to reference positions.
 
 A read's calls are stored as skip counts along the original read, so finding them needs the
-whole sequence. That runs in Arrow batches with NumPy on the positions of one read at a time;
+whole sequence. That runs in Arrow batches, with array operations over many reads at once;
 everything before and after it stays in Spark expressions.
 """
 
@@ -28,58 +28,98 @@ NO_QUALITY = -1
 REVERSE_FLAG = 16
 
 
-def _read_calls(seq: str, reverse: bool, mm: str, ml) -> tuple[np.ndarray, np.ndarray]:
-    """Read indices and qualities of the kept calls of one read.
+def _groups(rows: list[int], mms: list[str]) -> list[tuple]:
+    """Kept tag groups: row, first ML entry, codes per base, place of the code, skip text.
 
-    Groups consume ML in order; with several codes in a group the values interleave. A tag that
-    asks for more bases than the read has, or for more values than ML holds, is malformed and yields
-    no calls; without any ML the quality is NO_QUALITY.
+    Groups consume ML in order, also those that are not kept; within a group the codes of one base
+    follow each other. The last entry of a row, with the place -1, only states how much ML the row
+    needs in all.
     """
-    bases = np.frombuffer(seq.upper().encode("ascii"), dtype=np.uint8)
-    quals = None if ml is None else np.asarray(ml, dtype=np.int64)
-    nothing = np.empty(0, np.int64), np.empty(0, np.int64)
-    index_parts, qual_parts, used = [], [], 0
-    for text in filter(None, mm.split(";")):
-        group = MM_GROUP.match(text.strip())
-        if group is None:
-            break
-        base, codes, skips = group.groups()
-        codes = list(codes) if codes.isalpha() else [codes]
-        steps = np.fromstring(skips[1:], dtype=np.int64, sep=",") if skips else nothing[0]
-        first, used = used, used + len(steps) * len(codes)
-        if quals is not None and used > len(quals):
-            return nothing
-        wanted = [i for i, code in enumerate(codes) if code in KEPT_CODES]
-        if base != CANONICAL_BASE or not wanted or not len(steps):
-            continue
-        places = np.flatnonzero(bases == ord(COMPLEMENT[base] if reverse else base))
-        if reverse:
-            places = places[::-1]
-        nth = np.cumsum(steps + 1) - 1
-        if nth[-1] >= len(places):
-            return nothing
-        for offset in wanted:
-            at = first + np.arange(len(steps)) * len(codes) + offset
-            index_parts.append(places[nth])
-            qual_parts.append(np.full(len(at), NO_QUALITY) if quals is None else quals[at])
-    if not index_parts:
-        return nothing
-    return np.concatenate(index_parts), np.concatenate(qual_parts)
-
-
-def _placed_calls(seq, flag, start, cigar, mm, ml, low, high) -> tuple[np.ndarray, np.ndarray]:
-    """Calls of one read lifted to the reference and limited to ``low..high``."""
-    if not seq or not mm:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    index, qual = _read_calls(seq, bool(flag & REVERSE_FLAG), mm, ml)
-    query_start, ref_start, length = aligned_blocks(cigar, start)
-    if not len(index) or not len(query_start):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    block = np.searchsorted(query_start, index, side="right") - 1
-    offset = index - query_start[block]
-    ref_pos = ref_start[block] + offset
-    keep = (block >= 0) & (offset < length[block]) & (ref_pos >= low) & (ref_pos <= high)
-    return ref_pos[keep], qual[keep]
+    found = []
+    for row, mm in zip(rows, mms):
+        used = 0
+        for text in mm.split(";"):
+            group = MM_GROUP.match(text.strip()) if text else None
+            if group is None:
+                break
+            base, codes, skips = group.groups()
+            codes = codes if codes.isalpha() else (codes,)
+            if base == CANONICAL_BASE and skips:
+                found += [(row, used, len(codes), at, skips)
+                          for at, code in enumerate(codes) if code in KEPT_CODES]
+            used += skips.count(",") * len(codes)
+        found.append((row, used, 1, -1, ""))
+    return found
+
+
+def decode(seqs, flags, starts, cigars, mms, ml_values, ml_bounds, has_ml, low, high):
+    """Placed calls of many reads: row, reference position, quality; ordered by row.
+
+    Works on arrays over all reads at once. A read whose tag asks for more bases than it has, or
+    for more values than its ML holds, is malformed and has no calls; without any ML the quality
+    is NO_QUALITY.
+    """
+    size = len(seqs)
+    usable = [i for i in range(size) if seqs[i] and mms[i]]
+    groups = _groups(usable, [mms[i] for i in usable])
+    if not groups:
+        return (np.empty(0, np.int64),) * 3
+    row, first, codes, place = (
+        np.array(c, dtype=np.int64) for c in list(zip(*groups))[:4]
+    )
+    bad = np.zeros(size, dtype=bool)
+    total = place < 0
+    ml_size = np.diff(ml_bounds)
+    bad[row[total]] = has_ml[row[total]] & (first[total] > ml_size[row[total]])
+
+    skips = "".join(g[4] for g in groups)
+    steps = np.fromstring(skips[1:], dtype=np.int64, sep=",") if skips else np.empty(0, np.int64)
+    counts = np.array([g[4].count(",") for g in groups], dtype=np.int64)
+    group = np.repeat(np.arange(len(groups)), counts)
+    begin = (counts.cumsum() - counts)[group]
+    reached = (steps + 1).cumsum()
+    nth = reached - (reached - steps - 1)[begin] - 1
+    item, row = np.arange(len(steps)) - begin, row[group]
+
+    joined = "".join(s or "" for s in seqs).upper().encode("ascii")
+    bases = np.frombuffer(joined, dtype=np.uint8)
+    lengths = np.array([len(s or "") for s in seqs], dtype=np.int64)
+    reverse = (flags & REVERSE_FLAG) != 0
+    target = np.where(reverse, ord(COMPLEMENT[CANONICAL_BASE]), ord(CANONICAL_BASE))
+    places = np.flatnonzero(bases == np.repeat(target.astype(np.uint8), lengths))
+    read_end = lengths.cumsum()
+    read_begin = read_end - lengths
+    place_begin = np.searchsorted(places, read_begin)
+    place_count = np.searchsorted(places, read_end) - place_begin
+    bad[row[nth >= place_count[row]]] = True
+
+    keep = ~bad[row]
+    row, nth, item, group = row[keep], nth[keep], item[keep], group[keep]
+    turned = np.where(reverse[row], place_count[row] - 1 - nth, nth)
+    query = places[place_begin[row] + turned] - read_begin[row]
+    qual = np.full(len(row), NO_QUALITY, dtype=np.int64)
+    known = has_ml[row]
+    entry = ml_bounds[row] + first[group] + item * codes[group] + place[group]
+    qual[known] = ml_values[entry[known]]
+
+    block_row, block_query, block_ref, block_length = aligned_blocks(cigars, starts)
+    if not len(block_row) or not len(row):
+        return (np.empty(0, np.int64),) * 3
+    stride = int(lengths.max()) + int(block_query.max()) + 1
+    block = np.searchsorted(
+        block_row * stride + block_query, row * stride + query, side="right"
+    ) - 1
+    offset = query - block_query[block]
+    ref = block_ref[block] + offset
+    keep = (
+        (block >= 0) & (block_row[block] == row) & (offset < block_length[block])
+        & (ref >= low[row]) & (ref <= high[row])
+    )
+    return row[keep], ref[keep], qual[keep]
+
+
+# Reads decoded together hold about this many bases, whatever the batch size.
+BASES_AT_ONCE = 4_000_000
 
 
 @F.arrow_udf(CALLS)
@@ -94,18 +134,22 @@ def methylation_calls(
     Declared non-deterministic, although it is not: unpacking a deterministic call would add a
     filter with a second copy of it, and push that below joins to reads that need no decoding.
     """
-    bounds = ml.offsets.to_numpy()
-    values = ml.values.to_numpy(zero_copy_only=False)
+    number = lambda column: column.to_numpy(zero_copy_only=False).astype(np.int64)
+    seqs, cigars, mms = seq.to_pylist(), cigar.to_pylist(), mm.to_pylist()
+    flags, starts, low, high = map(number, (flag, start, low, high))
+    bounds, values = number(ml.offsets), ml.values.to_numpy(zero_copy_only=False)
     has_ml = ml.is_valid().to_numpy(zero_copy_only=False)
-    plain = zip(
-        seq.to_pylist(), flag.to_pylist(), start.to_pylist(), cigar.to_pylist(),
-        mm.to_pylist(), low.to_pylist(), high.to_pylist(),
-    )
-    rows = [
-        _placed_calls(s, f, p, c, m, values[bounds[i]:bounds[i + 1]] if has_ml[i] else None, lo, hi)
-        for i, (s, f, p, c, m, lo, hi) in enumerate(plain)
-    ]
-    return list_of_structs(rows, ["ref_pos", "qual"])
+    bases = np.cumsum([len(s or "") for s in seqs])
+    cuts = np.flatnonzero(np.diff(bases // BASES_AT_ONCE)) + 1
+    parts = []
+    for a, b in zip([0, *cuts], [*cuts, len(seqs)]):
+        row, ref, qual = decode(
+            seqs[a:b], flags[a:b], starts[a:b], cigars[a:b], mms[a:b], values, bounds[a:b + 1],
+            has_ml[a:b], low[a:b], high[a:b],
+        )
+        parts.append((row + a, ref, qual))
+    row, ref, qual = (np.concatenate(c) for c in zip(*parts))
+    return list_of_structs(len(seqs), row, [ref, qual], ["ref_pos", "qual"])
 
 
 methylation_calls = methylation_calls.asNondeterministic()
