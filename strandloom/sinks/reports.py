@@ -110,6 +110,6 @@ def chi_square_lines(test: DataFrame, expected: DataFrame, column: str) -> list[
 
 
 def write_vcf_lines(lines: DataFrame, path: str, gzip: bool = False, mode: str = "errorifexists") -> None:
-    """Variant file lines in their original order, header first, as one file."""
-    ordered = lines.orderBy(F.desc("is_header"), "ord").select("line").coalesce(1)
+    """Variant file lines in their original order, header first: the parts in turn are the file."""
+    ordered = lines.orderBy(F.desc("is_header"), "ord").select("line")
     ordered.write.mode(mode).option("compression", "gzip" if gzip else "none").text(path)
