@@ -47,7 +47,7 @@ def run(spark: SparkSession, config: RunConfig, mode: str = "errorifexists") ->
     The sites are written once, split by VCF, and every report reads its columns from there: the
     reads are scanned and decoded a single time, whatever the number of reports and VCFs.
     """
-    variants = load_variants(spark, config)
+    variants = materialize(load_variants(spark, config), "variants")
     names = [
         r[0] for r in variants.select("vcf_source_id").distinct().orderBy("vcf_source_id").collect()
     ]
