@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -25,9 +27,15 @@ def build_session(app: str = "strandloom", master: str | None = None, **conf: st
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
+    ship_package()
     return builder.getOrCreate()
 
 
+def ship_package() -> None:
+    """Send the package's functions to workers by value: they may not find it on their path."""
+    cloudpickle.register_pickle_by_value(sys.modules["strandloom"])
+
+
 def work_folder(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as named by the cluster.
 
