@@ -15,10 +15,10 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 
-from strandloom.llm.common import shuffle_width, store_bucketed, worker_state
+from strandloom.llm.common import bounded_batches, shuffle_width, store_bucketed, worker_state
 
 #: Characters and documents after which a block is closed.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 BLOCK_DOCS = 2_000
 #: Bits of a block's number within its task, and of a document's number within its block.
 TASK_BITS, DOC_BITS = 24, 11
@@ -32,6 +32,7 @@ _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 
 def blocked(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
     """The rows of ``docs`` as a bucketed table (block, chars, docs: array of rows)."""
+    bounded_batches(docs.sparkSession)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,12 +82,12 @@ def with_blocks(
 
 def _powers(base: int, size: int) -> np.ndarray:
     """Powers of ``base`` modulo 2**64, kept by the worker."""
-    state = worker_state()
-    known = state.get(("powers", base))
+    state = worker_state("blocks")
+    known = state.get(base)
     if known is None or len(known) < size:
         known = np.full(max(size, 1 << 16), base, U)
         known[0] = 1
-        state["powers", base] = known = np.cumprod(known, dtype=U)
+        state[base] = known = np.cumprod(known, dtype=U)
     return known[:size]
 
 

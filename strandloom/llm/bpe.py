@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from strandloom.llm.common import per_batch, worker_state
+from strandloom.llm.common import bounded_batches, per_batch, worker_state
 
 #: Entries a worker keeps of encoded pieces and of compatible pairs; either starts anew when full.
 MEMO = 400_000
@@ -139,8 +139,8 @@ class Codec:
 
 def codec(path: str, pattern: str) -> Codec:
     """The codec of this worker for one vocabulary."""
-    state = worker_state()
-    key = ("bpe", path, pattern)
+    state = worker_state("bpe")
+    key = (path, pattern)
     if key not in state:
         state[key] = Codec(path, pattern)
     return state[key]
@@ -164,6 +164,7 @@ def encode_documents(
     One pass without a shuffle. A null text counts as empty and gives no ids; repeated rows and null
     keys stay as they are; columns outside ``keep`` do not matter, whatever their names.
     """
+    bounded_batches(docs.sparkSession)
     kept = docs.select(*keep, docs[text].cast("string").alias("__text"))
     schema = T.StructType(
         [*kept.schema.fields[:-1], *T._parse_datatype_string(

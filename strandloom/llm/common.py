@@ -72,13 +72,24 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def worker_state() -> dict:
-    """A dictionary that lives as long as the Python worker, across its tasks."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of a few megabytes, unless the session asks for something else:
+    with the usual ten thousand rows a batch of long texts may take all of a worker's memory."""
+    records, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(records) == "10000":
+        spark.conf.set(records, "1000")
+        spark.conf.set(size, str(4 << 20))
+
+
+def worker_state(owner: str) -> dict:
+    """A dictionary that lives in the Python worker across its tasks, until another owner asks."""
     name = "_strandloom_llm_worker"
     module = sys.modules.get(name)
     if module is None:
         module = sys.modules.setdefault(name, types.ModuleType(name))
-        module.state = {}
+        module.owner, module.state = owner, {}
+    if module.owner != owner:
+        module.owner, module.state = owner, {}
     return module.state
 
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandloom.llm.common import per_batch, store
+from strandloom.llm.common import bounded_batches, per_batch, store
 from strandloom.llm.links import host_of, path_of
 
 #: Labelled documents that the text models are fitted on.
@@ -111,6 +111,7 @@ def from_documents(docs: DataFrame) -> DataFrame:
 
 def scored(rows: DataFrame, table: np.ndarray) -> DataFrame:
     """``rows`` with ``likelihood``, the log-likelihood per language, in place of the text."""
+    bounded_batches(rows.sparkSession)
     kept = [c for c in rows.columns if c not in ("text", "markup")]
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.llm.bpe import LONG_TEXT, compiled, little
-from strandloom.llm.common import per_batch, store, worker_state
+from strandloom.llm.common import bounded_batches, per_batch, store, worker_state
 
 WINDOW = 1024
 DEPTH = 3
 #: Rests of one length that one task ranks.
 RANK_ROWS = 20_000
 #: Entries a worker keeps of tokenised pieces.
-MEMO = 600_000
+MEMO = 300_000
 
 
 class _Pieces(dict):
@@ -66,8 +66,8 @@ class _Pieces(dict):
 
 
 def _pieces(path: str, pattern: str) -> _Pieces:
-    state = worker_state()
-    key = ("pieces", path, pattern)
+    state = worker_state("packing")
+    key = (path, pattern)
     if key not in state:
         state[key] = _Pieces(path, pattern)
     return state[key]
@@ -97,6 +97,7 @@ def tokenised(
             pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary()),
         ], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(
         per_batch(run), "doc_id long, start long, length long, doc_tokens long, ids binary")

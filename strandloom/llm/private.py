@@ -15,7 +15,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from strandloom.llm.common import free_name, per_batch, store
+from strandloom.llm.common import bounded_batches, free_name, per_batch, store
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -126,6 +126,7 @@ _FOUND = (
 def scanned(docs: DataFrame, text: str = "text", name: str = "_private") -> DataFrame:
     """``docs`` with a struct of base spans, candidates and seeds of each whole text."""
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(_FOUND))])
+    bounded_batches(docs.sparkSession)
     place = docs.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

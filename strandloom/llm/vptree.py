@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from strandloom.llm.common import bounded_batches
+
 SHARD_ROWS = 4096
 LEAF_ROWS = 96
 QUERY_ROWS = 256
@@ -118,6 +120,7 @@ def nearest(
     a hash of their key, whatever their values; each (shard, group of query blocks) is one task's
     work, and merging goes in two steps. Other columns play no part; empty inputs give no rows.
     """
+    bounded_batches(vectors.sparkSession)
     items = usable(vectors, key, vector).withColumn("dim", F.size("vector"))
     asked = usable(queries, key, vector).withColumn("dim", F.size("vector"))
     rows, norm2 = items.agg(
