@@ -42,7 +42,7 @@ def visible(html: str) -> str:
 
 def trigram_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of all trigrams of lower-cased texts, and where each text's begin (one more at the end)."""
-    data = np.frombuffer(b" ".join(texts) + b"  ", np.uint8).astype(np.uint32)
+    data = np.frombuffer(b" ".join(texts) + b"   ", np.uint8).astype(np.uint32)
     slots = ((data[:-2] << 16 | data[1:-1] << 8 | data[2:]) * np.uint32(2654435761)) >> np.uint32(16)
     ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return slots, ends
