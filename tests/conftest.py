@@ -9,7 +9,8 @@ def spark(tmp_path_factory):
         "strandloom-tests", "local[4]",
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
            "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false",
-           "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))},
+           "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+           "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
