@@ -14,62 +14,61 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandloom.llm.bpe import LONG_TEXT, compiled, little
+from strandloom.llm.bpe import little
 from strandloom.llm.common import bounded_batches, per_batch, store, worker_state
 
 WINDOW = 1024
 DEPTH = 3
 #: Rests of one length that one task ranks.
 RANK_ROWS = 20_000
-#: Entries a worker keeps of tokenised pieces.
-MEMO = 300_000
 
 
-class _Pieces(dict):
-    """Ids of the pieces that a byte-level tokenizer treats on their own, learnt as they come."""
+class _Ids:
+    """Ids of a byte-level tokenizer file, without special tokens.
+
+    The file's vocabulary orders its tokens by the rank of their merge, which is all that the merging of
+    a piece depends on. So the merging itself is left to the faster of the two public libraries; the
+    other, that the file is made for, answers a probe first, and is used if the answers differ.
+    """
 
     def __init__(self, path: str, pattern: str):
-        from tokenizers import Tokenizer
+        import tiktoken
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pattern = compiled(pattern)
-
-    def encode(self, text: str) -> array:
-        ids = array("I")
-        if len(text) > LONG_TEXT:
-            pieces = (m.group() for m in self.pattern.finditer(text))
-            ids.extend(chain.from_iterable(map(self.__getitem__, pieces)))
-            return ids
-        pieces = self.pattern.findall(text)
-        new = [*{p for p in pieces if p not in self}]
-        if len(self) + len(new) > MEMO:
-            self.clear()
-            new = [*set(pieces)]
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.update(zip(new, (tuple(e.ids) for e in found)))
-        ids.extend(chain.from_iterable(map(self.__getitem__, pieces)))
-        return ids
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self[piece] = tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        return ids
-
-
-def _pieces(path: str, pattern: str) -> _Pieces:
+        # The library writes each byte as a printable character: itself, or the next free one from 256 on.
+        plain = [c for c in range(256) if chr(c) in pre_tokenizers.ByteLevel.alphabet()]
+        other = [c for c in range(256) if c not in plain]
+        byte = {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(other)}
+        ranks = {
+            bytes(byte[c] for c in token): rank for token, rank in self.tokenizer.get_vocab(False).items()
+            if all(c in byte for c in token)
+        }
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.fast = tiktoken.Encoding(
+            "own", pat_str=pattern, special_tokens={},
+            mergeable_ranks={t: r for t, r in ranks.items() if t.decode("utf-8", "replace") not in special})
+        probe = "It's  3 o'clock\n\n\tçaß 12345 naïve… \u3000x <|endoftext|>\x1c\x85 \U0001f600"
+        self.same = self.fast.encode_ordinary(probe) == self.slow(probe)
+
+    def slow(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def __call__(self, text: str) -> array:
+        return array("I", self.fast.encode_ordinary(text) if self.same else self.slow(text))
+
+
+def _ids(path: str, pattern: str) -> _Ids:
     state = worker_state("packing")
     key = (path, pattern)
     if key not in state:
-        state[key] = _Pieces(path, pattern)
+        state[key] = _Ids(path, pattern)
     return state[key]
 
 
@@ -80,10 +79,10 @@ def tokenised(
     """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian 32-bit, binary)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = _pieces(path, pattern)
+        own = _ids(path, pattern)
         index, start, length, total, ids = [], [], [], [], []
         for i, value in enumerate(batch.column(1)):
-            tokens = own.encode(value.as_py() or "")
+            tokens = own(value.as_py() or "")
             tokens.append(closing)
             data = little(tokens)
             for at in range(0, len(tokens), window):
