@@ -40,28 +40,29 @@ class _Ids:
         import tiktoken
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
         # The library writes each byte as a printable character: itself, or the next free one from 256 on.
         plain = [c for c in range(256) if chr(c) in pre_tokenizers.ByteLevel.alphabet()]
         other = [c for c in range(256) if c not in plain]
         byte = {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(other)}
         ranks = {
-            bytes(byte[c] for c in token): rank for token, rank in self.tokenizer.get_vocab(False).items()
+            bytes(byte[c] for c in token): rank for token, rank in tokenizer.get_vocab(False).items()
             if all(c in byte for c in token)
         }
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
         self.fast = tiktoken.Encoding(
             "own", pat_str=pattern, special_tokens={},
             mergeable_ranks={t: r for t, r in ranks.items() if t.decode("utf-8", "replace") not in special})
         probe = "It's  3 o'clock\n\n\tçaß 12345 naïve… \u3000x <|endoftext|>\x1c\x85 \U0001f600"
-        self.same = self.fast.encode_ordinary(probe) == self.slow(probe)
-
-    def slow(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = tokenizer.encode(probe, add_special_tokens=False).ids
+        #: The slower library, only where it is needed: it takes tens of megabytes.
+        self.slow = None if self.fast.encode_ordinary(probe) == ids else tokenizer
 
     def __call__(self, text: str) -> array:
-        return array("I", self.fast.encode_ordinary(text) if self.same else self.slow(text))
+        if self.slow is None:
+            return array("I", self.fast.encode_ordinary(text))
+        return array("I", self.slow.encode(text, add_special_tokens=False).ids)
 
 
 def _ids(path: str, pattern: str) -> _Ids:
