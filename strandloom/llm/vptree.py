@@ -61,16 +61,21 @@ class Tree:
         there are fewer."""
         best = np.full((len(queries), k), -np.inf)
         found = np.full((len(queries), k), -1)
+        worst = np.full(len(queries), -np.inf)
         base = (queries**2).sum(1) + self.norm2
         slack = 1e-9 * (1 + np.sqrt(base))
 
         def offer(who, rows):
             scores = queries[who] @ self.vectors[rows].T
-            both = np.concatenate([best[who], scores], 1)
-            ids = np.concatenate([found[who], np.broadcast_to(rows, scores.shape)], 1)
-            top = np.argpartition(-both, k - 1, 1)[:, :k]
-            best[who] = np.take_along_axis(both, top, 1)
-            found[who] = np.take_along_axis(ids, top, 1)
+            some = np.flatnonzero(scores.max(1) >= worst[who])  # the others keep what they have
+            if len(some):
+                who, new = who[some], scores[some]
+                both = np.concatenate([best[who], new], 1)
+                ids = np.concatenate([found[who], np.broadcast_to(rows, new.shape)], 1)
+                top = np.argpartition(-both, k - 1, 1)[:, :k]
+                best[who] = np.take_along_axis(both, top, 1)
+                found[who] = np.take_along_axis(ids, top, 1)
+                worst[who] = best[who].min(1)
             return scores
 
         def visit(node, who):
@@ -85,7 +90,7 @@ class Tree:
                 if group.any():
                     own, gap = who[group], np.abs(away[group] - radius)
                     visit(first, own)
-                    reach = np.sqrt(np.maximum(0.0, base[own] - 2 * best[own].min(1)))
+                    reach = np.sqrt(np.maximum(0.0, base[own] - 2 * worst[own]))
                     left = gap <= factor * reach + slack[own]
                     if left.any():
                         visit(second, own[left])
