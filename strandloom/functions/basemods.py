@@ -20,7 +20,7 @@ CALLS = T.ArrayType(T.StructType([
 ]))
 
 # Layout of one tag group, the modified base and the codes that are kept.
-MM_GROUP = re.compile(r"([A-Z])[-+]([a-z]+|\d+)[.?]?((?:,\d+)*)$")
+MM_GROUP = re.compile(r"([A-Z])[-+]([a-z]+|[A-Z]|\d+)[.?]?((?:,\d+)*)$")
 CANONICAL_BASE = "C"
 KEPT_CODES = ("m", "h")
 COMPLEMENT = {"A": "T", "C": "G", "G": "C", "T": "A"}
@@ -33,15 +33,15 @@ def _groups(rows: list[int], mms: list[str]) -> list[tuple]:
 
     Groups consume ML in order, also those that are not kept; within a group the codes of one base
     follow each other. The last entry of a row, with the place -1, only states how much ML the row
-    needs in all.
+    needs in all. A row with a group that cannot be read has no entries at all.
     """
     found = []
     for row, mm in zip(rows, mms):
+        parsed = [MM_GROUP.match(t) for t in map(str.strip, mm.split(";")) if t]
+        if None in parsed:
+            continue
         used = 0
-        for text in mm.split(";"):
-            group = MM_GROUP.match(text.strip()) if text else None
-            if group is None:
-                break
+        for group in parsed:
             base, codes, skips = group.groups()
             codes = codes if codes.isalpha() else (codes,)
             if base == CANONICAL_BASE and skips:

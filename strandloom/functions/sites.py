@@ -44,7 +44,7 @@ def haplotype_tag(hp_type: Column, hp_value: Column, orig_hp: Column) -> Column:
     from_number = (
         F.when((number == 0) & orig_hp.isin("1-1", "2-1"), orig_hp)
         .when(number == -1, "un")
-        .otherwise(number.cast("string"))
+        .otherwise(F.coalesce(number.cast("string"), F.lit("0")))
     )
     return (
         F.when(hp_type == "Z", from_text)

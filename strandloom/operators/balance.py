@@ -88,25 +88,24 @@ def semi_join(left: DataFrame, keys: DataFrame, on: list[str], spread_by: list[s
 def spread_bins(
     many: DataFrame, few: DataFrame, on: list[str], hot_rows: int, spread_by: list[Column]
 ) -> tuple[DataFrame, DataFrame]:
-    """Split hot join keys: ``many`` is spread over SPREAD parts, ``few`` is copied to each.
+    """Split hot join keys: ``many`` is spread over parts, ``few`` is copied to each part.
 
-    A key is hot when ``many`` has more than ``hot_rows`` rows of it. Both results carry a
-    ``_part`` column that belongs to the join key.
+    A key is hot when ``many`` has more than ``hot_rows`` rows of it, and gets one part for each
+    ``hot_rows`` rows. All hot keys are split, however many there are: their table is written and
+    counted, and only a small one is broadcast. Both results carry a ``_part`` column that belongs
+    to the join key.
     """
-    hot = (
-        many.groupBy(*on).agg(F.count("*").alias("_rows"))
-        .orderBy(F.desc("_rows"), *on).limit(HEAVY_KEYS)
-        .where(F.col("_rows") > hot_rows)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
-    parts = F.when(
-        F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int")
-    ).otherwise(0)
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    spread = many.join(F.broadcast(hot), on, "left").withColumn("_part", parts).drop("_hot")
-    copied = (
-        few.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(copies)).drop("_hot")
+    hot = materialize(
+        many.groupBy(*on).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows)
+        .select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts")), "hot-keys",
     )
+    if hot.count() <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    parts = F.coalesce("_parts", F.lit(1))
+    spread = many.join(hot, on, "left").withColumn(
+        "_part", F.pmod(F.xxhash64(*spread_by), parts).cast("int")
+    ).drop("_parts")
+    copied = few.join(hot, on, "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), parts - 1))
+    ).drop("_parts")
     return spread, copied

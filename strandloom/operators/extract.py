@@ -9,6 +9,7 @@ from strandloom.functions import alignment as A, basemods as B, sites as S
 from strandloom.operators.overlap import bin_size_for, limit_depth, overlap_join
 from strandloom.operators.reads import fetchable_reads, with_haplotype, with_span
 from strandloom.schema import SITE_COLUMNS, VARIANT_KEY
+from strandloom.session import materialize
 
 
 def variant_windows(variants: DataFrame, window: int) -> DataFrame:
@@ -28,9 +29,12 @@ def reads_near_variants(
     """(read, variant) pairs in reach, at most ``max_depth`` reads per variant and sample.
 
     Reads are admitted in coordinate order. Duplicates and failed reads still count here; they
-    leave only afterwards.
+    leave only afterwards. The fetchable reads are written once, with their spans, and all passes
+    read that table: bin size, counts, cutoffs and the join see the same reads in the same order,
+    however the source is split, and the source is read and decoded a single time.
     """
     spans = with_span(fetchable_reads(reads)).withColumnRenamed("rname", "chrom")
+    spans = materialize(spans.sortWithinPartitions("chrom", "start0"), "reads")
     hits = overlap_join(
         spans, variant_windows(variants, window),
         bin_size=bin_size_for(spans, 2 * window), spread_by=["bam_source_id", "qname", "pos"],
@@ -43,9 +47,10 @@ def reads_near_variants(
 def allele_support(hits: DataFrame) -> DataFrame:
     """Read base at the variant and the allele it supports; undecided reads leave.
 
-    Reads that do not reach over the variant leave first, by their span alone. The call is made as a list of at most one entry and then unpacked. So the CIGAR is walked once
-    per pair, after the join: a plain filter on the result would be pushed into the join
-    condition, with a copy of the walk for each use.
+    Reads that do not reach over the variant leave first, by their span alone. The call is made as
+    a list of at most one entry and then unpacked. So the CIGAR is walked once per pair, after the
+    join: a plain filter on the result would be pushed into the join condition, with a copy of the
+    walk for each use.
     """
     index = A.query_index_at(F.col("cigar"), F.col("pos"), F.col("somatic_pos"))
     placed = F.filter(F.array(index), lambda i: i >= 0)

@@ -15,11 +15,11 @@ RANK_PARTS = 64
 
 
 def bin_size_for(reads: DataFrame, width: int, start: str = "start0", end: str = "end0") -> int:
-    """Power of two near the wider of a window and a read, judged by the first reads.
+    """Power of two near the wider of a window and the mean read, over all reads.
 
     The size only decides how many candidates share a bin, never which pairs are found.
     """
-    mean = reads.limit(1000).agg(F.avg(F.col(end) - F.col(start))).first()[0] or 1.0
+    mean = reads.agg(F.avg(F.col(end) - F.col(start))).first()[0] or 1.0
     wanted = min(max(width, mean, 256), 1 << 20)
     return 1 << math.ceil(math.log2(wanted))
 
@@ -56,7 +56,7 @@ def overlap_join(
     w = _with_bins(windows, w0, w1, bin_size, "_window_bin")
     keys = [chrom, "_bin"]
     if small_windows is None:
-        small_windows = fits_broadcast(windows)
+        small_windows = fits_broadcast(w)  # as it would be broadcast: a row per bin
     if small_windows:
         pairs = r.join(F.broadcast(w), keys)
     else:

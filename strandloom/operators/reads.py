@@ -53,20 +53,25 @@ class TagReport:
         return self.hp > 0
 
 
-def tag_report(reads: DataFrame) -> TagReport:
-    """Look for tags in the first SAMPLE_SIZE records; only upper-case MM and ML count.
+def tag_counts(reads: DataFrame) -> DataFrame:
+    """Tags in the first SAMPLE_SIZE records by their place ``ord``; only upper-case MM and ML count.
 
-    Sources that also read the lower-case spelling mark it in ``legacy_mm``.
+    Sources that also read the lower-case spelling mark it in ``legacy_mm``. Each task keeps its
+    first records, so only a bounded number is sorted in the end.
     """
     upper = ~F.col("legacy_mm") if "legacy_mm" in reads.columns else F.lit(True)
-    row = reads.limit(SAMPLE_SIZE).agg(
-        F.count("*"),
-        F.count_if(F.col("mm").isNotNull() & upper),
-        F.count_if(F.col("ml").isNotNull() & upper),
-        F.count("hp_value"),
-        F.count("ps"),
-    ).first()
-    return TagReport(*row)
+    flags = reads.select(
+        "ord", F.lit(True).alias("sampled"), (F.col("mm").isNotNull() & upper).alias("mm"),
+        (F.col("ml").isNotNull() & upper).alias("ml"), F.col("hp_value").isNotNull().alias("hp"),
+        F.col("ps").isNotNull().alias("ps"),
+    )
+    return flags.orderBy("ord").limit(SAMPLE_SIZE).agg(
+        *[F.count_if(c).alias(c) for c in ("sampled", "mm", "ml", "hp", "ps")]
+    )
+
+
+def tag_report(reads: DataFrame) -> TagReport:
+    return TagReport(*tag_counts(reads).first())
 
 
 def samples_union(**samples: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strandloom.config import RunConfig
 from strandloom.functions import numeric as N, sites as S
 from strandloom.operators.balance import attach_by_key
-from strandloom.schema import SITE_COLUMNS, SITE_KEY, SUMMARY_COLUMNS, SUMMARY_KEY
+from strandloom.schema import SITE_KEY, SUMMARY_COLUMNS, SUMMARY_KEY
 
 
 def strand_covered_sites(
@@ -166,7 +166,3 @@ def global_metrics(sites: DataFrame) -> DataFrame:
         **{"_methylated_site_count": "methylated", "_total_site_count": "rows",
            "_mean_methylation": "mean"},
     ))
-
-
-def site_rows(df: DataFrame) -> DataFrame:
-    return df.select(*SITE_COLUMNS)

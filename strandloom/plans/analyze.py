@@ -14,7 +14,7 @@ from strandloom.operators.summary import (
 
 @dataclass(frozen=True)
 class Analysis:
-    """The four result levels; all lazy."""
+    """The four result levels; lazy but for small tables written on the way."""
 
     sites: DataFrame
     summary: DataFrame

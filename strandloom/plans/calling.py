@@ -45,7 +45,7 @@ def run(spark: SparkSession, config: RunConfig, mode: str = "errorifexists") ->
     """Run everything and write the reports; returns the folders written.
 
     The sites are written once, split by VCF, and every report reads its columns from there: the
-    reads are scanned and decoded a single time, whatever the number of reports and VCFs.
+    reads are decoded once for the sites, whatever the number of reports and VCFs.
     """
     variants = materialize(load_variants(spark, config), "variants")
     names = [

@@ -56,17 +56,6 @@ SUMMARY = T.StructType([
     T.StructField("strand", T.StringType()),
 ])
 
-VARIANTS = T.StructType([
-    T.StructField("chrom", T.StringType()),
-    T.StructField("pos", T.IntegerType()),
-    T.StructField("ref", T.StringType()),
-    T.StructField("alt", T.StringType()),
-    T.StructField("variant_type", T.StringType()),
-    T.StructField("vcf_source_id", T.StringType()),
-    T.StructField("allele_freq", T.FloatType()),
-    T.StructField("qual", T.FloatType()),
-])
-
 # ``ord`` is the record's place in its file: (block, row), comparable within one file.
 FILE_ORDER = T.StructType([
     T.StructField("block", T.LongType()),

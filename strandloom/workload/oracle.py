@@ -382,6 +382,11 @@ WHERE normal >= 0.3e0 AND abs(delta) >= 0.1e0 AND supporting_read_count >= 2
 _oracle("asm_mode_counts", "SELECT * FROM mode_counts", "mode_counts")
 _oracle("haplotype_counts", "SELECT * FROM hap_counts", "hap_counts")
 _oracle("haplotype_chi2_stat", _chi2("hap_counts", "haplotype_tag"), "hap_counts")
+# With an even number of degrees of freedom the tail is a finite sum; here it has 6.
+_oracle("haplotype_chi2_p", f"""
+SELECT chi2, dof, n, CASE dof WHEN 6 THEN {_r("exp(-chi2 / 2) * (1 + chi2 / 2 + chi2 * chi2 / 8)")} END AS p_value
+FROM ({_chi2("hap_counts", "haplotype_tag")})
+""", "hap_counts")
 _oracle("allele_chi2_stat", _chi2("allele_counts", "somatic_allele_type"), "allele_counts")
 _oracle("asm_mode_chi2_stat", _chi2("mode_counts", "asm_mode"), "mode_counts")
 _oracle("expected_counts", f"""
@@ -594,6 +599,10 @@ _oracle("sam_text_scan", """
 SELECT qname, flag, rname, pos, mapq, cigar, seq, mm, array_to_string(ml, ',') AS ml, hp_type,
   hp_value, orig_hp, ps FROM aln
 """, "aln")
+_oracle("tag_sample", """
+SELECT count(*) AS sampled, count(mm) AS mm, count(ml) AS ml, count(hp_value) AS hp, count(ps) AS ps
+FROM (SELECT * FROM aln ORDER BY ord_block, ord_row LIMIT 100)
+""", "aln")
 _oracle("read_flags", """
 SELECT qname, flag, mapq, (flag & 2308) = 0 AND mapq >= 10 AS fetchable,
   (flag & 1796) = 0 AS usable, CASE WHEN (flag & 16) > 0 THEN '-' ELSE '+' END AS strand FROM aln

@@ -212,7 +212,8 @@ def haplotype_chi2_stat(spark, d):
 
 @query
 def haplotype_chi2_p(spark, d):
-    return C.chi_square(C.crosstab(contrast(spark, d), "haplotype_tag"))
+    test = C.chi_square(C.crosstab(contrast(spark, d), "haplotype_tag"))
+    return rounded(test, "chi2", "p_value")
 
 
 @query
@@ -563,11 +564,7 @@ def basemod_explode(spark, d):
 
 @query
 def tag_sample(spark, d):
-    report = reads(spark, d).limit(R.SAMPLE_SIZE)
-    return report.agg(
-        F.count("*").alias("sampled"), F.count("mm").alias("mm"), F.count("ml").alias("ml"),
-        F.count("hp_value").alias("hp"), F.count("ps").alias("ps"),
-    )
+    return R.tag_counts(reads(spark, d))
 
 
 def _pairs(spark: SparkSession, d: str, **options) -> DataFrame:
