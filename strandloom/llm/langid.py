@@ -49,10 +49,14 @@ def trigram_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS):
-    """(languages, table of log-probabilities by slot and language) from at most ``rows`` rows, the first by a
-    hash of their text. Rows without text or label are left out."""
-    sample = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(
-        F.col(label).alias("lang"), F.col(text).alias("text")).orderBy(F.xxhash64("text"), "lang").limit(rows)
+    """(languages, table of log-probabilities by slot and language), fitted on about ``rows`` labelled rows.
+
+    The sample takes the share ``rows`` / all of the hashes of texts, and equal rows once, so its size does
+    not grow with the table or with a group of copies. Rows without text or label are left out.
+    """
+    known = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(
+        F.col(label).alias("lang"), F.col(text).alias("text"))
+    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(max(known.count(), 1))) < rows).distinct().coalesce(4)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         sums: dict[str, np.ndarray] = {}
