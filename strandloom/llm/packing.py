@@ -12,7 +12,6 @@ A rest finds its place by arithmetic from its length and its rank among the rest
 
 from __future__ import annotations
 
-import zlib
 from array import array
 
 import numpy as np
