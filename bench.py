@@ -35,6 +35,7 @@ def main():
     spark = build_session(
         "strandloom-bench", f"local[{cpus}]",
         **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false",
+           "spark.strandloom.viewPartitions": cpus,
            "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")

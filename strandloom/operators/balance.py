@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strandloom.session import materialize
 
-# After setting the HEAVY_KEYS most frequent keys aside, no other key can own more than
-# 1 / (HEAVY_KEYS + 1) of the rows.
-HEAVY_KEYS = 1000
-SPREAD = 64
+# Rows of one key that a task of a shuffled join may hold. Where that would make more than MOST_HEAVY
+# keys heavy, the number is raised to the share of the rows that at most so many keys can exceed.
+HEAVY_ROWS = 1_000_000
+MOST_HEAVY = 100_000
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 
@@ -40,9 +40,9 @@ def attach_by_key(
     ``attributes`` is written once, since it usually is an aggregate of ``left``. If its counted
     size allows, it is broadcast and ``left`` is not shuffled at all.
 
-    Otherwise ``weight``, the number of ``left`` rows a key owns, decides. The heaviest keys are
-    joined by broadcast, at most HEAVY_KEYS of them. Their rows then pass the shuffled join under a
-    spread key, so they land on many tasks instead of one.
+    Otherwise ``weight``, the number of ``left`` rows a key owns, decides. All keys above the number
+    of rows that a task may hold are joined by broadcast. Their rows then pass the shuffled join under a
+    spread key with one part for each such number of rows, so they land on many tasks instead of one.
     """
     attributes = materialize(attributes, "attributes")
     if fits_broadcast(attributes):
@@ -53,14 +53,15 @@ def attach_by_key(
     # Always 0, but not a constant to the optimizer: a constant would leave the join key.
     own_part = F.when(F.col(weight) < 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
     packed = attributes.select(*on, own_part.alias("_part"), F.struct(*payload).alias("_payload"))
-    heavy = (
-        attributes.orderBy(F.desc(weight), *on).limit(HEAVY_KEYS)
-        .select(*on, F.struct(*payload).alias("_heavy"))
+    total = attributes.agg(F.sum(weight)).first()[0] or 0
+    most = max(HEAVY_ROWS, total // MOST_HEAVY)
+    heavy = attributes.where(F.col(weight) > most).select(
+        *on, F.struct(*payload).alias("_heavy"), F.ceil(F.col(weight) / most).alias("_parts")
     )
     tagged = left.join(F.broadcast(heavy), on, "left").withColumn(
         "_part",
         F.when(F.col("_heavy").isNull(), F.lit(0).cast("long"))
-        .otherwise(F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)) + 1),
+        .otherwise(F.pmod(F.xxhash64(*spread_by), F.col("_parts")) + 1),
     )
     joined = tagged.join(packed, [*on, "_part"], "left")
     found = F.coalesce("_heavy", "_payload")

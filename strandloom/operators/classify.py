@@ -122,22 +122,23 @@ def coefficients(df: DataFrame, model: Model) -> DataFrame:
 def roc_points(scored: DataFrame, score: str = "score", is_positive: Column | None = None) -> DataFrame:
     """ROC curve: per distinct score, the rates of rows scored at or above it.
 
-    Rows are counted per score first. The curve starts at (0, 0) with a NULL threshold.
+    Rows are counted per score first, and the counts written. The curve starts at (0, 0) with a NULL
+    threshold.
     """
     positive = F.col("label") == "TP" if is_positive is None else is_positive
-    counted = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
-        F.count_if(positive).alias("tp"), F.count_if(~positive).alias("fp")
-    )
-    total = scored.where(F.col(score).isNotNull()).select(
-        F.count_if(positive).alias("p"), F.count_if(~positive).alias("n")
+    counted = materialize(
+        scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
+            F.count_if(positive).alias("tp"), F.count_if(~positive).alias("fp")
+        ), "score-counts",
     )
+    p, n = counted.agg(F.sum("tp"), F.sum("fp")).first()
     curve = running_totals(counted, "threshold", ["tp", "fp"]).select(
         F.col("threshold").cast("double").alias("threshold"),
         "tp", "fp", "cum_tp", "cum_fp",
-        ratio(F.col("cum_fp"), total.select("n").scalar()).alias("fpr"),
-        ratio(F.col("cum_tp"), total.select("p").scalar()).alias("tpr"),
+        ratio(F.col("cum_fp"), F.lit(n).cast("long")).alias("fpr"),
+        ratio(F.col("cum_tp"), F.lit(p).cast("long")).alias("tpr"),
     )
-    start = total.select(
+    start = scored.sparkSession.range(1).select(
         F.lit(None).cast("double").alias("threshold"),
         *[F.lit(0).cast("long").alias(c) for c in ("tp", "fp", "cum_tp", "cum_fp")],
         F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),

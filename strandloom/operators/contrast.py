@@ -58,12 +58,25 @@ def detail_features(
         "supporting_read_count", "methyl_sites_count", "mean_methylation"
     ),
 ) -> DataFrame:
-    """Distinct reads, distinct positions and mean call, both samples pooled."""
+    """Distinct reads, distinct positions and mean call, both samples pooled.
+
+    Rows are first folded per position and, apart from that, per read: no row is multiplied, and a
+    frequent key is spread over its positions and reads.
+    """
     reads, positions, mean = names
-    return sites.groupBy(*(within or []), *CONTRAST_KEY).agg(
-        F.count_distinct("read_id").alias(reads),
-        F.count_distinct("methyl_pos").alias(positions),
-        F.avg(F.col("meth_call").cast("double")).alias(mean),
+    key = [*(within or []), *CONTRAST_KEY]
+    call = F.col("meth_call").cast("double")
+    none, known = F.lit(0).cast("long"), lambda c: F.col(c).isNotNull().cast("long")
+    by_position = sites.groupBy(*key, "methyl_pos").agg(
+        F.sum(call).alias("_sum"), F.count(call).alias("_calls")
+    ).select(*key, none.alias("_reads"), known("methyl_pos").alias("_positions"), "_sum", "_calls")
+    by_read = sites.select(*key, "read_id").distinct().select(
+        *key, known("read_id").alias("_reads"), none.alias("_positions"),
+        F.lit(None).cast("double").alias("_sum"), none.alias("_calls"),
+    )
+    return by_position.unionByName(by_read).groupBy(*key).agg(
+        F.sum("_reads").alias(reads), F.sum("_positions").alias(positions),
+        N.ratio(F.sum("_sum"), F.sum("_calls")).alias(mean),
     )
 
 

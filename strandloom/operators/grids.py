@@ -1,15 +1,15 @@
 """Threshold grids.
 
 Rows are reduced to the highest threshold they meet on each axis and counted per combination; that
-table has at most one row per grid cell. The grid is then summed from those counts, so the input
-is read once whatever the number of thresholds.
+table has at most one row per grid cell. Running sums along one axis after the other, from the highest
+threshold down, then give every cell, so neither the input nor the cells are multiplied.
 """
 
 from __future__ import annotations
 
-from itertools import product
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def parse_thresholds(text: str) -> list[int]:
@@ -28,31 +28,37 @@ def _level(value: Column, steps: list[float]) -> Column:
 def _grid_counts(df: DataFrame, axes: dict[str, tuple[Column, list]]) -> DataFrame:
     """Kept rows per grid cell and label, next to the totals before filtering."""
     steps = {name: sorted(set(values)) for name, (_, values) in axes.items()}
-    levels = df.select(
-        "label", *[_level(value, steps[name]).alias(f"_{name}") for name, (value, _) in axes.items()]
+    level = {name: f"_{name}" for name in axes}
+    counted = (
+        df.select("label", *[_level(value, steps[name]).alias(level[name])
+                             for name, (value, _) in axes.items()])
+        .groupBy(*level.values())
+        .agg(F.count_if(F.col("label") == "TP").alias("tp_count"),
+             F.count_if(F.col("label") == "FP").alias("fp_count"))
     )
-    buckets = levels.groupBy(*[f"_{name}" for name in axes]).agg(
-        F.count_if(F.col("label") == "TP").alias("tp"),
-        F.count_if(F.col("label") == "FP").alias("fp"),
-    )
-    cells = F.array(*[
-        F.struct(*[F.lit(v).alias(name) for name, v in zip(axes, values)],
-                 *[F.lit(steps[name].index(v) + 1).alias(f"_{name}_need")
-                   for name, v in zip(axes, values)])
-        for values in product(*steps.values())
-    ])
-    met = F.lit(True)
+    cells = df.sparkSession.range(1).select()
+    for name in axes:
+        cells = cells.select(
+            "*", F.explode(F.sequence(F.lit(0), F.lit(len(steps[name])))).alias(level[name])
+        )
+    grid = cells.join(counted, list(level.values()), "left").fillna(0, ["tp_count", "fp_count"])
     for name in axes:
-        met = met & (F.col(f"_{name}") >= F.col(f"_{name}_need"))
-    return (
-        buckets.select("*", F.inline(cells))
-        .groupBy(*axes)
-        .agg(
-            F.sum(F.when(met, F.col("tp")).otherwise(0)).alias("tp_count"),
-            F.sum(F.when(met, F.col("fp")).otherwise(0)).alias("fp_count"),
-            F.sum("tp").alias("tp_total"),
-            F.sum("fp").alias("fp_total"),
+        others = [level[other] for other in axes if other != name]
+        above = (
+            Window.partitionBy(*others).orderBy(F.desc(level[name]))
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
+        grid = grid.withColumns({c: F.sum(c).over(above) for c in ("tp_count", "fp_count")})
+    value_of = {
+        name: F.element_at(F.array(*[F.lit(v) for v in steps[name]]), F.col(level[name])).alias(name)
+        for name in axes
+    }
+    total = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp_count", "fp_count")])
+    met_all = reduce(Column.__and__, [F.col(c) > 0 for c in level.values()])
+    return grid.where(met_all).select(
+        *value_of.values(), "tp_count", "fp_count",
+        total.select("tp_count").scalar().alias("tp_total"),
+        total.select("fp_count").scalar().alias("fp_total"),
     )
 
 

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandloom.session import materialize
+
 ACCURACY = 10000
+BUCKET_ROWS = 1_000_000
 
 
 def order_statistics(
@@ -96,26 +99,22 @@ def exact_quantiles(
 
 
 def running_totals(
-    df: DataFrame, order: str, sums: list[str], descending: bool = True, buckets: int = 256
+    df: DataFrame, order: str, sums: list[str], descending: bool = True, buckets: int | None = None
 ) -> DataFrame:
     """Adds ``cum_<column>``: the sums over all rows up to and including each ``order`` value.
 
-    ``order`` must be unique. Rows are cut into ranges of about equal size at sketched quantiles,
-    a fixed number of values that the driver holds as constants. Ranges are summed, their running
-    totals form a table of at most ``buckets`` rows, and rows are then accumulated within ranges.
+    ``order`` must be unique, and ``df`` a stored table. Rows are cut into ranges of about BUCKET_ROWS
+    rows each and written with the number of their range. Ranges are summed, their running totals form
+    a table of ``buckets`` rows, and rows are then accumulated within ranges.
     """
-    cuts = df.agg(
-        F.percentile_approx(order, [i / buckets for i in range(1, buckets)], ACCURACY)
-    ).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.size(F.filter(bounds, lambda cut: cut < F.col(order)))
-    rows = df.withColumn("_bucket", bucket)
+    if buckets is None:
+        buckets = max(1, -(-df.count() // BUCKET_ROWS))
+    rows = materialize(
+        df.repartitionByRange(buckets, order).withColumn("_bucket", F.spark_partition_id()), "ranges"
+    )
     direction = F.desc if descending else F.asc
     totals = rows.groupBy("_bucket").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
-    # Partition-less window over at most ``buckets`` rows.
+    # Partition-less window over ``buckets`` rows.
     before = Window.orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "_bucket",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strandloom.functions import numeric as N
 from strandloom.operators.balance import attach_by_key
 from strandloom.operators.describe import unpivoted, wide_aggregate
+from strandloom.session import materialize
 
 
 def label_moments(df: DataFrame, features: list[str], by: list[str] | None = None) -> DataFrame:
@@ -95,7 +96,7 @@ def feature_tests(
 # --- bootstrap ---------------------------------------------------------------------------------
 
 VALUES_PER_PART = 4096
-MOST_PARTS = 1024
+FANOUT = 1024
 
 
 def _generator(seed: int, *names) -> np.random.Generator:
@@ -109,17 +110,17 @@ def bootstrap_p(
 
     Both sides are redrawn with replacement from the pooled values; the p-value is the share of
     redraws with a difference at least as large as the observed one. The draw is a multinomial
-    over all pooled values, done in two steps so that no task holds a whole group: first how many
-    draws fall to each part of the values, then the draws within each part. Values are counted
-    beforehand, so equal values cost one entry. Draws are seeded by group, feature and part and
-    repeat when a task is run again.
+    over all pooled values, done in steps so that no task holds a whole group: first how many
+    draws fall to each part of the values, then the draws within each part. More than FANOUT parts are
+    drawn for as a tree of that fan-out, level by level. Values are counted beforehand, so equal values
+    cost one entry. Draws are seeded by group, feature, level and part and repeat when a task is run again.
     """
     key = [*by, "feature"]
-    counted = unpivoted(df, [*by, "label"], features).groupBy(*key, "value").agg(
+    counted = materialize(unpivoted(df, [*by, "label"], features).groupBy(*key, "value").agg(
         F.count_if(F.col("label") == "TP").alias("tp"),
         F.count_if(F.col("label") == "FP").alias("fp"),
-    )
-    groups = (
+    ), "value-counts")
+    groups = materialize(
         counted.groupBy(*key).agg(
             F.count("*").alias("values"),
             F.sum("tp").alias("tp_n"), F.sum("fp").alias("fp_n"),
@@ -130,32 +131,33 @@ def bootstrap_p(
         .select(
             *key, "values", "tp_n", "fp_n",
             F.abs(F.col("tp_sum") / F.col("tp_n") - F.col("fp_sum") / F.col("fp_n")).alias("gap"),
-            F.least(F.ceil(F.col("values") / VALUES_PER_PART), F.lit(MOST_PARTS)).alias("parts"),
-        )
+            F.ceil(F.col("values") / VALUES_PER_PART).alias("parts"),
+        ), "value-groups",
     )
     parts = attach_by_key(
-        counted, groups.select(*key, "values", "parts", "tp_n", "fp_n"), key, "values", ["value"]
+        counted, groups.select(*key, "values", "parts"), key, "values", ["value"]
     ).where(F.col("parts").isNotNull()).select(
         *key, F.pmod(F.xxhash64("value"), "parts").alias("part"),
-        "value", (F.col("tp") + F.col("fp")).alias("weight"), "tp_n", "fp_n",
-    )
-    sizes = parts.groupBy(*key, "part").agg(
-        F.sum("weight").alias("weight"), F.first("tp_n").alias("tp_n"), F.first("fp_n").alias("fp_n")
+        "value", (F.col("tp") + F.col("fp")).alias("weight"),
     )
+    sizes = parts.groupBy(*key, "part").agg(F.sum("weight").alias("weight"))
     key_fields = ", ".join(f"`{c}` string" for c in key)
 
-    def share_draws(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Draws per part, for one group: at most MOST_PARTS rows."""
-        pdf = pdf.sort_values("part")
-        names = pdf[key].iloc[0].tolist()
-        rng = _generator(seed, *names, "shares")
-        share = pdf["weight"].to_numpy(dtype=float)
-        share /= share.sum()
-        tp = rng.multinomial(int(pdf["tp_n"].iloc[0]), share, size=n_boot)
-        fp = rng.multinomial(int(pdf["fp_n"].iloc[0]), share, size=n_boot)
-        out = pdf[[*key, "part"]].copy()
-        out["tp_draws"], out["fp_draws"] = list(tp.T), list(fp.T)
-        return out
+    def share_draws(level: int):
+        def run(children: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+            """Draws per child, for one parent with at most FANOUT children."""
+            children = children.sort_values("part")
+            names = children[key].iloc[0].tolist()
+            rng = _generator(seed, *names, "shares", level, int(children["parent"].iloc[0]))
+            share = children["weight"].to_numpy(dtype=float)
+            share /= share.sum()
+            out = children[[*key, "part"]].copy()
+            for side in ("tp_draws", "fp_draws"):
+                number = np.asarray(draws[side].iloc[0], dtype=np.int64)
+                out[side] = list(rng.multinomial(number, share).T)
+            return out
+
+        return run
 
     def draw_sums(values: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
         """Sums of the drawn values of one part, for each redraw."""
@@ -171,9 +173,24 @@ def bootstrap_p(
             out[f"{side}_sums"] = [rng.multinomial(number, share) @ level]
         return out
 
-    shares = sizes.groupBy(*key).applyInPandas(
-        share_draws, f"{key_fields}, part long, tp_draws array<long>, fp_draws array<long>"
-    )
+    levels, most = 1, groups.agg(F.max("parts")).first()[0] or 1
+    while FANOUT**levels < most:
+        levels += 1
+    shares = groups.select(*key, F.lit(0).cast("long").alias("part"), *[
+        F.array_repeat(F.col(f"{side}_n"), n_boot).alias(f"{side}_draws") for side in ("tp", "fp")
+    ])
+    for level in reversed(range(levels)):
+        children = sizes.groupBy(*key, F.floor(F.col("part") / FANOUT**level).alias("part")).agg(
+            F.sum("weight").alias("weight")
+        ).withColumn("parent", F.floor(F.col("part") / FANOUT))
+        shares = (
+            children.groupBy(*key, "parent")
+            .cogroup(shares.withColumnRenamed("part", "parent").groupBy(*key, "parent"))
+            .applyInPandas(
+                share_draws(level),
+                f"{key_fields}, part long, tp_draws array<long>, fp_draws array<long>",
+            )
+        )
     sums = parts.groupBy(*key, "part").cogroup(shares.groupBy(*key, "part")).applyInPandas(
         draw_sums, f"{key_fields}, tp_sums array<double>, fp_sums array<double>"
     )

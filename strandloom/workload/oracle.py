@@ -1,8 +1,8 @@
 """Comparison SQL for DuckDB, one statement per registered query.
 
 Written from the definitions, on its own: it shares the input views with the Spark side and
-nothing else. Queries without a closed SQL form (tail probabilities, redraws, model fits, a
-sample of records) have none.
+nothing else. Redraws and model fits have no SQL. The tail of the t distribution is an integral, taken
+here by Simpson's rule.
 """
 
 from __future__ import annotations
@@ -227,8 +227,8 @@ FROM {source} r JOIN (
 ) v ON r.rname = v.chrom AND r.start0 < v.hi AND r.end0 > v.lo"""
 
 
-_step("pairs", _pairs(100, "fetchable"), "fetchable", "variants")
-_step("touching", _pairs(1, "spans"), "spans", "variants")
+_step("pairs", _pairs(2000, "fetchable"), "fetchable", "variants")
+_step("touching", _pairs(2000, "spans"), "spans", "variants")
 
 
 def _alleles_of(source: str) -> str:
@@ -289,7 +289,7 @@ SELECT s.chrom, CAST(c.ref_pos AS INT) AS methyl_pos, s.somatic_pos, s.variant_t
   {_TAG} AS haplotype_tag, CAST(CAST(c.qual AS DOUBLE) / 255 AS FLOAT) AS meth_call,
   CASE WHEN (s.flag & 16) > 0 THEN '-' ELSE '+' END AS strand, s.qname AS read_id
 FROM supporting s JOIN calls c USING (ord_block, ord_row)
-WHERE (s.flag & 1796) = 0 AND abs(c.ref_pos - s.somatic_pos) <= 100
+WHERE (s.flag & 1796) = 0 AND abs(c.ref_pos - s.somatic_pos) <= 2000
 """, "supporting", "calls")
 
 
@@ -467,6 +467,19 @@ SELECT feature, label, bin, {_r('lo + (hi - lo) * bin / 50')} AS left_edge, coun
 _oracle(
     "welch_t", f"SELECT feature, {_r(_T)} AS t_stat, {_r(_DF)} AS t_df FROM moments", "moments"
 )
+# Two-sided tail: with x = sqrt(df) * tan(a), the density becomes a power of the cosine.
+_oracle("welch_p", f"""
+SELECT feature, {_r('m1')} AS TP_mean, {_r('m2')} AS FP_mean, {_r('t')} AS t_stat,
+  {_r('p')} AS p_val, {_r('d')} AS cohen_d, coalesce(p < 0.05, false) AS significant
+FROM (
+  SELECT feature, m1, m2, t, d, greatest(0, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2))
+    / sqrt(pi()) * atan(abs(t) / sqrt(df)) / 6000 * sum(
+      CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+      * pow(cos(i / 2000 * atan(abs(t) / sqrt(df))), df - 1))) AS p
+  FROM (SELECT feature, m1, m2, {_T} AS t, {_DF} AS df, (m1 - m2) / sqrt((v1 + v2) / 2) AS d FROM moments)
+  CROSS JOIN range(0, 2001) s(i)
+  GROUP BY feature, m1, m2, t, df, d)
+""", "moments")
 _oracle("cohens_d", f"""
 SELECT feature, {_r('(m1 - m2) / sqrt((v1 + v2) / 2)')} AS d_simple, {_r(_D2)} AS d_weighted
 FROM moments
@@ -615,7 +628,7 @@ _oracle("read_span", "SELECT qname, cigar, start0, end0 FROM spans", "spans")
 _oracle("cigar_blocks", "SELECT qname, pos, query_start, ref_start, length FROM blocks", "blocks")
 _oracle("basemod_explode", """
 SELECT a.qname, CAST(c.ref_pos AS INT) AS ref_pos, CAST(c.qual AS INT) AS qual
-FROM calls c JOIN aln a USING (ord_block, ord_row) WHERE abs(c.ref_pos - a.pos) <= 1000
+FROM calls c JOIN aln a USING (ord_block, ord_row) WHERE abs(c.ref_pos - a.pos) <= 2000
 """, "calls", "aln")
 for _name in ("interval_join", "interval_join_shuffled"):
     _oracle(_name, f"SELECT {_PAIR} FROM pairs", "pairs")

@@ -23,8 +23,8 @@ from strandloom.workload.views import spark_view
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-WINDOW = 100
-CONFIG = RunConfig(window_size=WINDOW, min_strand_reads=1)
+WINDOW = RunConfig().window_size
+CONFIG = RunConfig(min_strand_reads=1)
 VCFS = ["fp", "tp"]
 HIGH, LOW = 0.8, 0.2
 
@@ -297,7 +297,8 @@ def welch_t(spark, d):
 
 @query
 def welch_p(spark, d):
-    return T.stat_tests(features(spark, d), FEATURES)
+    tested = T.stat_tests(features(spark, d), FEATURES)
+    return rounded(tested, "TP_mean", "FP_mean", "t_stat", "p_val", "cohen_d")
 
 
 @query
@@ -329,12 +330,12 @@ def bonferroni(spark, d):
 @query
 def bootstrap_p(spark, d):
     df = stored_features(spark, d).withColumn("group", F.col("variant_type"))
-    return T.bootstrap_p(df, FEATURES, ["group"], n_boot=200, seed=1)
+    return T.bootstrap_p(df, FEATURES, ["group"], seed=1)
 
 
 @query
 def feature_stats(spark, d):
-    return T.feature_tests(stored_features(spark, d), FEATURES, "haplotype_tag", n_boot=100, seed=1)
+    return T.feature_tests(stored_features(spark, d), FEATURES, "haplotype_tag", seed=1)
 
 
 @query
@@ -555,7 +556,7 @@ def cigar_blocks(spark, d):
 
 @query
 def basemod_explode(spark, d):
-    low, high = F.col("pos") - 1000, F.col("pos") + 1000
+    low, high = F.col("pos") - WINDOW, F.col("pos") + WINDOW
     called = reads(spark, d).where(F.col("mm").isNotNull()).select("qname", F.explode(
         B.methylation_calls("seq", "flag", "pos", "cigar", "mm", "ml", low, high)
     ).alias("call"))
@@ -606,7 +607,7 @@ def depth_cap_topn(spark, d):
 def allele_call(spark, d):
     spans = R.with_span(reads(spark, d)).withColumnRenamed("rname", "chrom")
     pairs = O.overlap_join(
-        spans, E.variant_windows(variants(spark, d), 1), bin_size=O.bin_size_for(spans, 2)
+        spans, E.variant_windows(variants(spark, d), WINDOW), bin_size=O.bin_size_for(spans, 2 * WINDOW)
     )
     return E.allele_support(pairs).select(
         "qname", "chrom", "somatic_pos", "ref", "alt", "vcf_source_id",

@@ -9,6 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Setting for small test tables of a single split: the number of parts to cut them into. Unset, as it
+#: should be for tables of real size, they are read as they are.
+PARTITIONS_KEY = "spark.strandloom.viewPartitions"
+
 _SITE_TEXT = """
 SELECT 'chr' || CAST(l_partkey % 3 + 1 AS {str}) AS chrom,
   CAST({part} * 5000 + 10000 + (l_suppkey % 41) * 100 - 2000 AS INT) AS methyl_pos,
@@ -117,20 +121,12 @@ def spark_view(spark: SparkSession, folder: str, name: str) -> DataFrame:
                          ("{slice}", "slice")):
         text = text.replace(place, value)
     table = spark.read.parquet(f"{folder}/{base}.parquet")
-    if name in ("aln", "sites", "sparse_sites"):
-        table = _spread(table)
+    parts = spark.conf.get(PARTITIONS_KEY, None)
+    if parts and base == "lineitem":
+        table = table.repartition(int(parts))
     return spark.sql(text, **{base: table})
 
 
-def _spread(table: DataFrame) -> DataFrame:
-    """At least one split per core for the work on each row.
-
-    Files of real size come in many splits; a small test table is a single one.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if len(table.inputFiles()) >= cores else table.repartition(cores)
-
-
 def duckdb_view(name: str) -> str:
     """The same view as SQL text for DuckDB."""
     text = VIEWS[name]

@@ -71,6 +71,40 @@ def test_chi_square(spark):
     assert C.chi_square(counts(spark, (5, 0), (3, 0))).first()["p_value"] is None
 
 
+def test_grid_of_an_empty_table_is_whole(spark):
+    df = spark.createDataFrame([], "label string, normal double, delta double, n int")
+    rows = G.rate_grid(df, [0.0, 0.5], [0.0, 0.1], [0, 5, 9], "n").collect()
+    assert len(rows) == 12 and all(r["TPR"] is None and r["FPR"] is None for r in rows)
+
+
+def test_large_grid(spark):
+    """125,000 cells, each against the plain count."""
+    rng = np.random.default_rng(3)
+    rows = [("TP" if i % 2 else "FP", float(a), float(b), int(c)) for i, (a, b, c) in
+            enumerate(zip(rng.random(60), rng.random(60), rng.integers(0, 50, 60)))]
+    df = spark.createDataFrame(rows, "label string, normal double, delta double, n int")
+    ths = [i / 50 for i in range(50)]
+    got = G.rate_grid(df, ths, ths, list(range(50)), "n").toPandas()
+    assert len(got) == 125_000
+    v = {k: np.array([r[j] for r in rows]) for j, k in enumerate(("label", "normal", "delta", "n"))}
+    for r in got.sample(200, random_state=1).itertuples():
+        met = (v["normal"] >= r.normal_th) & (v["delta"] >= r.delta_th) & (v["n"] >= r.read_th)
+        assert near(r.TPR, met[v["label"] == "TP"].mean(), 1e-12)
+        assert near(r.FPR, met[v["label"] == "FP"].mean(), 1e-12)
+
+
+def test_detail_features_count_without_multiplying(spark, capsys):
+    key = "'chr1' chrom, 5 somatic_pos, 'SNV' variant_type, 'tp' vcf_source_id, 'ref' somatic_allele_type"
+    df = spark.sql(f"""SELECT {key}, h haplotype_tag, r read_id, p methyl_pos, CAST(c AS FLOAT) meth_call
+      FROM VALUES ('1', 'a', 1, 0.5), ('1', 'a', 2, 1.0), ('1', 'b', 1, NULL), ('1', NULL, NULL, 0.0),
+        (NULL, 'a', 3, NULL) t(h, r, p, c)""")
+    got = C.detail_features(df)
+    rows = {r["haplotype_tag"]: tuple(r)[-3:] for r in got.collect()}
+    assert rows == {"1": (2, 2, 0.5), None: (1, 1, None)}
+    got.explain()
+    assert "Expand" not in capsys.readouterr().out
+
+
 def test_grids_match_plain_loops(spark):
     rng = random.Random(2)
     pick = lambda: rng.choice([None, rng.random(), rng.random()])
@@ -132,6 +166,17 @@ def test_bootstrap_near_a_plain_one(spark, monkeypatch):
     assert run(1) == first
 
 
+def test_bootstrap_over_a_tree_of_parts(spark, monkeypatch):
+    """With four values a part and a fan-out of three, draws pass four levels."""
+    monkeypatch.setattr(T, "VALUES_PER_PART", 4)
+    monkeypatch.setattr(T, "FANOUT", 3)
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(0, 1, 120), rng.normal(0.25, 1.3, 90)
+    df = labelled(spark, x, y).withColumn("g", F.lit("a"))
+    got = T.bootstrap_p(df, ["x"], ["g"], n_boot=2000, seed=1).first()["p_boot"]
+    assert near(got, plain_bootstrap(x, y, 20000, rng), 0.04)
+
+
 def test_grouped_feature_tests(spark):
     rows = [("TP", "a", i % 7, None) for i in range(20)] + [("FP", "a", i % 5, 1.0) for i in range(20)]
     rows += [("TP", "b", 1, 1.0), ("FP", "b", 2, 1.0), ("FP", None, 2, 1.0)]

@@ -11,10 +11,10 @@ from tests.helpers import near, site_rows
 
 @pytest.fixture
 def nothing_fits(monkeypatch):
-    """No table is small enough to broadcast, and few keys count as heavy."""
+    """No table is small enough to broadcast, and few rows make a key heavy."""
     monkeypatch.setattr(B, "fits_broadcast", lambda df, **_: False)
     monkeypatch.setattr(O, "fits_broadcast", lambda df, **_: False)
-    monkeypatch.setattr(B, "HEAVY_KEYS", 3)
+    monkeypatch.setattr(B, "HEAVY_ROWS", 50)
 
 
 def skewed_rows(n=600):
@@ -57,6 +57,13 @@ def test_heavy_rows_are_spread(spark, nothing_fits):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_number_of_heavy_keys_is_bounded(spark, nothing_fits, monkeypatch):
+    """The rows a task may hold rise where too many keys would be heavy; the result is the same."""
+    monkeypatch.setattr(B, "HEAVY_ROWS", 1)
+    monkeypatch.setattr(B, "MOST_HEAVY", 4)
+    test_attach_by_key(spark, None)
+
+
 def test_semi_join(spark, nothing_fits):
     rows = skewed_rows()
     left = spark.createDataFrame(rows, "k string, v int")
@@ -137,7 +144,7 @@ def test_exact_quantiles(spark, size):
 
 
 @pytest.mark.parametrize("descending", [True, False])
-@pytest.mark.parametrize("buckets", [2, 7, 256])
+@pytest.mark.parametrize("buckets", [None, 2, 7, 256])
 def test_running_totals(spark, descending, buckets):
     values = list({round(random.Random(1).random() * i, 4) for i in range(1, 500)})
     df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "o double, n long")
