@@ -7,8 +7,8 @@ import logging
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.config import RunConfig
-from strandloom.operators.extract import methylation_sites
-from strandloom.operators.reads import samples_union, tag_report
+from strandloom.operators.extract import methylation_sites, window_tiles
+from strandloom.operators.reads import SAMPLE_SIZE, samples_union, tag_report
 from strandloom.operators.summary import level3_statistics
 from strandloom.operators.variants import variants_from_records
 from strandloom.plans.analyze import analyze
@@ -25,17 +25,23 @@ def load_variants(spark: SparkSession, config: RunConfig) -> DataFrame:
     return variants_from_records(read_vcf(spark, *config.vcf_files), config.min_allele, regions)
 
 
-def load_samples(spark: SparkSession, config: RunConfig) -> DataFrame | None:
-    """Both samples under their names; one without modification tags is left out."""
+def load_samples(
+    spark: SparkSession, config: RunConfig, variants: DataFrame | None = None
+) -> DataFrame | None:
+    """Both samples under their names; one without modification tags is left out.
+
+    With ``variants``, indexed files are read around their windows only. The tag check looks at the
+    first records of the whole file.
+    """
     samples = {}
+    tiles = None if variants is None else window_tiles(variants, config.window_size)
     for name, path in (("tumor", config.tumor_bam), ("normal", config.normal_bam)):
         if not path or path == "-":
             continue
-        reads = read_alignments(spark, path, sample=name)
-        tags = tag_report(reads)
+        tags = tag_report(read_alignments(spark, path, sample=name, head=SAMPLE_SIZE))
         log.info("%s: %s", name, tags)
         if tags.has_methylation:
-            samples[name] = reads
+            samples[name] = read_alignments(spark, path, sample=name, tiles=tiles)
         else:
             log.warning("%s has no modification tags and is skipped", name)
     return samples_union(**samples) if samples else None
@@ -51,7 +57,7 @@ def run(spark: SparkSession, config: RunConfig, mode: str = "errorifexists") ->
     names = [
         r[0] for r in variants.select("vcf_source_id").distinct().orderBy("vcf_source_id").collect()
     ]
-    reads = load_samples(spark, config)
+    reads = load_samples(spark, config, variants)
     if not names or reads is None:
         log.warning("nothing to analyse")
         return []

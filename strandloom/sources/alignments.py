@@ -62,13 +62,20 @@ def read_sam(spark: SparkSession, *paths: str, sample: str | None = None) -> Dat
     return sam_reads(lines, sample)
 
 
-def read_alignments(spark: SparkSession, *paths: str, sample: str | None = None) -> DataFrame:
-    """Reads from SAM text, BAM or a Parquet reads table, by file name."""
+def read_alignments(
+    spark: SparkSession, *paths: str, sample: str | None = None,
+    tiles: dict[str, list[tuple[int, int]]] | None = None, head: int | None = None,
+) -> DataFrame:
+    """Reads from SAM text, BAM or a Parquet reads table, by file name.
+
+    ``tiles`` and ``head`` let BAM files leave out reads elsewhere, or after the first; other files
+    give all their reads.
+    """
     from strandloom.sources.bam import read_bam
 
     if all(p.endswith(".parquet") for p in paths):
         reads = spark.read.schema(READS).parquet(*paths)
         return reads.withColumn("bam_source_id", F.lit(sample)) if sample else reads
     if all(p.endswith(".bam") for p in paths):
-        return read_bam(spark, *paths, sample=sample)
+        return read_bam(spark, *paths, sample=sample, tiles=tiles, head=head)
     return read_sam(spark, *paths, sample=sample)

@@ -1,13 +1,15 @@
 """Binary alignment files (BAM) as a Spark data source.
 
 A file is read in parallel at record starts taken from its index, so each task decodes its own
-compressed range. Without an index a file is one task.
+compressed range. Given tiles of the genome, only the ranges are read that the index names for them.
+Without an index a file is one task and read whole.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,10 @@ from strandloom.schema import READS
 
 SPLIT_BYTES = 64 * 1024 * 1024
 BATCH_ROWS = 2000
+BATCH_BYTES = 8 * 1024 * 1024
+
+#: Runs of tiles per chromosome: (first, last), in order, last included.
+Tiles = dict[str, list[tuple[int, int]]]
 
 # Fixed values of the format.
 CIGAR_OPS = "MIDNSHP=X"
@@ -28,6 +34,10 @@ BASES = np.frombuffer(b"=ACMGRSVTWYHKDBN", dtype=np.uint8)
 NUMBER_TAGS = {
     "c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f",
 }
+# A tile is the unit of the linear index. Bins: bits of the width of a level, and its first number.
+TILE_BITS = 14
+BIN_LEVELS = ((29, 0), (26, 1), (23, 9), (20, 73), (17, 585), (14, 4681))
+PSEUDO_BIN = 37450
 ARRAY_TYPES = {"c": "i1", "C": "u1", "s": "<i2", "S": "<u2", "i": "<i4", "I": "<u4", "f": "<f4"}
 
 
@@ -113,22 +123,67 @@ def _read_header(stream: BlockStream) -> list[str]:
     return names
 
 
-def index_offsets(data: bytes) -> list[int]:
-    """Record starts named by a BAI index, in file order."""
-    if data[:4] != b"BAI\1":
-        raise ValueError("not a BAI index")
-    at, starts = 8, set()
-    for _ in range(struct.unpack_from("<i", data, 4)[0]):
-        bins = struct.unpack_from("<i", data, at)[0]
-        at += 4
-        for _ in range(bins):
-            number, chunks = struct.unpack_from("<Ii", data, at)
-            at += 8
-            if number != 37450:  # the pseudo-bin holds counts, not places
-                starts.update(struct.unpack_from(f"<{2 * chunks}Q", data, at)[::2])
-            at += 16 * chunks
-        at += 4 + 8 * struct.unpack_from("<i", data, at)[0]
-    return sorted(starts)
+class Index:
+    """Chunks (virtual offsets) by reference and bin, and the linear index, of a BAI file."""
+
+    def __init__(self, data: bytes):
+        if data[:4] != b"BAI\1":
+            raise ValueError("not a BAI index")
+        self.chunks: list[dict[int, np.ndarray]] = []
+        self.linear: list[np.ndarray] = []
+        at = 8
+        for _ in range(struct.unpack_from("<i", data, 4)[0]):
+            bins, chunks = struct.unpack_from("<i", data, at)[0], {}
+            at += 4
+            for _ in range(bins):
+                number, count = struct.unpack_from("<Ii", data, at)
+                at += 8
+                if number != PSEUDO_BIN:  # which holds counts, not places
+                    chunks[number] = np.frombuffer(data, "<u8", 2 * count, at).reshape(-1, 2)
+                at += 16 * count
+            size = struct.unpack_from("<i", data, at)[0]
+            self.chunks.append(chunks)
+            self.linear.append(np.frombuffer(data, "<u8", size, at + 4))
+            at += 4 + 8 * size
+
+    def starts(self) -> list[int]:
+        """Record starts named by the index, in file order."""
+        return sorted({int(c[0]) for bins in self.chunks for chunks in bins.values() for c in chunks})
+
+    def ranges(self, names: list[str], tiles: Tiles) -> list[tuple[int, int]]:
+        """Disjoint ranges, in file order, with every record that overlaps one of the tiles."""
+        found = []
+        for ref, name in enumerate(names[:len(self.chunks)]):
+            for first, last in tiles.get(name, ()):
+                low, high = first << TILE_BITS, ((last + 1) << TILE_BITS) - 1
+                linear = self.linear[ref]
+                least = int(linear[first]) if first < len(linear) else 0
+                for bits, offset in BIN_LEVELS:
+                    wanted = range(offset + (low >> bits), offset + (high >> bits) + 1)
+                    for number in wanted:
+                        chunks = self.chunks[ref].get(number, ())
+                        found += [(int(a), int(b)) for a, b in chunks if b > least]
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(found):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        return merged
+
+
+def tiles_text(tiles: Tiles) -> str:
+    return "\n".join(
+        f"{name}\t" + ",".join(f"{a}-{b}" for a, b in runs) for name, runs in tiles.items()
+    )
+
+
+def _parse_tiles(text: str) -> Tiles:
+    tiles: Tiles = {}
+    for part in filter(None, text.split("\n")):
+        name, runs = part.rsplit("\t", 1)
+        tiles[name] = [tuple(map(int, run.split("-"))) for run in runs.split(",")]
+    return tiles
 
 
 def _tags(data: bytes) -> dict[str, tuple[str, object]]:
@@ -189,8 +244,33 @@ def _record(data: bytes, place: int, names: list[str], sample: str | None) -> di
 
 
 class BamRange(InputPartition):
-    def __init__(self, path: str, start: int | None, end: int | None):
-        self.path, self.start, self.end = path, start, end
+    """Ranges of virtual offsets of one file; None is the first record, or the end of the file."""
+
+    def __init__(self, path: str, ranges: list[tuple[int | None, int | None]]):
+        self.path, self.ranges = path, ranges
+
+
+def _cut(ranges: list[tuple], starts: list[int], size: int) -> list[list[tuple]]:
+    """Ranges put together to about ``size`` compressed bytes; longer ones are cut at ``starts``."""
+    pieces = []
+    for a, b in ranges:
+        last = a if a is not None else next(iter(starts), 0)
+        for start in starts[bisect_right(starts, last):]:
+            if b is not None and start >= b:
+                break
+            if (start >> 16) - (last >> 16) >= size:
+                pieces.append((a, start))
+                a = last = start
+        pieces.append((a, b))
+    groups, held = [], 0
+    for a, b in pieces:
+        length = size if b is None else (b >> 16) - ((a or 0) >> 16) + 1
+        if not groups or held + length > size:
+            groups.append([])
+            held = 0
+        groups[-1].append((a, b))
+        held += length
+    return groups
 
 
 class BamReader(DataSourceReader):
@@ -198,48 +278,57 @@ class BamReader(DataSourceReader):
         self.paths = options["paths"].split("\n")
         self.sample = options.get("sample")
         self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
+        self.tiles = None if "tiles" not in options else _parse_tiles(options["tiles"])
+        self.head = None if "head" not in options else int(options["head"])
 
     def partitions(self) -> list[BamRange]:
-        ranges = []
+        found = []
         for path in self.paths:
-            index = next(
-                (p for p in (path + ".bai", path[:-4] + ".bai") if _exists(p)), None
-            )
-            cuts: list[int | None] = [None]
-            if index:
-                with _open(index) as f:
-                    starts = index_offsets(f.read())
-                last = starts[0] >> 16 if starts else 0
-                for start in starts:
-                    if (start >> 16) - last >= self.split_bytes:
-                        cuts.append(start)
-                        last = start >> 16
-            ranges += [BamRange(path, a, b) for a, b in zip(cuts, [*cuts[1:], None])]
-        return ranges
+            place = next((p for p in (path + ".bai", path[:-4] + ".bai") if _exists(p)), None)
+            if place is None or self.head is not None:
+                found.append(BamRange(path, [(None, None)]))
+                continue
+            with _open(place) as f:
+                index = Index(f.read())
+            ranges: list[tuple] = [(None, None)]
+            if self.tiles is not None:
+                with _open(path) as f:
+                    ranges = index.ranges(_read_header(BlockStream(f)), self.tiles)
+            found += [BamRange(path, g) for g in _cut(ranges, index.starts(), self.split_bytes)]
+        return found or [BamRange(self.paths[0], [])]
 
     def read(self, partition: BamRange) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(READS)
+
+        def batch(rows: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(column, field.type) for column, field in zip(zip(*rows), schema)],
+                schema=schema,
+            )
+
         with _open(partition.path) as file:
-            stream = BlockStream(file)
-            names = _read_header(stream)
-            if partition.start is not None:
-                stream = BlockStream(file, partition.start)
-            rows = []
-            while True:
-                place = stream.tell()
-                if partition.end is not None and place >= partition.end:
-                    break
-                head = stream.read(4)
-                if len(head) < 4:
-                    break
-                rows.append(_record(
-                    stream.read(struct.unpack("<i", head)[0]), place, names, self.sample
-                ))
-                if len(rows) == BATCH_ROWS:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows = []
+            first = BlockStream(file)
+            names = _read_header(first)
+            rows, held, left = [], 0, self.head
+            for start, end in partition.ranges:
+                stream = first if start is None else BlockStream(file, start)
+                while left is None or left > 0:
+                    place = stream.tell()
+                    if end is not None and place >= end:
+                        break
+                    head = stream.read(4)
+                    if len(head) < 4:
+                        break
+                    data = stream.read(struct.unpack("<i", head)[0])
+                    record = _record(data, place, names, self.sample)
+                    rows.append([record[c] for c in schema.names])
+                    held += len(data)
+                    left = None if left is None else left - 1
+                    if len(rows) == BATCH_ROWS or held >= BATCH_BYTES:
+                        yield batch(rows)
+                        rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield batch(rows)
 
 
 class BamSource(DataSource):
@@ -255,12 +344,21 @@ class BamSource(DataSource):
 
 
 def read_bam(
-    spark: SparkSession, *paths: str, sample: str | None = None, split_bytes: int = SPLIT_BYTES
+    spark: SparkSession, *paths: str, sample: str | None = None, split_bytes: int = SPLIT_BYTES,
+    tiles: Tiles | None = None, head: int | None = None,
 ) -> DataFrame:
-    """Records of BAM files."""
+    """Records of BAM files.
+
+    With ``tiles``, an indexed file gives every record that overlaps one of them and some around; a
+    file without an index is read whole. With ``head``, only so many first records of each file.
+    """
     spark.dataSource.register(BamSource)
     reader = spark.read.format("strandloom_bam").option("paths", "\n".join(paths))
     reader = reader.option("splitBytes", str(split_bytes))
     if sample is not None:
         reader = reader.option("sample", sample)
+    if tiles is not None:
+        reader = reader.option("tiles", tiles_text(tiles))
+    if head is not None:
+        reader = reader.option("head", str(head))
     return reader.load()

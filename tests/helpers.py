@@ -126,8 +126,34 @@ def write_bam(path, reads, names=("chr1", "chr2"), per_block=2, index=True):
     with open(path, "wb") as f:
         f.write(b"".join(blocks) + _block(b""))
     if index:
-        chunks = b"".join(struct.pack("<QQ", s, s + 1) for s in starts)
+        chunks = b"".join(struct.pack("<QQ", *c) for c in zip(starts, [*starts[1:], size << 16]))
         with open(path + ".bai", "wb") as f:
             f.write(b"BAI\1" + struct.pack("<i", len(names)))
             f.write(struct.pack("<iIi", 1, 4681, len(starts)) + chunks + struct.pack("<i", 0))
             f.write(struct.pack("<ii", 0, 0) * (len(names) - 1))
+    return [*starts, size << 16]
+
+
+def write_index(path, reads, places, lengths, names=("chr1", "chr2")):
+    """Index of a file with one record a block; ``places`` holds the starts and the end of the last."""
+    out = b"BAI\1" + struct.pack("<i", len(names))
+    for name in names:
+        bins, linear = {}, {}
+        for i, (r, length) in enumerate(zip(reads, lengths)):
+            if r["rname"] != name:
+                continue
+            low, high = r["pos"] - 1, r["pos"] - 2 + length
+            number = next(o + (low >> b) for b, o in (
+                (14, 4681), (17, 585), (20, 73), (23, 9), (26, 1), (29, 0)) if low >> b == high >> b)
+            bins.setdefault(number, []).append((places[i], places[i + 1]))
+            for tile in range(low >> 14, (high >> 14) + 1):
+                linear[tile] = min(linear.get(tile, places[i]), places[i])
+        out += struct.pack("<i", len(bins) + 1)
+        for number, chunks in bins.items():
+            out += struct.pack("<Ii", number, len(chunks))
+            out += b"".join(struct.pack("<QQ", *c) for c in chunks)
+        out += struct.pack("<IiQQQQ", 37450, 2, 0, 0, 0, 0)
+        tiles = max(linear) + 1 if linear else 0
+        out += struct.pack("<i", tiles) + b"".join(struct.pack("<Q", linear.get(t, 0)) for t in range(tiles))
+    with open(path + ".bai", "wb") as f:
+        f.write(out)

@@ -1,6 +1,7 @@
 import glob
 import gzip
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from strandloom.sources.tables import read_sites, read_summary
 from strandloom.streaming.landing import land_sites, site_stream
 from tests.helpers import (
     READ, READ_A, READ_B, READ_C, near, read_rows, sam_line, variant_rows, write_bam,
+    write_index,
 )
 
 CONFIG = RunConfig(window_size=100, max_read_depth=100)
@@ -132,6 +134,36 @@ def test_bam_equals_sam(spark, tmp_path):
     assert [r["qname"] for r in sorted(sam, key=lambda r: r["ord"])] == [r["qname"] for r in reads]
 
 
+def test_bam_around_windows(spark, tmp_path):
+    """Reads around variants: the same pairs as from the whole file, from fewer records."""
+    rng = random.Random(8)
+    spans = sorted((rng.choice(["chr1", "chr2"]), rng.randint(1, 900_000), rng.choice([10, 40_000]))
+                   for _ in range(300))
+    reads = [dict(READ, qname=f"q{i}", rname=c, pos=p, cigar="10M" if n == 10 else f"5M{n - 10}N5M")
+             for i, (c, p, n) in enumerate(spans)]
+    path = str(tmp_path / "x.bam")
+    write_index(path, reads, write_bam(path, reads, per_block=1, index=False), [s[2] for s in spans])
+    variants = variant_rows(spark, *[(p, "A", "C") for p in (50_000, 51_000, 400_000, 899_999)])
+    tiles = E.window_tiles(variants, 2000)
+    assert tiles["chr1"][0] == (2, 3)
+    whole = read_bam(spark, path, sample="tumor", split_bytes=1 << 40)
+    assert whole.count() == 300
+    want = {(r["qname"], r["somatic_pos"])
+            for r in E.reads_near_variants(whole, variants, 2000, 1000).collect()}
+    assert len(want) > 4
+    for size in (1, 500, 1 << 40):
+        pruned = read_bam(spark, path, sample="tumor", split_bytes=size, tiles=tiles)
+        names = [r["qname"] for r in pruned.select("qname").collect()]
+        assert len(names) == len(set(names)) < 150
+        got = {(r["qname"], r["somatic_pos"])
+               for r in E.reads_near_variants(pruned, variants, 2000, 1000).collect()}
+        assert got == want
+    assert read_bam(spark, path, tiles={}).count() == 0
+    assert read_bam(spark, path, tiles={"chrX": [(0, 5)]}).count() == 0
+    first = read_bam(spark, path, head=7).collect()
+    assert [r["qname"] for r in first] == [f"q{i}" for i in range(7)]
+
+
 def test_bam_without_index(spark, tmp_path):
     write_bam(str(tmp_path / "x.bam"), sample(0, 9), index=False)
     assert read_bam(spark, str(tmp_path / "x.bam"), split_bytes=1).count() == 24
