@@ -97,12 +97,29 @@ def feature_tests(
 
 VALUES_PER_PART = 4096
 FANOUT = 1024
+COPIES = 4
 
 
 def _generator(seed: int, *names) -> np.random.Generator:
     return np.random.default_rng([seed, *[zlib.crc32(str(n).encode()) for n in names]])
 
 
+def _sums_of_draws(
+    rng: np.random.Generator, level: np.ndarray, weight: np.ndarray, number: np.ndarray
+) -> np.ndarray:
+    """Sum of ``number[i]`` values drawn with replacement, for each i; a value counts by its weight.
+
+    Where values hardly repeat, the draws themselves are cheaper than a count of draws for each value.
+    """
+    room = COPIES * len(level)
+    if weight.sum() > room or number.sum() > room * len(number):
+        return rng.multinomial(number, weight / weight.sum()) @ level
+    copies = np.repeat(level, weight)
+    drawn = np.concatenate([[0.0], np.cumsum(copies[rng.integers(0, len(copies), number.sum())])])
+    ends = np.cumsum(number)
+    return drawn[ends] - drawn[ends - number]
+
+
 def bootstrap_p(
     df: DataFrame, features: list[str], by: list[str], n_boot: int = 1000, seed: int = 0
 ) -> DataFrame:
@@ -164,13 +181,12 @@ def bootstrap_p(
         values = values.sort_values("value")
         names = values[key].iloc[0].tolist()
         rng = _generator(seed, *names, int(values["part"].iloc[0]))
-        share = values["weight"].to_numpy(dtype=float)
-        share /= share.sum()
+        weight = values["weight"].to_numpy(dtype=np.int64)
         level = values["value"].to_numpy(dtype=float)
         out = draws[[*key]].copy()
         for side in ("tp", "fp"):
             number = np.asarray(draws[f"{side}_draws"].iloc[0], dtype=np.int64)
-            out[f"{side}_sums"] = [rng.multinomial(number, share) @ level]
+            out[f"{side}_sums"] = [_sums_of_draws(rng, level, weight, number)]
         return out
 
     levels, most = 1, groups.agg(F.max("parts")).first()[0] or 1

@@ -166,6 +166,17 @@ def test_bootstrap_near_a_plain_one(spark, monkeypatch):
     assert run(1) == first
 
 
+@pytest.mark.parametrize("weight", [1, 2, 50])
+def test_sums_of_draws(weight):
+    """Mean and variance of the sums, on either way of drawing."""
+    rng = np.random.default_rng(2)
+    level, number = rng.normal(3, 2, 40), np.array([0] + [30] * 20000 + [0])
+    sums = T._sums_of_draws(rng, level, np.full(40, weight), number)
+    assert sums[0] == sums[-1] == 0 and len(sums) == len(number)
+    assert near(sums[1:-1].mean(), 30 * level.mean(), 0.4)
+    assert near(sums[1:-1].var() / (30 * level.var()), 1, 0.06)
+
+
 def test_bootstrap_over_a_tree_of_parts(spark, monkeypatch):
     """With four values a part and a fan-out of three, draws pass four levels."""
     monkeypatch.setattr(T, "VALUES_PER_PART", 4)
