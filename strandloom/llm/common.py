@@ -15,6 +15,8 @@ from strandloom.session import work_folder
 
 #: White space between words; everything else belongs to a word.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
+#: See ``attach``.
+HEAVY_ROWS, MOST_HEAVY = 10_000, 100_000
 #: Sorts after every other id: a document without an id is never the earlier one.
 NO_ID = (1 << 63) - 1
 
@@ -68,6 +70,29 @@ def scratch_of(owner: str) -> Iterator[None]:
         _OWNER.pop()
 
 
+def attach(
+    rows: DataFrame, values: DataFrame, key: str, weight: str, by: str, how: str = "inner"
+) -> DataFrame:
+    """Join of ``values`` (stored; one row per key) to ``rows`` that no frequent key holds up.
+
+    ``weight`` counts the rows of a key. A key with more than ``HEAVY_ROWS`` has one copy of its values for
+    each such number of rows, and its rows spread over the copies by ``by``. The heavy keys are broadcast:
+    at most ``MOST_HEAVY``, since beyond that the number rises to the share of the rows so few can exceed.
+    Rows without a key are spread as well. The weight is dropped.
+    """
+    part, parts = free_name(rows, "_part"), free_name(rows, "_parts")
+    most = max(HEAVY_ROWS, (values.agg(F.sum(weight)).first()[0] or 0) // MOST_HEAVY)
+    heavy = F.broadcast(values.where(F.col(weight) > most).select(
+        key, F.ceil(F.col(weight) / most).cast("long").alias(parts)))
+    many = F.coalesce(parts, F.lit(1).cast("long"))
+    copies = values.drop(weight).join(heavy, key, "left").withColumn(
+        part, F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop(parts)
+    spread = F.xxhash64(by)
+    tagged = rows.join(heavy, key, "left").withColumn(
+        part, F.when(F.col(key).isNull(), spread).otherwise(F.pmod(spread, many))).drop(parts)
+    return tagged.join(copies, [key, part], how).drop(part)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from strandloom.llm.blocks import (
     DOC_BITS, Segments, U, Words, _mixed, blocked, each_block, with_blocks,
 )
-from strandloom.llm.common import NO_ID, shuffle_width, store
+from strandloom.llm.common import NO_ID, attach, shuffle_width, store
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -87,8 +87,9 @@ def components(edges: DataFrame) -> DataFrame:
     known = None
     while True:
         both = now.unionByName(now.select(F.col("other").alias("node"), F.col("node").alias("other")))
-        least = both.groupBy("node").agg(F.min("other").alias("least")).withColumn("least", F.least("node", "least"))
-        large = both.where("other > node").join(least, "node").select(
+        least = store(both.groupBy("node").agg(
+            F.least("node", F.min("other")).alias("least"), F.count("*").alias("n")), "least")
+        large = attach(both.where("other > node"), least, "node", "n", "other").select(
             F.col("other").alias("node"), F.col("least").alias("other")).distinct()
         large = large.unionByName(least.where("least < node").select("node", F.col("least").alias("other"))).distinct()
         large = store(large, "edges")
@@ -183,8 +184,14 @@ def _verified(threshold: float):
     return run
 
 
+def _parts():
+    """Blocks that the members of a cluster or bucket need."""
+    return F.ceil(F.greatest(
+        F.count("*") / BLOCK_MEMBERS, F.sum("size") / BLOCK_GRAMS)).cast("int").alias("parts")
+
+
 def _joined(docs: DataFrame, doc_id: str, text: str, n: int, threshold: float, recall: float):
-    """Blocks of ``docs``; (block, node, doc, key) of all rows; (key, class_node, class_doc, copies, links)."""
+    """Blocks of ``docs``; (block, node, doc, key) of all rows; (key, copies, class_node, class_doc, links)."""
     bands, rows = bands_for(threshold, recall)
     parameters = _parameters(bands * rows)
     id_at, text_at = docs.columns.index(doc_id), docs.columns.index(text)
@@ -211,13 +218,13 @@ def _joined(docs: DataFrame, doc_id: str, text: str, n: int, threshold: float, r
 
     # Candidates: each member of a bucket is tied to the bucket's smallest.
     hashed = classes.select("node", F.explode("bands").alias("band"))
-    buckets = hashed.groupBy("band").agg(F.min("node").alias("other"), F.count("*").alias("n")).where("n > 1")
-    ties = hashed.join(buckets, "band").select("node", "other")
+    buckets = store(hashed.groupBy("band").agg(
+        F.min("node").alias("other"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    ties = attach(hashed, buckets, "band", "n", "node").select("node", "other")
     clusters = store(components(ties), "clusters")
     members = classes.select("block", "node", "size", "copies", "bands").join(clusters, "node")
-    weights = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("grams")).withColumn(
-        "parts", F.ceil(F.greatest(F.col("n") / BLOCK_MEMBERS, F.col("grams") / BLOCK_GRAMS)).cast("int"))
-    members = store(members.join(weights.select("root", "parts"), "root"), "members")
+    weights = store(members.groupBy("root").agg(F.count("*").alias("n"), _parts()), "weights")
+    members = store(attach(members, weights, "root", "n", "node"), "members")
     total = members.agg(F.sum("size")).first()[0] or 0
     bins = max(shuffle_width(docs.sparkSession), -(-total // TASK_GRAMS))
 
@@ -245,9 +252,9 @@ def _joined(docs: DataFrame, doc_id: str, text: str, n: int, threshold: float, r
     own = classes.select("key", "node", "doc", "copies").join(links, "node", "left").join(found, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     own = store(own, "classes")
-    first = own.groupBy("root").agg(F.min(F.struct("doc", "node")).alias("first"))
-    final = own.join(first, "root").select(
-        "key", F.col("first.node").alias("class_node"), F.nullif("first.doc", F.lit(NO_ID)).alias("class_doc"),
+    first = store(own.groupBy("root").agg(F.min(F.struct("doc", "node")).alias("first"), F.count("*").alias("n")), "first")
+    final = attach(own, first, "root", "n", "node").select(
+        "key", "copies", F.col("first.node").alias("class_node"), F.nullif("first.doc", F.lit(NO_ID)).alias("class_doc"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     return blocks, signed.select("block", "node", "doc", "key"), store(final, "near-classes")
 
@@ -266,7 +273,7 @@ def linked(
     all ids of the class are. An empty table gives no rows. Other columns play no part.
     """
     _, rows, classes = _joined(docs.select(doc_id, text), doc_id, text, n, threshold, recall)
-    return rows.join(classes, "key", "left").select(
+    return attach(rows, classes, "key", "copies", "node", "left").select(
         F.col("doc").alias("doc_id"),
         F.when(F.col("class_node").isNull(), F.col("doc")).otherwise(F.col("class_doc")).alias("class_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
@@ -281,7 +288,7 @@ def one_of_each(
     Of several rows with the smallest id of a class one stays. Rows without words all stay.
     """
     blocks, rows, classes = _joined(docs, doc_id, text, n, threshold, recall)
-    gone = rows.join(classes, "key").where("node <> class_node").select("block", "node")
+    gone = attach(rows, classes, "key", "copies", "node").where("node <> class_node").select("block", "node")
     names = docs.columns
 
     def keep(batch: pa.RecordBatch, info: pa.Table) -> pa.Table:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import jaccard, private, quality, substrings
+from strandloom.llm import common, jaccard, private, quality, substrings
 from strandloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -176,9 +176,10 @@ def near_rows(spark):
     return rows + [(2000, None), (2001, ""), (2002, "a b"), (2003, "a  b"), (2004, "a b c"), (None, base[0]), (1001, base[1])]
 
 
-@pytest.mark.parametrize("members", [400, 7])
-def test_near_join_equals_brute_force(spark, monkeypatch, members):
+@pytest.mark.parametrize("members, heavy", [(400, 10_000), (7, 3)])
+def test_near_join_equals_brute_force(spark, monkeypatch, members, heavy):
     monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", members)
+    monkeypatch.setattr(common, "HEAVY_ROWS", heavy)
     rows = near_rows(spark)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, class_id string").repartition(3)
     order = lambda r: tuple(-1 if x is None else x for x in r)
@@ -195,6 +196,19 @@ def test_near_join_of_nothing(spark):
     assert jaccard.linked(docs).count() == 0 and jaccard.one_of_each(docs).count() == 0
 
 
+@pytest.mark.parametrize("heavy, most", [(2, 100), (2, 1), (100, 100)])
+def test_spread_join_equals_the_plain_one(spark, monkeypatch, heavy, most):
+    monkeypatch.setattr(common, "HEAVY_ROWS", heavy)
+    monkeypatch.setattr(common, "MOST_HEAVY", most)
+    rows = spark.createDataFrame([(None if i % 5 == 0 else i % 3 * (i % 2), i, "x") for i in range(60)], "k long, i long, _part string")
+    values = spark.createDataFrame([(0, "a", 30), (1, "b", 8), (7, "c", 1)], "k long, v string, n long")
+    for how in ("inner", "left"):
+        got = common.attach(rows, values, "k", "n", "i", how)
+        want = rows.join(values.drop("n"), "k", how)
+        assert got.columns == want.columns
+        assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
 def test_many_pairs_are_counted_like_few():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 300, 120)).astype(np.uint64) for _ in range(80)]
