@@ -4,8 +4,10 @@ Documents with equal sets are one class and are represented by the first of them
 hashed in bands; band and row counts follow from the wanted recall at the threshold. Rows
 shuffle on band hashes, where each is tied to the smallest of its bucket only, never to all others.
 What is tied together, directly or not, is a cluster. Clusters travel to tasks with the full sets of their
-members, large clusters in blocks of members, so that each pair of blocks is one task's work. There all
-pairs that share a band are verified, and counts and a spanning forest come out, not pairs.
+members, large clusters in blocks of members, so that each pair of blocks is one task's work. A large
+cluster that is a loose chain of small buckets travels bucket by bucket instead, where that makes fewer
+copies; there a pair is verified in its first common bucket. So all pairs that share a band are verified
+once, and counts and a spanning forest come out, not pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ RECALL = 0.9999
 MOST_HASHES = 128
 #: Members and n-grams of a block of a large cluster, and n-grams of small clusters handled together.
 BLOCK_MEMBERS, BLOCK_GRAMS, TASK_GRAMS = 400, 300_000, 1_500_000
+UNITS = "array<struct<unit:bigint,band:int,parts:int>>"
 
 
 def bands_for(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -134,13 +137,13 @@ def _shared(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
 
 
 def _verified(threshold: float):
-    """Function of the members of some clusters: (node, links, lead)."""
+    """Function of the members of some clusters (band -1) and buckets: (node, links, lead)."""
 
     def run(table: pa.Table) -> pa.Table:
-        root, low, high, node, part, copies = (
-            np.array(table[c]) for c in ("root", "low", "high", "node", "part", "copies"))
-        order = np.lexsort((node, high, low, root))
-        key = np.column_stack([root, low, high])[order]
+        unit, band, low, high, node, part, copies = (
+            np.array(table[c]) for c in ("unit", "band", "low", "high", "node", "part", "copies"))
+        order = np.lexsort((node, high, low, band, unit))
+        key = np.column_stack([unit, band, low, high])[order]
         cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
         grams, bands = table["grams"], table["bands"]
         out = []
@@ -150,8 +153,11 @@ def _verified(threshold: float):
             sets = [np.frombuffer(grams[i].as_py(), U) for i in rows.tolist()]
             marks = np.array([bands[i].as_py() for i in rows.tolist()])
             near = np.zeros((len(rows), len(rows)), bool)
-            for column in marks.T:
+            own = band[rows[0]]
+            for column in marks.T if own < 0 else marks.T[:own]:
                 near |= column[:, None] == column[None, :]
+            if own >= 0:  # a bucket: all share this band, and those that share an earlier one meet there
+                near = ~near
             if low[rows[0]] != high[rows[0]]:
                 side = part[rows]
                 near &= side[:, None] != side[None, :]
@@ -190,6 +196,25 @@ def _parts():
         F.count("*") / BLOCK_MEMBERS, F.sum("size") / BLOCK_GRAMS)).cast("int").alias("parts")
 
 
+def _with_units(members: DataFrame, weights: DataFrame) -> DataFrame:
+    """``members`` with ``units``, where a member meets others: (unit, band, parts).
+
+    That is its cluster (band -1), or each of its buckets if the cluster has several blocks and its
+    buckets make fewer copies of members than all pairs of blocks would.
+    """
+    large = members.where("parts > 1").select("root", "node", "size", F.posexplode("bands").alias("band", "unit"))
+    buckets = store(large.groupBy("unit", "band").agg(
+        F.min("root").alias("root"), F.count("*").alias("n"), _parts()).where("n > 1"), "buckets")
+    loose = store(
+        buckets.groupBy("root").agg(F.sum(F.col("n") * F.col("parts")).alias("copies"), F.count("*").alias("buckets"))
+        .join(weights, "root").where(F.col("copies") < F.col("n") * F.col("parts")).select("root", "buckets"), "loose")
+    chosen = store(attach(buckets, loose, "root", "buckets", "unit").drop("root"), "chosen")
+    own = attach(large.select("node", "unit"), chosen, "unit", "n", "node").groupBy("node").agg(
+        F.collect_list(F.struct("unit", "band", "parts")).alias("units"))
+    whole = F.array(F.struct(F.col("root").alias("unit"), F.lit(-1).alias("band"), "parts"))
+    return members.join(own, "node", "left").withColumn("units", F.coalesce("units", whole))
+
+
 def _joined(docs: DataFrame, doc_id: str, text: str, n: int, threshold: float, recall: float):
     """Blocks of ``docs``; (block, node, doc, key) of all rows; (key, copies, class_node, class_doc, links)."""
     bands, rows = bands_for(threshold, recall)
@@ -225,27 +250,29 @@ def _joined(docs: DataFrame, doc_id: str, text: str, n: int, threshold: float, r
     members = classes.select("block", "node", "size", "copies", "bands").join(clusters, "node")
     weights = store(members.groupBy("root").agg(F.count("*").alias("n"), _parts()), "weights")
     members = store(attach(members, weights, "root", "n", "node"), "members")
-    total = members.agg(F.sum("size")).first()[0] or 0
+    members = store(_with_units(members, weights), "members")
+    alone = F.size(F.filter("units", lambda u: u["parts"] == 1))
+    total = members.agg(F.sum(F.col("size") * alone)).first()[0] or 0
     bins = max(shuffle_width(docs.sparkSession), -(-total // TASK_GRAMS))
 
     def sets_of(batch: pa.RecordBatch, info: pa.Table) -> pa.Table:
         where = [x & ((1 << DOC_BITS) - 1) for x in info["node"].to_pylist()]
         sets = ngrams(Words(batch.column(text_at).take(pa.array(where, pa.int64())).to_pylist()), n) if where else []
-        return info.select(["root", "node", "copies", "parts", "bands"]).append_column(
+        return info.select(["node", "copies", "bands", "units"]).append_column(
             "grams", pa.array([s.tobytes() for s in sets], pa.binary()))
 
     full = with_blocks(
-        blocks, members.select("block", "root", "node", "copies", "parts", "bands"), sets_of,
-        "root long, node long, copies long, parts int, bands array<bigint>, grams binary")
+        blocks, members.select("block", "node", "copies", "bands", "units"), sets_of,
+        f"node long, copies long, bands array<bigint>, units {UNITS}, grams binary")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    spread = full.withColumn("part", part).withColumn(
+    spread = full.select("node", "copies", "bands", "grams", F.inline("units")).withColumn("part", part).withColumn(
         "with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns(
         {"low": F.least("part", "with"), "high": F.greatest("part", "with")})
-    task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(
-        F.xxhash64("root", "low", "high"))
+    task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("unit"), F.lit(bins))).otherwise(
+        F.xxhash64("unit", "low", "high"))
     verified = store(
         spread.withColumn("task", task).select(
-            "task", "root", "low", "high", "node", "part", "copies", "grams", "bands")
+            "task", "unit", "band", "low", "high", "node", "part", "copies", "grams", "bands")
         .groupBy("task").applyInArrow(_verified(threshold), "node long, links long, lead long"), "links")
     found = components(verified.select("node", F.col("lead").alias("other")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))

@@ -191,6 +191,21 @@ def test_near_join_equals_brute_force(spark, monkeypatch, members, heavy):
     assert kept.where("text rlike '[^ ]'").count() == len(classes) and kept.where("text is null or text = ''").count() == 2
 
 
+def test_loose_clusters_are_verified_by_bucket(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 3)
+    rng = np.random.default_rng(8)
+    line = rng.choice([*"abcdefghijklmnop"], 3000)  # texts that overlap the next ones along a line
+    starts = np.cumsum(rng.choice([3, 8, 11], 200))
+    rows = [(i, " ".join(line[at : at + 60])) for i, at in enumerate(starts.tolist())]
+    units = []
+    plain = jaccard._with_units
+    monkeypatch.setattr(jaccard, "_with_units", lambda *a: units.append(plain(*a)) or units[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.linked(docs).collect()) == near(rows)
+    seen = units[0].select(F.inline("units")).groupBy("band").count().collect()
+    assert len([r for r in seen if r.band >= 0]) > 1 and len({c for _, c, _ in near(rows)}) < 200
+
+
 def test_near_join_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.linked(docs).count() == 0 and jaccard.one_of_each(docs).count() == 0
