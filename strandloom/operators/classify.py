@@ -157,7 +157,8 @@ def area_under_curve(curve: DataFrame) -> DataFrame:
 
 
 def prediction_metrics(scored: DataFrame, score: str = "score", cut: float = 0.5) -> DataFrame:
-    """Accuracy, confusion counts, and precision, recall, F1 and support per class."""
+    """Accuracy, confusion counts, precision, recall, F1 and support per class, and their averages:
+    macro, and weighted by support."""
     positive, called = F.col("label") == "TP", F.col(score) > F.lit(cut)
     counts = scored.agg(
         F.count_if(positive & called).alias("tp"), F.count_if(~positive & called).alias("fp"),
@@ -165,7 +166,7 @@ def prediction_metrics(scored: DataFrame, score: str = "score", cut: float = 0.5
     )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return counts.select(
+    per_class = counts.select(
         tp, fp, fn, tn,
         ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
         *[
@@ -179,6 +180,15 @@ def prediction_metrics(scored: DataFrame, score: str = "score", cut: float = 0.5
             )
         ],
     )
+    first, second = F.col("support_TP"), F.col("support_FP")
+    return per_class.select("*", *[
+        average.alias(f"{name}_{kind}")
+        for name in ("precision", "recall", "f1")
+        for a, b in ((F.col(f"{name}_TP"), F.col(f"{name}_FP")),)
+        for kind, average in (
+            ("macro", (a + b) / 2), ("weighted", ratio(a * first + b * second, first + second)),
+        )
+    ])
 
 
 @dataclass(frozen=True)

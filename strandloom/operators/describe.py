@@ -48,16 +48,22 @@ def descriptive_stats(df: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, features: list[str]) -> DataFrame:
-    """count, missing, mean, std, min, quartiles and max per feature and label."""
+def _few(df: DataFrame, by: list[str]) -> DataFrame:
+    """Broadcast of a table with a row per label and feature; with further keys it has no bound."""
+    return F.broadcast(df) if set(by) <= {"label"} else df
+
+
+def describe(df: DataFrame, features: list[str], by: tuple[str, ...] = ("label",)) -> DataFrame:
+    """count, missing, mean, std, min, quartiles and max per feature and label, or the keys ``by``."""
     stats = {**MOMENTS, "missing": lambda c: F.count_if(c.isNull())}
-    moments = wide_aggregate(df, ["label"], features, stats)
+    keys = [*by]
+    moments = wide_aggregate(df, keys, features, stats)
     quartiles = exact_quantiles(
-        unpivoted(df, ["label"], features), ["label", "feature"], "value",
+        unpivoted(df, keys, features), [*keys, "feature"], "value",
         {"q25": 0.25, "q50": 0.5, "q75": 0.75},
     )
-    return moments.join(F.broadcast(quartiles), ["label", "feature"], "left").select(
-        "label", "feature", "count", "missing", "mean", "std", "min", "q25", "q50", "q75", "max"
+    return moments.join(_few(quartiles, keys), [*keys, "feature"], "left").select(
+        *keys, "feature", "count", "missing", "mean", "std", "min", "q25", "q50", "q75", "max"
     )
 
 
@@ -85,22 +91,25 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     ])))
 
 
-def histogram(df: DataFrame, features: list[str], bins: int, shared: bool = False) -> DataFrame:
-    """Equal-width histogram per feature and label; ``shared`` uses one range for both labels.
+def histogram(
+    df: DataFrame, features: list[str], bins: int, shared: bool = False, by: tuple[str, ...] = ("label",)
+) -> DataFrame:
+    """Equal-width histogram per feature and label, or the keys ``by``; ``shared`` uses one range for
+    both labels.
 
     The last bin includes the maximum. Only bins with rows appear.
     """
-    by = [] if shared else ["label"]
-    ranges = wide_aggregate(df, by, features, {"low": F.min, "high": F.max})
-    rows = unpivoted(df, ["label"], features)
-    placed = rows.join(F.broadcast(ranges), [*by, "feature"])
+    ranged = [c for c in by if not (shared and c == "label")]
+    ranges = wide_aggregate(df, ranged, features, {"low": F.min, "high": F.max})
+    rows = unpivoted(df, [*by], features)
+    placed = rows.join(_few(ranges, ranged), [*ranged, "feature"])
     width = F.col("high") - F.col("low")
     place = F.floor((F.col("value") - F.col("low")) / width * bins)
     return (
         placed.withColumn(
             "bin", F.when(width > 0, F.least(place, F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
         )
-        .groupBy("feature", "label", "bin", "low", "high").agg(F.count("*").alias("count"))
+        .groupBy("feature", *by, "bin", "low", "high").agg(F.count("*").alias("count"))
         .withColumn("left_edge", F.col("low") + width * F.col("bin") / bins)
-        .select("feature", "label", "bin", "left_edge", "count")
+        .select("feature", *by, "bin", "left_edge", "count")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.operators import contrast as C, grids as G
 from strandloom.operators.classify import evaluate
@@ -118,7 +118,7 @@ def feature_comparison(
     tp: DataFrame, fp: DataFrame, features: list[str], out: str, group_by: str | None = None,
     n_boot: int = 1000, seed: int = 0, mode: str = "errorifexists",
 ) -> None:
-    """Tests of each feature between two tables, optionally per group."""
+    """Tests of each feature between two tables, optionally per group, and plot data."""
     df = C.distinct_labelled(tp, fp)
     shared = [f for f in features if f in tp.columns and f in fp.columns]
     group = group_by if group_by in tp.columns and group_by in fp.columns else None
@@ -126,5 +126,8 @@ def feature_comparison(
     write_csv(
         result.orderBy("group", "feature"), f"{out}/tp_fp_feature_stats.csv", mode
     )
+    by, rows = (("label",), df) if group is None else (("label", group), df.where(F.col(group).isNotNull()))
+    write_csv(describe(rows, shared, by), f"{out}/feature_distribution.csv", mode)
+    write_csv(histogram(rows, shared, 50, shared=True, by=by), f"{out}/feature_histograms.csv", mode)
     if group is None:
         write_csv(correlation_matrix(df, shared), f"{out}/feature_correlation.csv", mode)

@@ -542,20 +542,28 @@ SELECT {_r("count(*) FILTER (p.score > n.score) / count(*) + count(*) FILTER (p.
 FROM (SELECT score FROM scored WHERE label = 'TP') p
 CROSS JOIN (SELECT score FROM scored WHERE label = 'FP') n
 """, "scored")
+# Precision, recall and F1 of each class, from its hits, false calls and misses.
+_CLASS_METRICS = ", ".join(
+    f"coalesce({hit} / nullif({hit} + {wrong}, 0), 0) AS precision_{side}, "
+    f"coalesce({hit} / nullif({hit} + {missed}, 0), 0) AS recall_{side}, "
+    f"coalesce(2 * {hit} / nullif(2 * {hit} + {wrong} + {missed}, 0), 0) AS f1_{side}, "
+    f"{hit} + {missed} AS support_{side}"
+    for side, hit, wrong, missed in (("TP", "tp", "fp", "fn"), ("FP", "tn", "fn", "fp")))
+_METRICS = ("precision", "recall", "f1")
+_SHOWN = ", ".join([
+    *(_r(f"{m}_{side}") + f' AS "{m}_{side}"' for m in _METRICS for side in ("TP", "FP")),
+    *(_r(f"({m}_TP + {m}_FP) / 2") + f" AS {m}_macro" for m in _METRICS),
+    *(_r(f"({m}_TP * support_TP + {m}_FP * support_FP) / nullif(support_TP + support_FP, 0)")
+      + f" AS {m}_weighted" for m in _METRICS)])
 _oracle("prediction_metrics", f"""
 SELECT tp, fp, fn, tn, {_r('(tp + tn) / (tp + fp + fn + tn)')} AS accuracy,
-  {_r('coalesce(tp / nullif(tp + fp, 0), 0)')} AS "precision_TP",
-  {_r('coalesce(tp / nullif(tp + fn, 0), 0)')} AS "recall_TP",
-  {_r('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)')} AS "f1_TP", tp + fn AS "support_TP",
-  {_r('coalesce(tn / nullif(tn + fn, 0), 0)')} AS "precision_FP",
-  {_r('coalesce(tn / nullif(tn + fp, 0), 0)')} AS "recall_FP",
-  {_r('coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)')} AS "f1_FP", tn + fp AS "support_FP"
-FROM (
+  "support_TP", "support_FP", {_SHOWN}
+FROM (SELECT *, {_CLASS_METRICS} FROM (
   SELECT count(*) FILTER (label = 'TP' AND score > 0.5e0) AS tp,
     count(*) FILTER (label = 'FP' AND score > 0.5e0) AS fp,
     count(*) FILTER (label = 'TP' AND score <= 0.5e0) AS fn,
     count(*) FILTER (label = 'FP' AND score <= 0.5e0) AS tn
-  FROM scored)
+  FROM scored))
 """, "scored")
 
 _oracle(

@@ -331,6 +331,9 @@ def test_command_line_tools(spark, tmp_path):
                      f"{d}/feat"]) == 0
     rows = table_lines(f"{d}/feat/tp_fp_feature_stats.csv")
     assert rows[0] == "group,feature,t_stat,p_val,p_boot,cohens_d,p_adj" and len(rows) == 5
+    spread = table_lines(f"{d}/feat/feature_distribution.csv")
+    assert spread[0].startswith("label,bam_source_id,feature,count,missing,mean") and len(spread) > 4
+    assert table_lines(f"{d}/feat/feature_histograms.csv")[0] == "feature,label,bam_source_id,bin,left_edge,count"
     assert cli.main(["retention", "--tp", f"{d}/tp_l2.tsv", "--fp", f"{d}/fp_l2.tsv", "--out-dir",
                      f"{d}/keep2", "--min-reads", "0", "--min-cpg", "0"]) == 0
 
