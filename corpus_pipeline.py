@@ -55,7 +55,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences; see ``packing.packed``."""
     with scratch_of("pipeline"):
         return packing.packed(
-            docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+            docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True)
 
 
 STAGES = [

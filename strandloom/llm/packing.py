@@ -12,6 +12,7 @@ A rest finds its place by arithmetic from its length and its rank among the rest
 
 from __future__ import annotations
 
+import re
 from array import array
 
 import numpy as np
@@ -28,19 +29,22 @@ RANK_ROWS = 20_000
 
 
 class _Ids:
-    """Ids of a byte-level tokenizer file, without special tokens.
+    """Ids of a byte-level tokenizer file, without tokens that a template would add.
+
+    With ``added`` the file is taken as it is: where a text holds one of the file's added tokens, that
+    token's id stands there. Without, special ones are text like any other.
 
     The file's vocabulary orders its tokens by the rank of their merge, which is all that the merging of
     a piece depends on. So the merging itself is left to the faster of the two public libraries; the
     other, that the file is made for, answers a probe first, and is used if the answers differ.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: bool = False):
         import tiktoken
         from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = not added
         # The library writes each byte as a printable character: itself, or the next free one from 256 on.
         plain = [c for c in range(256) if chr(c) in pre_tokenizers.ByteLevel.alphabet()]
         other = [c for c in range(256) if c not in plain]
@@ -49,37 +53,50 @@ class _Ids:
             bytes(byte[c] for c in token): rank for token, rank in tokenizer.get_vocab(False).items()
             if all(c in byte for c in token)
         }
-        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        known = tokenizer.get_added_tokens_decoder()
+        special = {t.content for t in known.values()}
+        self.marks = {t.content: i for i, t in known.items() if added or not t.special}
+        longest = sorted(map(re.escape, self.marks), key=len, reverse=True)
+        self.split = re.compile(f"({'|'.join(longest)})") if longest else None
         self.fast = tiktoken.Encoding(
             "own", pat_str=pattern, special_tokens={},
             mergeable_ranks={t: r for t, r in ranks.items() if t.decode("utf-8", "replace") not in special})
         probe = "It's  3 o'clock\n\n\tçaß 12345 naïve… \u3000x <|endoftext|>\x1c\x85 \U0001f600"
+        probe += "".join(f"a {m} b{m}{m}\n{m}1x{m}x" for m in sorted(special))
         ids = tokenizer.encode(probe, add_special_tokens=False).ids
         #: The slower library, only where it is needed: it takes tens of megabytes.
-        self.slow = None if self.fast.encode_ordinary(probe) == ids else tokenizer
+        self.slow = None if self._fast(probe).tolist() == ids else tokenizer
+
+    def _fast(self, text: str) -> array:
+        if self.split is None:
+            return array("I", self.fast.encode_ordinary(text))
+        ids = array("I")
+        for i, part in enumerate(self.split.split(text)):  # every second one is an added token
+            ids.extend([self.marks[part]] if i % 2 else self.fast.encode_ordinary(part))
+        return ids
 
     def __call__(self, text: str) -> array:
         if self.slow is None:
-            return array("I", self.fast.encode_ordinary(text))
+            return self._fast(text)
         return array("I", self.slow.encode(text, add_special_tokens=False).ids)
 
 
-def _ids(path: str, pattern: str) -> _Ids:
+def _ids(path: str, pattern: str, added: bool) -> _Ids:
     state = worker_state("packing")
-    key = (path, pattern)
+    key = (path, pattern, added)
     if key not in state:
-        state[key] = _Ids(path, pattern)
+        state[key] = _Ids(path, pattern, added)
     return state[key]
 
 
 def tokenised(
     docs: DataFrame, path: str, pattern: str, closing: int = 0, window: int = WINDOW,
-    doc_id: str = "doc_id", text: str = "text",
+    doc_id: str = "doc_id", text: str = "text", added: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian 32-bit, binary)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = _ids(path, pattern)
+        own = _ids(path, pattern, added)
         index, start, length, total, ids = [], [], [], [], []
         for i, value in enumerate(batch.column(1)):
             tokens = own(value.as_py() or "")
@@ -201,17 +218,17 @@ class Plan:
 
 def packed(
     docs: DataFrame, path: str, pattern: str, closing: int = 0, window: int = WINDOW,
-    doc_id: str = "doc_id", text: str = "text",
+    doc_id: str = "doc_id", text: str = "text", added: bool = False,
 ) -> DataFrame:
     """Pieces of all documents with their places: doc_id, start, length, doc_tokens, ids,
     sequence_id, offset.
 
     A null or empty text is the closing id alone. Repeated rows and ids, and null ids, are packed
     each on its own. An empty table gives no pieces. Other columns of ``docs`` play no part. Texts
-    of any length are cut whole. Every task holds one batch; the driver sees one count per length.
+    of any length are cut whole. ``added`` is that of ``_Ids``. Every task holds one batch; the driver sees one count per length.
     """
     pieces = store(
-        tokenised(docs, path, pattern, closing, window, doc_id, text), "pieces",
+        tokenised(docs, path, pattern, closing, window, doc_id, text, added), "pieces",
         compression="zstd")
     counts = np.zeros(window + 1, np.int64)
     for length, n in pieces.where(F.col("length") < window).groupBy("length").count().collect():

@@ -76,7 +76,8 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.packed(
-        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+        added=True)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

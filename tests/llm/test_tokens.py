@@ -138,3 +138,24 @@ def test_tokeniser_engines_agree_on_all_documents(spark):
     assert own.slow is None
     for text in [*filter(None, ODD), *(r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect())]:
         assert list(own(text)) == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_of_the_file_keep_their_ids(spark, tmp_path):
+    own, library = packing._Ids(JSON, P.PATTERN, added=True), Tokenizer.from_file(JSON)
+    assert own.slow is None
+    rows = [*ODD, "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>x\n<|endoftext|", "<|endoftext|> " * 900]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in rows]
+    assert want[-4] == [64, 220, 50256, 275]
+    assert [list(own(t or "")) for t in rows] == want
+    docs = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = defaultdict(list)
+    for r in QUERIES["op9_packing"](spark, str(tmp_path)).collect():
+        found[r.doc_id].append(r)
+    for i, ids in enumerate(want):
+        ids, at = np.array([*ids, 0], "<u4"), 0
+        for r in sorted(found[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids)
+            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
