@@ -20,6 +20,8 @@ LEAF_ROWS = 96
 QUERY_ROWS = 256
 #: Blocks of queries that meet a shard in one task.
 GROUP_BLOCKS = 32
+#: Bound on the rounding of an inner product, in products of norms.
+ROUNDING = 1e-12
 
 
 class Tree:
@@ -98,6 +100,18 @@ class Tree:
         visit(self.root, np.arange(len(queries)))
         return found, best
 
+    def ranked(self, query: np.ndarray, rows: np.ndarray, name: int, k: int) -> list[tuple[float, int]]:
+        """The ``k`` nearest (negative score, id) among the members of ``rows``, without ``name``."""
+        # Summed the same way for every vector, so that equal scores tie.
+        scores = (self.vectors[rows] * query).sum(1)
+        pairs = {(-s, i) for s, r in zip(scores.tolist(), rows.tolist())
+                 for i in self.members[r].tolist() if i != name}
+        return sorted(pairs)[:k]
+
+    def tying(self, query: np.ndarray, least: float) -> np.ndarray:
+        """All rows that score ``least`` or more, however many tie there."""
+        return np.flatnonzero((self.vectors * query).sum(1) >= least)
+
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows with a key and a vector that is neither null, empty nor zero and has finite components
@@ -123,7 +137,9 @@ def nearest(
     query's own key is no candidate of its own. Rows that ``usable`` leaves out take no part. Vectors of
     differing lengths never meet. Repeated rows count once. Each shard holds SHARD_ROWS vectors by
     a hash of their key, whatever their values; each (shard, group of query blocks) is one task's
-    work, and merging goes in two steps. Other columns play no part; empty inputs give no rows.
+    work, and merging goes in two steps. A query whose k-th score ties with the last that the search of
+    a shard kept meets all vectors of the shard, so that no tie is cut. Other columns play no part;
+    empty inputs give no rows.
     """
     bounded_batches(vectors.sparkSession)
     items = usable(vectors, key, vector).withColumn("dim", F.size("vector"))
@@ -155,15 +171,14 @@ def nearest(
             shard = items["shard"][0].as_py()
             for at in range(0, len(names), QUERY_ROWS):
                 who, block = names[at : at + QUERY_ROWS], points[at : at + QUERY_ROWS]
-                found, _ = tree.search(block, k + 8, factor)
-                for name, point, row in zip(who.tolist(), block, found):
-                    row = row[row >= 0]
-                    # Summed the same way for every vector, so that equal vectors tie.
-                    scores = (tree.vectors[row] * point).sum(1)
-                    pairs = [(-s, i) for s, r in zip(scores.tolist(), row.tolist())
-                             for i in tree.members[r].tolist() if i != name]
-                    pairs.sort()
-                    parts.append((name, shard, [{"n": s, "i": i} for s, i in pairs[:k]]))
+                found, best = tree.search(block, k + 8, factor)
+                for name, point, row, low in zip(who.tolist(), block, found, best.min(1).tolist()):
+                    pairs = tree.ranked(point, row[row >= 0], name, k)
+                    # What the search left out scores at most ``low``, but for the rounding of its sums.
+                    least = -pairs[-1][0] if len(pairs) == k else -np.inf
+                    if row.min() >= 0 and least <= low + ROUNDING * (norm2 * (point**2).sum()) ** 0.5:
+                        pairs = tree.ranked(point, tree.tying(point, least), name, k)
+                    parts.append((name, shard, [{"n": s, "i": i} for s, i in pairs]))
         return pa.table({
             "query_id": pa.array([p[0] for p in parts], pa.int64()),
             "shard": pa.array([p[1] for p in parts], pa.int32()),

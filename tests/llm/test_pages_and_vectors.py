@@ -193,3 +193,14 @@ def test_relaxed_search_keeps_the_recall(spark):
     asked = vectors.where("vec_id % 100 = 0")
     exact, relaxed = ({(r.query_id, r.vec_id) for r in vptree.nearest(vectors, asked, 20, f).collect()} for f in (1.0, 0.7))
     assert len(exact & relaxed) >= 0.9 * len(exact)
+
+
+def test_ties_of_many_distinct_vectors_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(4)
+    bits = [[float(n >> b & 1) for b in range(11)] for n in range(1, 2001)]
+    one_hot = [[float(j == i) for j in range(300)] for i in range(300)]
+    for made in ([bits[i] for i in rng.permutation(2000)], one_hot):
+        rows = [*enumerate(made)]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        got = vptree.nearest(table, table.where("vec_id % 20 = 0"), 20)
+        assert sorted(map(tuple, got.collect())) == nearest(rows, 20)
