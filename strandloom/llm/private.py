@@ -4,7 +4,9 @@ The base finds spans of four kinds by format and checksum. Each is a seed. The w
 form lexical patterns; identifier-like strings that the base did not take are candidates, with the
 same patterns. Over the graph of patterns and instances (distinct strings) two scores are passed to and
 fro: a pattern is as good as the average of its instances, an instance as likely as one of its patterns
-being right. Candidates that high-confidence patterns reach become spans of the pattern's kind.
+being right. Candidates that high-confidence patterns reach become spans of the pattern's kind and seeds
+in their turn, until nothing changes. What else stands in a context, strings of another kind or such as
+fail the check of this one, speaks against its pattern.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from strandloom.llm.common import bounded_batches, free_name, per_batch, store
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+#: Scores are final when no candidate is added and no confidence grows by more.
+TOLERANCE = 1e-6
+DIGITS = 9
 #: Distinct seeds that a pattern needs, and the confidence that a pattern needs to add spans.
 SUPPORT = 3
 CONFIDENCE = 0.75
@@ -89,6 +93,18 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
+def _failed(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of strings that have a kind's format but fail its check, without those that
+    touch a span or candidate of that kind in ``taken``."""
+    if not _DIGIT.search(text):
+        return []
+    found = [("ip", *m.span()) for m in _IP.finditer(text)]
+    found += [("card", *m.span()) for m in _CARD.finditer(text)
+              if len(m.group()) >= 13 and 13 <= len(_DIGIT.findall(m.group())) <= 19]
+    found += [("phone", *m.span()) for m in _PHONE.finditer(text)]
+    return [f for f in found if not any(k == f[0] and a < f[2] and f[1] < b for k, a, b in taken)]
+
+
 def _candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """(kind, start, end) of identifier-like strings that touch nothing in ``taken`` nor each other."""
     if "@" not in text and "at)" not in text and "at]" not in text and not _DIGIT.search(text):
@@ -119,12 +135,13 @@ _SPAN = "struct<kind: string, start: int, end: int>"
 _FOUND = (
     f"struct<spans: array<{_SPAN}>, candidates: array<struct<kind: string, start: int, end: int, "
     "patterns: array<string>, instance: string>>, seeds: array<struct<kind: string, "
+    "patterns: array<string>, instance: string>>, failed: array<struct<kind: string, "
     "patterns: array<string>, instance: string>>>"
 )
 
 
 def scanned(docs: DataFrame, text: str = "text", name: str = "_private") -> DataFrame:
-    """``docs`` with a struct of base spans, candidates and seeds of each whole text."""
+    """``docs`` with a struct of base spans, candidates, seeds and failed strings of each whole text."""
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(_FOUND))])
     bounded_batches(docs.sparkSession)
     place = docs.columns.index(text)
@@ -139,30 +156,37 @@ def scanned(docs: DataFrame, text: str = "text", name: str = "_private") -> Data
                 instance = hashlib.blake2b(t[a:b].lower().encode(), digest_size=12).hexdigest()
                 return {"kind": kind, "start": a, "end": b, "patterns": _contexts(t, a, b), "instance": instance}
 
+            candidates = _candidates(t, [s[1:] for s in spans])
             rows.append({
                 "spans": [{"kind": k, "start": a, "end": b} for k, a, b in spans],
-                "candidates": [entry(*c) for c in _candidates(t, [s[1:] for s in spans])],
+                "candidates": [entry(*c) for c in candidates],
                 "seeds": [entry(*s) for s in spans],
+                "failed": [entry(*f) for f in _failed(t, spans + candidates)],
             })
         kind = pa.struct([
             ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))),
             ("candidates", pa.list_(pa.struct([
                 ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
                 ("patterns", pa.list_(pa.string())), ("instance", pa.string())]))),
-            ("seeds", pa.list_(pa.struct([
-                ("kind", pa.string()), ("patterns", pa.list_(pa.string())), ("instance", pa.string())]))),
+            *((part, pa.list_(pa.struct([
+                ("kind", pa.string()), ("patterns", pa.list_(pa.string())), ("instance", pa.string())])))
+              for part in ("seeds", "failed")),
         ])
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=schema.names)
 
     return docs.mapInArrow(per_batch(run), schema)
 
 
-def confident_patterns(found: DataFrame, name: str = "_private", rounds: int = ROUNDS) -> DataFrame:
+def confident_patterns(found: DataFrame, name: str = "_private") -> DataFrame:
     """(kind, pattern): the patterns that may add spans.
 
-    Edges join a pattern with its distinct instances. Seeds have score one throughout; a pattern scores the
-    sum of its instances' scores over their number and one more, and counts only with SUPPORT distinct seeds;
-    a candidate scores one minus the chance that all its patterns are wrong.
+    Edges join a pattern with its distinct instances. Seeds have score one; a pattern scores the sum of its
+    instances' scores over their number, one more, and the number of strings against it, and counts only with
+    SUPPORT distinct seeds; a candidate scores one minus the chance that all its patterns are wrong. A pattern
+    that reaches CONFIDENCE makes its candidates seeds, and support is counted again. Both only grow, so this
+    ends at the one fixed point. A candidate's score holds a share of the pattern's own confidence; for
+    that share the equation is solved (``k + o`` over ``k + o + 1 + against``, with k seeds and what other
+    patterns say of the candidates, o), so the number of rounds does not depend on the number of candidates.
     """
     def edges(part: str, seed: bool) -> DataFrame:
         return (
@@ -170,25 +194,50 @@ def confident_patterns(found: DataFrame, name: str = "_private", rounds: int = R
             .select("e.kind", "e.instance", F.explode("e.patterns").alias("pattern"), F.lit(seed).alias("seed"))
         )
 
+    key, one = ["kind", "pattern"], ["kind", "instance"]
     graph = store(
         edges("seeds", True).unionByName(edges("candidates", False))
         .groupBy("kind", "pattern", "instance").agg(F.bool_or("seed").alias("seed")), "pattern-edges")
-    strong = graph.groupBy("kind", "pattern").agg(F.count_if("seed").alias("seeds")).where(
-        F.col("seeds") >= SUPPORT).drop("seeds")
-    graph = store(graph.join(strong, ["kind", "pattern"], "left_semi"), "pattern-edges")
-    instances = graph.groupBy("kind", "instance").agg(
-        F.when(F.bool_or("seed"), 1.0).otherwise(0.0).alias("score"), F.bool_or("seed").alias("sure"))
-    for i in range(rounds):
-        patterns = graph.join(instances, ["kind", "instance"]).groupBy("kind", "pattern").agg(
-            (F.sum("score") / (F.count("*") + 1)).alias("confidence"))
-        if i < rounds - 1:
-            instances = store(
-                graph.join(patterns, ["kind", "pattern"]).groupBy("kind", "instance").agg(
-                    F.bool_or("seed").alias("sure"),
-                    (1 - F.product(1 - F.col("confidence"))).alias("reached"),
-                ).select("kind", "instance", "sure", F.when(F.col("sure"), 1.0).otherwise(F.col("reached")).alias("score")),
-                "instance-scores")
-    return patterns.where(F.col("confidence") >= CONFIDENCE).select("kind", "pattern")
+    # Only patterns with candidates have something to decide.
+    wanted = graph.groupBy(*key).agg(F.count_if("seed").alias("own"), F.count_if(~F.col("seed")).alias("open")).where(
+        F.col("open") > 0).drop("open")
+    claims = graph.where("seed").groupBy("pattern").agg(F.count("*").alias("claims"))
+    failed = edges("failed", False).groupBy(*key).agg(F.countDistinct("instance").alias("failed"))
+    against = store(
+        wanted.join(claims, "pattern", "left").join(failed, key, "left").select(
+            *key, (F.coalesce("claims", F.lit(0)) - F.col("own") + F.coalesce("failed", F.lit(0))).alias("against")),
+        "pattern-against")
+    # A string that is a seed in one place is one in all.
+    sure = graph.where("seed").select(*one).distinct().withColumn("sure", F.lit(True))
+    graph = store(
+        graph.join(against, key, "left_semi").join(sure, one, "left").select(
+            *key, "instance", F.coalesce("sure", F.lit(False)).alias("seed")), "pattern-edges")
+    scores = None
+    while True:
+        patterns = graph.groupBy(*key).agg(F.count_if("seed").alias("k")).where(F.col("k") >= SUPPORT)
+        if scores is None:
+            patterns = patterns.withColumns({"before": F.lit(0.0), "others": F.lit(0.0)})
+        else:
+            doubts = graph.where(~F.col("seed")).join(
+                scores.select(*key, F.log1p(-F.col("confidence")).alias("doubt")), key)
+            joint = doubts.groupBy(*one).agg(F.sum("doubt").alias("joint"))
+            others = doubts.join(joint, one).groupBy(*key).agg(
+                F.sum(1 - F.exp(F.col("joint") - F.col("doubt"))).alias("others"))
+            before = scores.select(*key, F.col("confidence").alias("before"))
+            patterns = patterns.join(others, key, "left").join(before, key, "left").fillna(0.0, ["before", "others"])
+        right = F.col("k") + F.col("others")
+        patterns = store(
+            patterns.join(against, key).withColumn("confidence", F.round(right / (right + 1 + F.col("against")), DIGITS)),
+            "pattern-scores")
+        good = patterns.where(F.col("confidence") >= CONFIDENCE).select(*key)
+        fresh = store(graph.where(~F.col("seed")).join(good, key, "left_semi").select(*one).distinct(), "fresh-seeds")
+        if not fresh.isEmpty():
+            graph = store(
+                graph.join(fresh.withColumn("fresh", F.lit(True)), one, "left").withColumn(
+                    "seed", F.col("seed") | F.coalesce("fresh", F.lit(False))).drop("fresh"), "pattern-edges")
+        elif patterns.where(F.col("confidence") - F.col("before") > TOLERANCE).isEmpty():
+            return good
+        scores = patterns
 
 
 def annotated(docs: DataFrame, text: str = "text", compression: str = "zstd") -> tuple[DataFrame, str]:

@@ -320,3 +320,31 @@ def test_redaction_of_odd_texts(spark):
                 want += text[at:a] + f"<{k}>"
             at = max(at, b)
         assert hidden[i] == want + text[at:]
+
+
+def added(spark, rows):
+    out, name = private.annotated(spark.createDataFrame(rows, "doc_id long, text string"))
+    return {r.doc_id for r in out.where(F.size(name) > F.size(f"{name}_base")).select("doc_id").collect()}
+
+
+def test_patterns_are_iterated_to_the_fixed_point(spark):
+    # Many unseen identifiers in a good context; three seeds are support enough.
+    rows = [(i, f"w{i} call me at +1 (366) 555-{i:04} x{i}") for i in range(100)]
+    unseen = [(1000 + i, f"w{i} call me at 366 777 {i:04} y{i}") for i in range(300)]
+    rows += [(2000 + i, f"w{i} ring office under +1 (366) 444-{i:04} z{i}") for i in range(3)]
+    unseen += [(2010, "so ring office under 366 444 9999 v")]
+    # A chain: the ones found after 'me at' are the only support of 'fax to', and those found there of 'or via'.
+    unseen += [(3000 + i, f"please fax to 366 777 {i:04} a{i}") for i in range(4)]
+    unseen += [(3010 + i, f"please fax to 366 888 {i:04} b{i}") for i in range(4)]
+    unseen += [(3020 + i, f"please or via 366 888 {i:04} c{i}") for i in range(4)] + [(3030, "please or via 366 999 1234 d")]
+    assert added(spark, rows + unseen) == {i for i, _ in unseen}
+
+
+def test_other_kinds_and_failed_formats_speak_against_a_pattern(spark):
+    rows = [(i, f"w{i} value found is +1 (366) 555-{i:04} x{i}") for i in range(6)]
+    rows += [(100 + i, f"w{i} value found is user{i}@example.com y{i}") for i in range(6)]
+    rows += [(200 + i, f"w{i} the host was 10.0.0.{i} x{i}") for i in range(6)]
+    rows += [(300 + i, f"w{i} the host was 900.0.0.{i} y{i}") for i in range(6)]
+    rows += [(400, "value found is 366 777 1234 z"), (401, "the host was fe80:1:2:3:4:5:6:7 z")]
+    assert added(spark, rows) == set()
+    assert added(spark, [r for r in rows if not (100 <= r[0] < 200 or 300 <= r[0] < 400)]) == {400, 401}
