@@ -1,7 +1,7 @@
 """Language of pages and documents by Bayesian fusion of four kinds of evidence.
 
 - Text: log-likelihood of its byte trigrams under one model per language, fitted on a bounded sample
-  of labelled documents.
+  of the documents with its label.
 - Declared language: the ``lang`` attribute of the markup.
 - Address tag: a language named by the address, as country suffix of the host or first part of the path.
 - Prior of the host, smoothed by its domain, that by its suffix, and that by all rows.
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strandloom.llm.common import bounded_batches, per_batch, store
 from strandloom.llm.links import host_of, path_of
 
-#: Labelled documents that the text models are fitted on.
+#: Distinct labelled texts of each language that its text model is fitted on.
 SAMPLE_ROWS = 2000
 SLOTS = 1 << 16
 #: Trigrams of one text depend on each other: a text counts as at most so many independent ones.
@@ -49,29 +49,38 @@ def trigram_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS):
-    """(languages, table of log-probabilities by slot and language), fitted on about ``rows`` labelled rows.
+    """(languages, table of log-probabilities by slot and language), fitted on about ``rows`` texts a language.
 
-    The sample takes the share ``rows`` / all of the hashes of texts, and equal rows once, so its size does
-    not grow with the table or with a group of copies. Rows without text or label are left out.
+    All labels of rows with a text are languages, however rare. Distinct texts are counted per label by
+    their hashes, and each label's sample takes the share ``rows`` / distinct of the hashes, so its size grows
+    neither with the table nor shrinks with copies; a label with at most ``rows`` texts gives all. Rows
+    without text or label are left out. The driver holds one count per label and one row of the table each.
     """
     known = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(
-        F.col(label).alias("lang"), F.col(text).alias("text"))
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(max(known.count(), 1))) < rows).distinct().coalesce(4)
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        F.col(label).cast("string").alias("lang"), F.col(text).alias("text"))
+    hashed = known.withColumn("hash", F.xxhash64("text"))
+    distinct = hashed.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = dict(map(tuple, distinct.collect()))
+    share = F.get(F.lit([max(n, 1) for _, n in sorted(sizes.items())] or [1]),
+                  F.array_position(F.lit(sorted(sizes) or [""]), F.col("lang")).cast("int") - 1)
+    sample = hashed.where(F.pmod(F.col("hash"), share) < rows).select("lang", "text").distinct().coalesce(4)
+
+    def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for lang, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            slots, _ = trigram_slots([value.lower().encode()])
-            own = sums.setdefault(lang, np.zeros(SLOTS, np.int64))
-            own += np.bincount(slots, minlength=SLOTS)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([*sums]), pa.array([a.tobytes() for a in sums.values()], pa.binary())], names=["lang", "counts"])
+        for batch in batches:
+            for lang, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                slots, _ = trigram_slots([value.lower().encode()])
+                own = sums.setdefault(lang, np.zeros(SLOTS, np.int64))
+                own += np.bincount(slots, minlength=SLOTS)
+        for lang, own in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang]), pa.array([own.tobytes()], pa.binary())], names=["lang", "counts"])
 
     sums: dict[str, np.ndarray] = {}
-    for lang, counts in sample.mapInArrow(per_batch(count), "lang string, counts binary").collect():
+    for lang, counts in sample.mapInArrow(count, "lang string, counts binary").toLocalIterator():
         sums[lang] = sums.get(lang, 0) + np.frombuffer(counts, np.int64)
-    languages = sorted(sums)
-    table = np.array([sums[c] for c in languages], float).reshape(-1, SLOTS) + 0.5
+    languages = sorted(sizes)
+    table = np.array([sums.get(c, np.zeros(SLOTS)) for c in languages], float).reshape(-1, SLOTS) + 0.5
     return languages, np.log(table / table.sum(1, keepdims=True)).T.astype(np.float32)
 
 

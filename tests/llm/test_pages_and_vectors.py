@@ -112,6 +112,19 @@ def test_language_query_has_a_row_per_page_and_document(spark):
     assert rows.where("page_id is not null").count() == spark.read.parquet(f"{SF}/pages.parquet").count()
 
 
+def test_rare_languages_stay_in_any_table(spark):
+    rows = [(i, f"the house number {i} stands near the river {i * 7}", "en", "a") for i in range(6000)]
+    rows += [(6000 + i, f"talo numero {i} on joen rannalla {i * 3}", "fi", "b") for i in range(3)]
+    rows += [(7000 + i, "la maison est au bord de la mer", "fr", "c") for i in range(9000)]  # copies of one
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    languages, model = langid.fit(docs, rows=100)
+    assert languages == ["en", "fi", "fr"] and model.shape[1] == 3
+    pages = spark.createDataFrame(
+        [(1, "http://x.fi/a", '<html lang="fi"><p>talo on joen rannalla</p>')], "page_id long, url string, html string")
+    found = langid.identified(langid.from_pages(pages, languages), languages, model).collect()
+    assert [(r.lang, r.declared, r.tag) for r in found] == [("fi", "fi", "fi")]
+
+
 # Fixity
 
 def records(spark, rows):
