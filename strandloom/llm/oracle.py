@@ -1,12 +1,12 @@
 """Comparison SQL of this subpackage's queries, where SQL can express them.
 
 The others are tested on fixtures: coding and packing by library and round trip, private spans by
-brute force, language by held-out accuracy.
+brute force, language by held-out accuracy, whitening by exact fractions, token counts by the library.
 """
 
 from __future__ import annotations
 
-from strandloom.llm import fixity, links, quality
+from strandloom.llm import fixity, links, quality, spelling
 
 _SPACES = r"[\x20\x09-\x0D]"
 
@@ -146,6 +146,37 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) AS score
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
+
+def _spelling(noise: int = 31) -> str:
+    step = [i for i in range(16)]  # the crc of four bits at a time
+    for _ in range(4):
+        step = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in step]
+
+    def four(c: str) -> str:
+        return f"xor(({c}) >> 4, ({step}::BIGINT[])[(({c}) & 15) + 1])"
+
+    return rf"""WITH RECURSIVE runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+      '{spelling.UPPER}', '{spelling.LOWER}') AS run FROM documents),
+    long AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS h FROM runs WHERE length(run) >= {spelling.LEAST_LENGTH} GROUP BY ALL),
+    crcs AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h) // 2 + 1),
+      lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)), lambda c, b: {four(four("xor(c, b)"))})) AS crc FROM long),
+    cut AS (SELECT CASE WHEN crc % {noise} = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2)
+      ELSE run END AS word, n FROM crcs),
+    v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word
+      HAVING sum(n) >= {spelling.LEAST_COUNT}),
+    less AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM v, unnest(range(1, length(word) + 1)) AS t(i)),
+    pairs AS MATERIALIZED (SELECT DISTINCT a, b FROM (
+      SELECT x.word AS a, y.word AS b FROM less x JOIN less y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+      UNION ALL SELECT l.word, v.word FROM less l JOIN v ON l.rest = v.word
+      UNION ALL SELECT v.word, l.word FROM less l JOIN v ON l.rest = v.word)),
+    best AS (SELECT a, count(*) AS n_near, arg_min(b, (-v.n, b)) AS b, max(v.n) AS most FROM pairs JOIN v ON v.word = b GROUP BY a),
+    f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= {spelling.RATIO} * n THEN b END AS form,
+      CASE WHEN most >= {spelling.RATIO} * n THEN most END AS form_n FROM v LEFT JOIN best ON best.a = word),
+    walk AS (SELECT word, word AS here FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NOT NULL),
+    roots AS (SELECT walk.word, here AS root FROM walk JOIN f ON f.word = here WHERE f.form IS NULL)
+    SELECT f.word, form, root, n, n_near, form_n FROM f JOIN roots USING (word)"""
+
+
 ORACLE = {
     "op3_url_filter": _url_filter(),
     "op5_repeated_passages": _REPEATS,
@@ -153,4 +184,5 @@ ORACLE = {
     "op7_near_join": _NEAR,
     "op8_quality_rules": _quality(),
     "op10_nearest": _NEAREST,
+    "op11_spelling_groups": _spelling(),
 }

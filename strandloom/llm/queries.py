@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.llm import (
-    bpe, fixity, jaccard, langid, links, packing, private, quality, substrings, vptree,
+    bpe, fixity, jaccard, langid, links, packing, private, quality, spelling, substrings, tokencount, vptree,
+    whitening,
 )
 from strandloom.llm.common import table
 
@@ -87,7 +88,21 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return vptree.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.grouped(spelling.vocabulary(table(spark, folder, "documents"), noise=31))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    found = tokencount.counted(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_byte_pair_coding, op2_private_spans, op3_url_filter, op4_language, op5_repeated_passages,
     op6_fixity_audit, op7_near_join, op8_quality_rules, op9_packing, op10_nearest,
+    op11_spelling_groups, op12_whitening, op13_token_counts,
 )}
