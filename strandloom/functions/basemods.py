@@ -12,6 +12,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandloom.functions.alignment import aligned_blocks, list_of_structs
 
@@ -153,3 +154,115 @@ def methylation_calls(
 
 
 methylation_calls = methylation_calls.asNondeterministic()
+
+
+HITS = T.ArrayType(T.StructType([
+    T.StructField("hit", T.IntegerType()), T.StructField("base", T.StringType()),
+    T.StructField("ref_pos", T.IntegerType()), T.StructField("qual", T.IntegerType()),
+]))
+HITS_ARROW = to_arrow_type(HITS)
+NO_BASE = ord("N")
+
+
+def _bases_at(seqs, cigars, starts, row, target):
+    """Upper-case read base (character code) at reference positions of reads, 0 where none is aligned and
+    NO_BASE past the stored sequence. All positions of a read are found in one walk along its CIGAR."""
+    block_row, block_query, block_ref, block_length = aligned_blocks(cigars, starts)
+    found = np.zeros(len(row), dtype=np.int64)
+    if not len(block_row) or not len(row):
+        return found
+    base = min(int(block_ref.min()), int(target.min()))
+    stride = max(int((block_ref + block_length).max()), int(target.max())) - base + 1
+    block = np.searchsorted(
+        block_row * stride + block_ref - base, row * stride + target - base, side="right") - 1
+    there = (block >= 0) & (block_row[block] == row)
+    offset = target - block_ref[block]
+    there &= offset < block_length[block]
+    query = block_query[block] + offset
+    letters = np.frombuffer("".join(s or "" for s in seqs).upper().encode("ascii"), dtype=np.uint8)
+    lengths = np.array([len(s or "") for s in seqs], dtype=np.int64)
+    inside = there & (query < lengths[row])
+    found[there] = NO_BASE
+    found[inside] = letters[(lengths.cumsum() - lengths)[row[inside]] + query[inside]]
+    return found
+
+
+def decode_around(
+    seqs, flags, starts, cigars, mms, ml_values, ml_bounds, has_ml, row, target, ref, alt, window
+):
+    """Calls around positions of reads: number of the (read, position) pair, base there, reference position
+    of the call, quality; ordered by pair.
+
+    ``row`` (ascending), ``target``, and the codes of the first ``ref`` and ``alt`` base are given per pair.
+    Pairs whose base is neither have no calls, and reads without any other are not decoded. The others are
+    decoded once, whatever their number of pairs: their calls are put in order, and each pair takes a stretch.
+    """
+    base = _bases_at(seqs, cigars, starts, row, target)
+    pair = np.flatnonzero((base > 0) & ((base == ref) | (base == alt)))
+    wanted = set(row[pair].tolist())
+    everywhere = np.full(len(seqs), 1 << 40, dtype=np.int64)
+    call_row, place, qual = decode(
+        seqs, flags, starts, cigars, [mm if i in wanted else None for i, mm in enumerate(mms)],
+        ml_values, ml_bounds, has_ml, -everywhere, everywhere,
+    )
+    if not len(call_row):
+        return (np.empty(0, np.int64),) * 4
+    order = np.lexsort((place, call_row))
+    call_row, place, qual = call_row[order], place[order], qual[order]
+    lowest = min(int(place.min()), int(target.min()) - window)
+    stride = max(int(place.max()), int(target.max()) + window) - lowest + 2
+    key = call_row * stride + place - lowest
+    middle = row[pair] * stride + target[pair] - lowest
+    first = np.searchsorted(key, middle - window, side="left")
+    count = np.searchsorted(key, middle + window, side="right") - first
+    at = np.repeat(first - (count.cumsum() - count), count) + np.arange(count.sum())
+    pair = np.repeat(pair, count)
+    return pair, base[pair], place[at], qual[at]
+
+
+@F.arrow_udf(HITS)
+def calls_around(
+    seq: pa.Array, flag: pa.Array, start: pa.Array, cigar: pa.Array, mm: pa.Array, ml: pa.Array,
+    targets: pa.Array, window: pa.Array,
+) -> pa.Array:
+    """5mC and 5hmC calls of every read within ``window`` of its ``targets`` (structs of position, ref, alt)
+    whose ref or alt the read supports, each with the number of its target and the read's base there.
+
+    Positions are 1-based. A base with both codes gives two calls. Declared non-deterministic like
+    ``methylation_calls``, for the same reason.
+    """
+    if not len(seq):
+        return pa.array([], HITS_ARROW)
+    number = lambda column: column.to_numpy(zero_copy_only=False).astype(np.int64)
+    code = lambda column: np.array([ord(v[0]) if v else -1 for v in column.to_pylist()], dtype=np.int64)
+    seqs, cigars, mms = seq.to_pylist(), cigar.to_pylist(), mm.to_pylist()
+    flags, starts = number(flag), number(start)
+    bounds, values = number(ml.offsets), ml.values.to_numpy(zero_copy_only=False)
+    has_ml = ml.is_valid().to_numpy(zero_copy_only=False)
+    limits = number(targets.offsets)
+    target = number(targets.values.field(0))
+    ref, alt = code(targets.values.field(1)), code(targets.values.field(2))
+    bases = np.cumsum([len(s or "") for s in seqs])
+    cuts = np.flatnonzero(np.diff(bases // BASES_AT_ONCE)) + 1
+    parts = []
+    for a, b in zip([0, *cuts], [*cuts, len(seqs)]):
+        p, q = limits[a], limits[b]
+        row = np.repeat(np.arange(b - a), np.diff(limits[a:b + 1]))
+        pair, *rest = decode_around(
+            seqs[a:b], flags[a:b], starts[a:b], cigars[a:b], mms[a:b], values, bounds[a:b + 1],
+            has_ml[a:b], row, target[p:q], ref[p:q], alt[p:q], int(window[0].as_py()),
+        )
+        parts.append((pair + p, *rest))
+    pair, base, place, qual = (np.concatenate(c) for c in zip(*parts))
+    owner = np.repeat(np.arange(len(seqs)), np.diff(limits))[pair - limits[0]]
+    letters = np.array([chr(c) for c in range(128)])
+    columns = [
+        pa.array((pair - limits[owner]).astype(np.int32)), pa.array(letters[base].tolist(), pa.string()),
+        pa.array(place.astype(np.int32)), pa.array(qual.astype(np.int32)),
+    ]
+    offsets = np.searchsorted(owner, np.arange(len(seqs) + 1), side="left").astype(np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(offsets), pa.StructArray.from_arrays(columns, names=HITS.elementType.names))
+
+
+calls_around = calls_around.asNondeterministic()

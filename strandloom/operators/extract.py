@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from strandloom.config import RunConfig
 from strandloom.functions import alignment as A, basemods as B, sites as S
-from strandloom.operators.overlap import bin_size_for, limit_depth, overlap_join
 from strandloom.operators.reads import fetchable_reads, with_haplotype, with_span
+from strandloom.operators.sweep import first_reads
 from strandloom.schema import SITE_COLUMNS, VARIANT_KEY
 from strandloom.session import materialize
 from strandloom.sources.bam import TILE_BITS
@@ -44,25 +44,69 @@ def window_tiles(variants: DataFrame, window: int, bits: int = TILE_BITS) -> dic
     return runs
 
 
+#: Columns of a variant that travel with its reads.
+HIT = ["somatic_pos", "ref", "alt", "variant_type", "vcf_source_id", "copies"]
+
+
+def touching_tiles(reads: DataFrame, windows: DataFrame, bits: int = TILE_BITS) -> DataFrame:
+    """Reads in a genome tile of 2**``bits`` bases that a window touches: all that may overlap one, and few others.
+
+    Each chromosome has a list that names, for every tile, the next touched one. The lists are broadcast:
+    they are as long as the genome, whatever the number of windows.
+    """
+    tile = lambda c: F.shiftright(c, bits)
+    touched = windows.select("chrom", F.explode(
+        F.sequence(tile(F.col("low0")), tile(F.col("high0") - 1))).alias("tile")).distinct()
+    # Between two touched tiles all point to the second.
+    order = F.array_sort(F.collect_set("tile"))
+    runs = touched.groupBy("chrom").agg(order.alias("tiles"))
+    before = F.concat(F.array(F.lit(-1)), F.slice("tiles", F.lit(1), F.size("tiles") - 1))
+    lists = runs.select("chrom", F.flatten(F.transform(
+        F.arrays_zip(before.alias("before"), F.col("tiles").alias("tile")),
+        lambda t: F.array_repeat(t["tile"], t["tile"] - t["before"]))).alias("_next"))
+    following = F.get("_next", tile(F.col("start0")))
+    return reads.join(F.broadcast(lists), "chrom").where(following <= tile(F.col("end0") - 1)).select(*reads.columns)
+
+
+def _admitted(
+    reads: DataFrame, variants: DataFrame, window: int, max_depth: int, over: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Fetchable reads in touched tiles, numbered by ``_read`` and written once; (read, variant) pairs in reach,
+    at most ``max_depth`` reads per variant and sample, all of them or those that reach ``over`` the variant."""
+    windows = materialize(
+        variant_windows(variants, window).withColumn("_pos0", F.col("somatic_pos") - 1), "windows")
+    spans = with_span(fetchable_reads(reads)).withColumnRenamed("rname", "chrom")
+    numbered = touching_tiles(spans, windows).withColumn("_read", F.monotonically_increasing_id())
+    spans = materialize(numbered.sortWithinPartitions("chrom", "start0"), "reads")
+    narrow = spans.select("_read", "chrom", "start0", "end0", "bam_source_id", "ord")
+    order = [F.col("ord.block"), F.col("ord.row")]
+    point = "_pos0" if over else None
+    return spans, first_reads(narrow, windows, max_depth, order, 2 * window, point=point)
+
+
 def reads_near_variants(
     reads: DataFrame, variants: DataFrame, window: int, max_depth: int
 ) -> DataFrame:
     """(read, variant) pairs in reach, at most ``max_depth`` reads per variant and sample.
 
     Reads are admitted in coordinate order. Duplicates and failed reads still count here; they
-    leave only afterwards. The fetchable reads are written once, with their spans, and all passes
-    read that table: bin size, counts, cutoffs and the join see the same reads in the same order,
-    however the source is split, and the source is read and decoded a single time.
+    leave only afterwards. The source is read and decoded a single time.
     """
-    spans = with_span(fetchable_reads(reads)).withColumnRenamed("rname", "chrom")
-    spans = materialize(spans.sortWithinPartitions("chrom", "start0"), "reads")
-    hits = overlap_join(
-        spans, variant_windows(variants, window),
-        bin_size=bin_size_for(spans, 2 * window), spread_by=["bam_source_id", "qname", "pos"],
-    ).withColumn("place", F.struct("pos", "ord"))
-    group = ["chrom", "somatic_pos", "ref", "alt", "variant_type", "vcf_source_id",
-             "bam_source_id"]
-    return limit_depth(hits, group, "place", max_depth)
+    spans, pairs = _admitted(reads, variants, window, max_depth, over=False)
+    return spans.join(pairs.select("_read", *HIT), "_read").drop("_read")
+
+
+def reads_with_variants(
+    reads: DataFrame, variants: DataFrame, window: int, max_depth: int
+) -> DataFrame:
+    """The usable reads that reach over a variant they were admitted for, each once, with those variants as ``hits``.
+
+    Admission looks at narrow columns only. A read's variants are put together and written before the wide
+    columns meet them, so the CIGAR and the modification tags of a read are decoded once, however many variants it has.
+    """
+    spans, pairs = _admitted(reads, variants, window, max_depth, over=True)
+    hits = materialize(pairs.groupBy("_read").agg(F.collect_list(F.struct(*HIT)).alias("hits")), "admitted")
+    return spans.where(S.is_usable(F.col("flag"))).join(hits, "_read").drop("_read")
 
 
 def allele_support(hits: DataFrame) -> DataFrame:
@@ -86,22 +130,22 @@ def allele_support(hits: DataFrame) -> DataFrame:
     return reaching.select("*", F.inline(decided))
 
 
-def sites_from_hits(hits: DataFrame, window: int, high: float, low: float) -> DataFrame:
-    """Decode the calls of each (read, variant) pair and keep those within the window."""
-    usable = with_haplotype(allele_support(hits.where(S.is_usable(F.col("flag")))))
-    calls = B.methylation_calls(
+def sites_of_reads(reads: DataFrame, window: int, high: float, low: float) -> DataFrame:
+    """Sites of reads with their variants (``hits``): calls within the window of each variant whose ref or alt the
+    read supports."""
+    around = B.calls_around(
         "seq", "flag", "pos", "cigar", "mm", "ml",
-        F.col("somatic_pos") - window, F.col("somatic_pos") + window,
+        F.transform("hits", lambda h: F.struct(h["somatic_pos"], h["ref"], h["alt"])), F.lit(window),
     )
-    kept = [
-        "chrom", "somatic_pos", "variant_type", "vcf_source_id", "bam_source_id",
-        "somatic_allele_type", "somatic_base_at_variant", "haplotype_tag", "flag", "copies",
-        F.col("qname").alias("read_id"),
-    ]
+    hit = F.get("hits", F.col("_call.hit"))
     decoded = (
-        usable.where(F.col("mm").isNotNull())
-        .select(*kept, calls.alias("_calls"))
+        with_haplotype(reads).where(F.col("mm").isNotNull())
+        .select("chrom", "bam_source_id", "haplotype_tag", "flag", F.col("qname").alias("read_id"), "hits",
+                around.alias("_calls"))
         .select("*", F.explode("_calls").alias("_call")).drop("_calls")
+        .select("*", *(hit[c].alias(c) for c in HIT))
+        .withColumn("somatic_base_at_variant", F.col("_call.base"))
+        .withColumn("somatic_allele_type", S.allele_type(F.col("_call.base"), F.col("ref"), F.col("alt")))
         .withColumn("methyl_pos", F.col("_call.ref_pos"))
         .withColumn("meth_call", S.call_probability(F.col("_call.qual")))
         .withColumn("meth_state", S.meth_state(F.col("meth_call"), high, low))
@@ -113,7 +157,7 @@ def sites_from_hits(hits: DataFrame, window: int, high: float, low: float) -> Da
 
 def methylation_sites(reads: DataFrame, variants: DataFrame, config: RunConfig) -> DataFrame:
     """Level 1: every methylation call of every read that supports an allele of a variant."""
-    hits = reads_near_variants(reads, variants, config.window_size, config.max_read_depth)
-    return sites_from_hits(
-        hits, config.window_size, config.meth_high_threshold, config.meth_low_threshold
+    found = reads_with_variants(reads, variants, config.window_size, config.max_read_depth)
+    return sites_of_reads(
+        found, config.window_size, config.meth_high_threshold, config.meth_low_threshold
     )

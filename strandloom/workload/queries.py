@@ -10,7 +10,7 @@ from strandloom.config import RunConfig
 from strandloom.functions import alignment as A, basemods as B, sites as S
 from strandloom.operators import (
     classify as K, contrast as C, describe as D, extract as E, grids as G, overlap as O,
-    reads as R, summary as M, tests as T, variants as V,
+    reads as R, summary as M, sweep, tests as T, variants as V,
 )
 from strandloom.plans.analyze import analyze
 from strandloom.schema import CONTRAST_KEY, FEATURES, SITE_COLUMNS, SUMMARY_COLUMNS
@@ -598,9 +598,12 @@ def interval_join_shuffled(spark, d):
 
 @query
 def depth_cap_topn(spark, d):
-    group = ["chrom", "somatic_pos", "ref", "alt", "variant_type", "vcf_source_id", "bam_source_id"]
-    hits = _pairs(spark, d).withColumn("place", F.struct("pos", "ord"))
-    return O.limit_depth(hits, group, "place", 3).select(*_PAIR_COLUMNS)
+    spans = R.with_span(R.fetchable_reads(reads(spark, d))).withColumnRenamed("rname", "chrom")
+    windows = E.variant_windows(variants(spark, d), WINDOW).drop("copies")
+    narrow = materialize(
+        spans.select("bam_source_id", "chrom", "qname", "start0", "end0", "ord"), "spans")
+    order = [F.col("ord.block"), F.col("ord.row")]
+    return sweep.first_reads(narrow, windows, 3, order, 2 * WINDOW).select(*_PAIR_COLUMNS)
 
 
 @query
