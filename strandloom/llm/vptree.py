@@ -5,6 +5,9 @@ zero there. Then the largest inner product is the smallest Euclidean distance, f
 inequality holds. A node has a vantage point and the median distance to it; the far half of a
 node is visited only if the query lies within ``factor`` times its current k-th distance of the
 border. Factor one is exact search; a smaller factor prunes more and may miss neighbours.
+
+Lengths are taken of vectors divided by a power of two, one for the table and one for each query, so that no square
+overflows; such a division leaves the digits of a product as they are.
 """
 
 from __future__ import annotations
@@ -16,10 +19,14 @@ from pyspark.sql import DataFrame, functions as F
 from strandloom.llm.common import bounded_batches
 
 SHARD_ROWS = 4096
-LEAF_ROWS = 96
-QUERY_ROWS = 256
+#: Rows that are compared with a block of queries at once. Exact search visits most leaves where vectors have no
+#: clusters: small ones cost it more in steps than they save. A relaxed one leaves out a leaf as a whole.
+LEAF_ROWS, EXACT_LEAF_ROWS = 96, 512
+QUERY_ROWS = 512
 #: Blocks of queries that meet a shard in one task.
-GROUP_BLOCKS = 32
+GROUP_BLOCKS = 16
+#: Keeps the longest norm itself below the largest double; a power of two.
+HEADROOM = 1 << 20
 #: Bound on the rounding of an inner product, in products of norms.
 ROUNDING = 1e-12
 
@@ -27,7 +34,7 @@ ROUNDING = 1e-12
 class Tree:
     """Vantage-point tree over the distinct vectors of a shard, searched by blocks of queries."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm2: float, members: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm2: float, members: int, leaf_rows: int):
         vectors = np.ascontiguousarray(vectors + 0.0)  # no negative zeros
         order = np.lexsort((ids, *vectors.T[::-1]))
         ids, vectors = ids[order], vectors[order]
@@ -38,14 +45,14 @@ class Tree:
         # Equal vectors tie, so of each only the smallest ids can be among the nearest.
         self.members = [np.unique(ids[a:b])[:members] for a, b in zip(starts, ends)]
         self.vectors = vectors[starts]
-        self.norm2 = norm2
+        self.norm2, self.leaf_rows = norm2, leaf_rows
         lift = np.sqrt(np.maximum(0.0, norm2 - (self.vectors**2).sum(1)))
         self.points = np.column_stack([self.vectors, lift])
         self.root = self._build(np.arange(len(starts)))
 
     def _build(self, rows: np.ndarray):
         """A leaf is its rows; a node is (vantage, radius, inside, outside)."""
-        if len(rows) <= LEAF_ROWS:
+        if len(rows) <= self.leaf_rows:
             return rows
         # The row farthest from the first one: a corner sees the others at differing distances.
         far = ((self.points[rows] - self.points[rows[0]]) ** 2).sum(1).argmax()
@@ -64,8 +71,13 @@ class Tree:
         best = np.full((len(queries), k), -np.inf)
         found = np.full((len(queries), k), -1)
         worst = np.full(len(queries), -np.inf)
-        base = (queries**2).sum(1) + self.norm2
-        slack = 1e-9 * (1 + np.sqrt(base))
+        # A query's own length does not change its order: for distances it has that of the points.
+        length = np.sqrt(self.norm2 / (queries**2).sum(1))
+        base = 2 * self.norm2
+        slack = 1e-7 * np.sqrt(base)  # an error of the last digit of a square is this much of a small root
+
+        def distance(who, scores):
+            return np.sqrt(np.maximum(0.0, base - 2 * length[who] * scores))
 
         def offer(who, rows):
             scores = queries[who] @ self.vectors[rows].T
@@ -86,14 +98,14 @@ class Tree:
                 return
             vantage, radius, inside, outside = node
             score = offer(who, np.array([vantage]))[:, 0]
-            away = np.sqrt(np.maximum(0.0, base[who] - 2 * score))
+            away = distance(who, score)
             near = away <= radius
             for group, first, second in ((near, inside, outside), (~near, outside, inside)):
                 if group.any():
                     own, gap = who[group], np.abs(away[group] - radius)
                     visit(first, own)
-                    reach = np.sqrt(np.maximum(0.0, base[own] - 2 * worst[own]))
-                    left = gap <= factor * reach + slack[own]
+                    reach = distance(own, worst[own])
+                    left = gap <= factor * reach + slack
                     if left.any():
                         visit(second, own[left])
 
@@ -138,19 +150,22 @@ def nearest(
     differing lengths never meet. Repeated rows count once. Each shard holds SHARD_ROWS vectors by
     a hash of their key, whatever their values; each (shard, group of query blocks) is one task's
     work, and merging goes in two steps. A query whose k-th score ties with the last that the search of
-    a shard kept meets all vectors of the shard, so that no tie is cut. Other columns play no part;
-    empty inputs give no rows.
+    a shard kept meets all vectors of the shard, so that no tie is cut. Scores beyond the largest double are
+    infinite, ranked as they would be without that bound. Other columns play no part; empty inputs give no rows.
     """
     bounded_batches(vectors.sparkSession)
     items = usable(vectors, key, vector).withColumn("dim", F.size("vector"))
     asked = usable(queries, key, vector).withColumn("dim", F.size("vector"))
-    rows, norm2 = items.agg(
-        F.count("*"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).first()
+    most = F.array_max(F.transform("vector", F.abs))
+    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / F.col("_most")) * (x / F.col("_most")))
+    rows, longest = items.withColumn("_most", most).agg(
+        F.count("*"), F.max(F.col("_most") / HEADROOM * F.sqrt(squares))).first()
     n_asked = asked.count()
     shards = max(1, -(-rows // SHARD_ROWS))
     blocks = max(1, -(-n_asked // QUERY_ROWS))
     groups = -(-blocks // GROUP_BLOCKS)
-    norm2 = (norm2 or 0.0) * (1 + 1e-12)
+    power = int(np.frexp(longest or 1.0)[1]) + HEADROOM.bit_length() - 1
+    norm2 = float(np.ldexp(longest or 1.0, HEADROOM.bit_length() - 1 - power)) ** 2 * (1 + 1e-12)
 
     placed = items.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
     spread = placed if groups == 1 else placed.withColumn(
@@ -161,13 +176,17 @@ def nearest(
         "key", "vector", "dim", (block % groups).cast("int").alias("group"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     by = ["dim", "shard", "group"]
+    leaf_rows = EXACT_LEAF_ROWS if factor >= 1 else LEAF_ROWS
 
     def search(items: pa.Table, asked: pa.Table) -> pa.Table:
-        parts = []
+        parts, exponents = [], []
         if items.num_rows and asked.num_rows:
             width = items["dim"][0].as_py()
-            tree = Tree(np.array(items["key"]), _matrix(items["vector"], width), norm2, k + 1)
+            scaled = np.ldexp(_matrix(items["vector"], width), -power)
+            tree = Tree(np.array(items["key"]), scaled, norm2, k + 1, leaf_rows)
             names, points = np.array(asked["key"]), _matrix(asked["vector"], width) + 0.0
+            powers = np.frexp(np.abs(points).max(1))[1]
+            points = np.ldexp(points, -powers[:, None])
             shard = items["shard"][0].as_py()
             for at in range(0, len(names), QUERY_ROWS):
                 who, block = names[at : at + QUERY_ROWS], points[at : at + QUERY_ROWS]
@@ -179,23 +198,26 @@ def nearest(
                     if row.min() >= 0 and least <= low + ROUNDING * (norm2 * (point**2).sum()) ** 0.5:
                         pairs = tree.ranked(point, tree.tying(point, least), name, k)
                     parts.append((name, shard, [{"n": s, "i": i} for s, i in pairs]))
+            exponents = (powers + power).tolist()
         return pa.table({
             "query_id": pa.array([p[0] for p in parts], pa.int64()),
             "shard": pa.array([p[1] for p in parts], pa.int32()),
             "near": pa.array([p[2] for p in parts],
                              pa.list_(pa.struct([("n", pa.float64()), ("i", pa.int64())]))),
+            "power": pa.array(exponents, pa.int32()),
         })
 
     found = spread.groupBy(*by).cogroup(each.groupBy(*by)).applyInArrow(
-        search, "query_id long, shard int, near array<struct<n: double, i: bigint>>")
+        search, "query_id long, shard int, near array<struct<n: double, i: bigint>>, power int")
 
     def merged(df: DataFrame, *names) -> DataFrame:
         near = F.slice(F.array_distinct(F.sort_array(F.flatten(F.collect_list("near")))), 1, k)
-        return df.groupBy(*names).agg(near.alias("near"))
+        return df.groupBy(*names).agg(near.alias("near"), F.max("power").alias("power"))
 
     some = max(1, int(shards**0.5))
     half = merged(found, "query_id", (F.col("shard") % some).alias("part"))
     full = merged(half, "query_id")
-    return full.select("query_id", F.posexplode("near").alias("pos", "hit")).select(
-        "query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.i").alias("vec_id"),
-        (-F.col("hit.n")).alias("score"))
+    half = F.shiftright("power", 1)  # either half of the scale is a double where the score is one
+    score = -F.col("hit.n") * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), F.col("power") - half)
+    return full.select("query_id", "power", F.posexplode("near").alias("pos", "hit")).select(
+        "query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.i").alias("vec_id"), score.alias("score"))

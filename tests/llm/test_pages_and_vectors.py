@@ -186,7 +186,7 @@ def nearest(rows, k):
 
 def test_exact_search_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vptree, "SHARD_ROWS", 150)
-    monkeypatch.setattr(vptree, "LEAF_ROWS", 10)
+    monkeypatch.setattr(vptree, "EXACT_LEAF_ROWS", 10)
     monkeypatch.setattr(vptree, "QUERY_ROWS", 4)
     monkeypatch.setattr(vptree, "GROUP_BLOCKS", 3)
     rng = np.random.default_rng(9)
@@ -217,3 +217,21 @@ def test_ties_of_many_distinct_vectors_go_to_the_smaller_id(spark):
         table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
         got = vptree.nearest(table, table.where("vec_id % 20 = 0"), 20)
         assert sorted(map(tuple, got.collect())) == nearest(rows, 20)
+
+
+def test_components_whose_squares_overflow(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    small = [(i, v.tolist()) for i, v in enumerate(rng.integers(-9, 9, (700, 5)) * 1.0) if v.any()]
+    for rows in ([(i, [x * 2.0**508 for x in v]) for i, v in small], small + [(9001, [1e160, 1.0, 0.0, -1.0, 2.0])]):
+        monkeypatch.setattr(vptree, "EXACT_LEAF_ROWS", 20)
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = sorted(map(tuple, vptree.nearest(table, table.where("vec_id % 20 = 0"), 20).collect()))
+        want = nearest(rows, 20)
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert np.allclose([r[3] for r in got], [r[3] for r in want], rtol=1e-12)
+    many = [(i, [1e160 if i == 5 else 1.0, float(i)]) for i in range(3000)]
+    table = spark.createDataFrame(many, "vec_id long, embedding array<double>")
+    assert vptree.nearest(table, table.where("vec_id % 500 = 0"), 20).count() == 6 * 20
+    huge = spark.createDataFrame([(0, [1e200]), (1, [1e200]), (2, [-1e200]), (3, [1.0])], "vec_id long, embedding array<double>")
+    found = [(r.vec_id, r.score) for r in vptree.nearest(huge, huge.where("vec_id = 0"), 20).orderBy("rank").collect()]
+    assert found == [(1, float("inf")), (3, 1e200), (2, float("-inf"))]
