@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 
@@ -112,6 +113,11 @@ class Segments:
         return _mixed((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(U))
 
 
+#: Bytes beyond which a word is hashed on its own. Sums modulo 2**64 are the same for certain pairs of long
+#: words, whatever the base (those of Thue and Morse, from about a thousand letters on), and by chance alone for others.
+LONG_WORD = 256
+
+
 class Words:
     """Words of several texts in a row: hash of each word, and the words' range of each text."""
 
@@ -122,6 +128,8 @@ class Words:
         edges = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
         starts, ends = edges[0::2], edges[1::2]
         self.hashes = Segments(_BYTE[joined], 0)(starts, ends)
+        for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            self.hashes[i] = xxhash.xxh3_64_intdigest(joined[starts[i] : ends[i]].tobytes())
         limits = np.cumsum([0, *(len(d) + 1 for d in data)])
         self.bounds = np.searchsorted(starts, limits)
         self.counts = np.diff(self.bounds)

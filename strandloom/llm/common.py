@@ -20,9 +20,9 @@ HEAVY_ROWS, MOST_HEAVY = 10_000, 100_000
 #: Sorts after every other id: a document without an id is never the earlier one.
 NO_ID = (1 << 63) - 1
 
-# Scratch tables by owner; see ``scratch_of``.
-_MADE: dict[str, list[tuple[SparkSession, str, str]]] = {}
-_OWNER = [""]
+# Scratch tables by owner and step; see ``scratch_of``.
+_MADE: dict[tuple[str, int], list[tuple[SparkSession, str, str]]] = {}
+_OWNER = [("", 0)]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,19 +51,20 @@ def _made(spark: SparkSession, kind: str, what: str) -> None:
 
 
 @contextmanager
-def scratch_of(owner: str) -> Iterator[None]:
-    """Scratch tables made inside belong to ``owner``; those of its earlier blocks are deleted first.
+def scratch_of(owner: str, step: int = 0) -> Iterator[None]:
+    """Scratch tables made inside belong to this step of ``owner``; those of its earlier steps are deleted first.
 
-    For callers that write each result before they ask for the next: results are lazy, so the tables
-    behind one must stay until it is written.
+    For callers that write each result before they ask for the next step: results are lazy, so the tables
+    behind one must stay until it is written. Those of the same step stay: its results may still be unread.
     """
-    for spark, kind, what in _MADE.pop(owner, []):
-        if kind == "table":
-            spark.sql(f"DROP TABLE IF EXISTS {what}")
-        else:
-            path = spark._jvm.org.apache.hadoop.fs.Path(what)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _OWNER.append(owner)
+    for done in [key for key in _MADE if key[0] == owner and key[1] < step]:
+        for spark, kind, what in _MADE.pop(done):
+            if kind == "table":
+                spark.sql(f"DROP TABLE IF EXISTS {what}")
+            else:
+                path = spark._jvm.org.apache.hadoop.fs.Path(what)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _OWNER.append((owner, step))
     try:
         yield
     finally:

@@ -24,6 +24,9 @@ from strandloom.llm.common import bounded_batches, per_batch, store, worker_stat
 
 WINDOW = 1024
 DEPTH = 3
+#: The faster library takes white space by recursion and ends its process on runs of a million; texts with a run
+#: of this length go to the other one.
+LONG_BLANK = re.compile(r"\s{2000}")
 #: Rests of one length that one task ranks.
 RANK_ROWS = 20_000
 
@@ -36,15 +39,15 @@ class _Ids:
 
     The file's vocabulary orders its tokens by the rank of their merge, which is all that the merging of
     a piece depends on. So the merging itself is left to the faster of the two public libraries; the
-    other, that the file is made for, answers a probe first, and is used if the answers differ.
+    other, that the file is made for, answers a probe first, and is used if the answers differ, or where the
+    faster one cannot take a text.
     """
 
     def __init__(self, path: str, pattern: str, added: bool = False):
         import tiktoken
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import pre_tokenizers
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = not added
+        tokenizer = self._library(path, added)
         # The library writes each byte as a printable character: itself, or the next free one from 256 on.
         plain = [c for c in range(256) if chr(c) in pre_tokenizers.ByteLevel.alphabet()]
         other = [c for c in range(256) if c not in plain]
@@ -66,6 +69,15 @@ class _Ids:
         ids = tokenizer.encode(probe, add_special_tokens=False).ids
         #: The slower library, only where it is needed: it takes tens of megabytes.
         self.slow = None if self._fast(probe).tolist() == ids else tokenizer
+        self.library, self.path, self.added = None, path, added
+
+    @staticmethod
+    def _library(path: str, added: bool):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = not added
+        return tokenizer
 
     def _fast(self, text: str) -> array:
         if self.split is None:
@@ -76,9 +88,11 @@ class _Ids:
         return ids
 
     def __call__(self, text: str) -> array:
-        if self.slow is None:
+        if self.slow is None and not LONG_BLANK.search(text):
             return self._fast(text)
-        return array("I", self.slow.encode(text, add_special_tokens=False).ids)
+        if self.library is None:
+            self.library = self.slow or self._library(self.path, self.added)
+        return array("I", self.library.encode(text, add_special_tokens=False).ids)
 
 
 def _ids(path: str, pattern: str, added: bool) -> _Ids:

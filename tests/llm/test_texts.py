@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import common, jaccard, private, quality, substrings
+from strandloom.llm import blocks, common, jaccard, private, quality, substrings
 from strandloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -348,3 +348,33 @@ def test_other_kinds_and_failed_formats_speak_against_a_pattern(spark):
     rows += [(400, "value found is 366 777 1234 z"), (401, "the host was fe80:1:2:3:4:5:6:7 z")]
     assert added(spark, rows) == set()
     assert added(spark, [r for r in rows if not (100 <= r[0] < 200 or 300 <= r[0] < 400)]) == {400, 401}
+
+
+def test_long_words_of_equal_sums_differ(spark):
+    """The word of Thue and Morse and its complement: sums modulo 2**64 cannot tell them apart."""
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    for size in (1024, 2048):
+        one, two = a[:size], a[:size].translate(str.maketrans("ab", "ba"))
+        first, second, third = blocks.Words([f"x {one} y", two, f"{one}\n"]).hashes[[1, 3, 4]]
+        assert first != second and first == third
+        texts = [" ".join([*map(str, range(12)), one]), " ".join([*map(str, range(12)), two])]
+        docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+        cut, total, removed = substrings.without_repeats(docs)
+        assert [r[0] for r in cut.select(removed).collect()] == [0, 0]
+        words = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+        assert {r.class_id for r in jaccard.linked(words).collect()} == {1, 2}
+
+
+def test_scratch_tables_of_a_step_stay_until_a_later_one(spark):
+    rows = spark.range(3)
+    with common.scratch_of("test", 1):
+        one = common.store(rows, "one")
+    with common.scratch_of("test", 1):
+        two = common.store(rows, "two")
+    assert one.count() == two.count() == 3
+    with common.scratch_of("test", 2):
+        assert ("test", 1) not in common._MADE
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        spark.read.parquet(one.inputFiles()[0].rsplit("/", 1)[0]).count()

@@ -159,3 +159,15 @@ def test_added_tokens_of_the_file_keep_their_ids(spark, tmp_path):
             assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
             at += r.length
         assert at == len(ids)
+
+
+def test_long_runs_of_white_space_are_packed(spark):
+    rows = ["\n" * 1_200_000, " " * 1_000_000, "word " * 60 + "\t" * 1_000_000 + "<|endoftext|> end", "a" + "\u3000" * 800_000]
+    library = Tokenizer.from_file(JSON)
+    docs = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string").repartition(2)
+    found = defaultdict(list)
+    for r in packing.packed(docs, JSON, P.PATTERN, added=True).collect():
+        found[r.doc_id].append((r.start, bytes(r.ids)))
+    for i, text in enumerate(rows):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
+        assert b"".join(part for _, part in sorted(found[i])) == ids
