@@ -43,3 +43,13 @@ def test_run_is_registered_and_complete(spark):
     assert rows.agg(F.countDistinct("doc_id")).first()[0] > 100
     sizes = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"))
     assert sizes.where("n > 1024").count() == 0 and sizes.where("n < 1024").count() <= 1
+
+
+def test_two_results_can_be_read(spark):
+    """A second result, of one stage or of all, leaves the first one's tables in place."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
+    a, b = corpus_pipeline.pack(spark, docs, SF), corpus_pipeline.pack(spark, docs, SF)
+    assert a.count() == b.count() > 0
+    a = corpus_pipeline.run(spark, SF)
+    b = corpus_pipeline.run(spark, SF)
+    assert a.count() == b.count() > 0
