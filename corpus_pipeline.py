@@ -24,20 +24,20 @@ def _counted(docs: DataFrame, changed) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the threshold table. A null text fails."""
-    with scratch_of("pipeline"):
+    with scratch_of("pipeline", 0):
         judged = quality.judged(docs)
         return judged.where(F.col(judged.columns[-1])).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document by id of each class of near duplicates; documents without words all stay."""
-    with scratch_of("pipeline"):
+    with scratch_of("pipeline", 1):
         return jaccard.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages an earlier one has; those that lose every word go."""
-    with scratch_of("pipeline"):
+    with scratch_of("pipeline", 2):
         cut, total, removed = substrings.without_repeats(docs)
         left = cut.where((F.col(removed) == 0) | (F.col(removed) < F.col(total)))
         return _counted(left, F.col(removed) > 0).select(*docs.columns)
@@ -45,7 +45,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
-    with scratch_of("pipeline"):
+    with scratch_of("pipeline", 3):
         before = free_name(docs, "_before")
         hidden = private.redacted(docs.withColumn(before, F.xxhash64("text")))
         return _counted(hidden, F.xxhash64("text") != F.col(before)).select(*docs.columns)
@@ -53,7 +53,7 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences; see ``packing.packed``."""
-    with scratch_of("pipeline"):
+    with scratch_of("pipeline", 4):
         return packing.packed(
             docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True)
 
