@@ -110,6 +110,10 @@ def parser() -> argparse.ArgumentParser:
     select.add_argument("positions")
     select.add_argument("out")
     select.add_argument("--chrom")
+
+    cluster = commands.add_parser("cluster-reads", help="reads as a table that runs read in part")
+    cluster.add_argument("alignments")
+    cluster.add_argument("out", help="a folder that ends in .parquet")
     return top
 
 
@@ -147,6 +151,8 @@ def main(argv: list[str] | None = None) -> int:
 def _dispatch(args: argparse.Namespace, mode: str) -> int:
     from strandloom.plans import calling, comparisons as P, prepare
     from strandloom.sources import tables as T
+    from strandloom.sources.alignments import read_alignments
+    from strandloom.sources.reads_table import write_reads_table
 
     if args.command == "run":
         config = config_from(args)
@@ -186,6 +192,10 @@ def _dispatch(args: argparse.Namespace, mode: str) -> int:
         P.feature_comparison(tp, fp, names, args.out_dir, args.group_by, args.n_boot, args.seed, mode)
     elif args.command == "pass-filter":
         prepare.pass_filter(spark, args.vcf, args.out, not args.keep_header, mode)
+    elif args.command == "cluster-reads":
+        if not args.out.rstrip("/").endswith(".parquet"):
+            raise ValueError("a reads table ends in .parquet")
+        write_reads_table(read_alignments(spark, args.alignments), args.out, mode)
     else:
         prepare.select_positions(spark, args.vcf, args.positions, args.out, args.chrom, mode=mode)
     return 0

@@ -10,7 +10,7 @@ from strandloom.operators.reads import fetchable_reads, with_haplotype, with_spa
 from strandloom.operators.sweep import first_reads
 from strandloom.schema import SITE_COLUMNS, VARIANT_KEY
 from strandloom.session import materialize
-from strandloom.sources.bam import TILE_BITS
+from strandloom.sources.bam import TILE_BITS, Tiles, tile_runs
 
 
 def variant_windows(variants: DataFrame, window: int) -> DataFrame:
@@ -24,24 +24,9 @@ def variant_windows(variants: DataFrame, window: int) -> DataFrame:
     )
 
 
-def window_tiles(variants: DataFrame, window: int, bits: int = TILE_BITS) -> dict[str, list[tuple[int, int]]]:
-    """Runs of genome tiles of 2**``bits`` bases that the windows touch, by chromosome.
-
-    The driver holds them: their number is bounded by the length of the genome, whatever the number
-    of variants.
-    """
-    tile = lambda c: F.shiftright(c, bits)
-    touched = variant_windows(variants, window).select("chrom", F.explode(
-        F.sequence(tile(F.col("low0")), tile(F.col("high0") - 1))
-    ).alias("tile")).distinct()
-    runs: dict[str, list[tuple[int, int]]] = {}
-    for chrom, at in touched.orderBy("chrom", "tile").collect():
-        found = runs.setdefault(chrom, [])
-        if found and found[-1][1] == at - 1:
-            found[-1] = (found[-1][0], at)
-        else:
-            found.append((at, at))
-    return runs
+def window_tiles(variants: DataFrame, window: int, bits: int = TILE_BITS) -> Tiles:
+    """Runs of genome tiles that the windows touch; see ``tile_runs``."""
+    return tile_runs(variant_windows(variants, window), "low0", "high0", bits)
 
 
 #: Columns of a variant that travel with its reads.

@@ -15,14 +15,18 @@ from strandloom.plans.analyze import analyze
 from strandloom.session import materialize
 from strandloom.sinks.reports import write_levels
 from strandloom.sources.alignments import read_alignments
+from strandloom.sources.bam import tile_runs
 from strandloom.sources.variants import read_bed, read_vcf
 
 log = logging.getLogger("strandloom")
 
 
 def load_variants(spark: SparkSession, config: RunConfig) -> DataFrame:
+    """Variants of all files; with regions, indexed files are read around those only."""
     regions = read_bed(spark, config.bed_file) if config.bed_file else None
-    return variants_from_records(read_vcf(spark, *config.vcf_files), config.min_allele, regions)
+    tiles = None if regions is None else tile_runs(regions, "start", "end") or None  # no region is no limit
+    records = read_vcf(spark, *config.vcf_files, tiles=tiles)
+    return variants_from_records(records, config.min_allele, regions)
 
 
 def load_samples(

@@ -68,13 +68,14 @@ def read_alignments(
 ) -> DataFrame:
     """Reads from SAM text, BAM or a Parquet reads table, by file name.
 
-    ``tiles`` and ``head`` let BAM files leave out reads elsewhere, or after the first; other files
-    give all their reads.
+    ``tiles`` let indexed BAM files and clustered reads tables leave out reads elsewhere, ``head`` lets BAM
+    files leave out those after the first; other files give all their reads.
     """
     from strandloom.sources.bam import read_bam
+    from strandloom.sources.reads_table import read_reads_table
 
-    if all(p.endswith(".parquet") for p in paths):
-        reads = spark.read.schema(READS).parquet(*paths)
+    if all(p.rstrip("/").endswith(".parquet") for p in paths):
+        reads = read_reads_table(spark, *paths, tiles=tiles)
         return reads.withColumn("bam_source_id", F.lit(sample)) if sample else reads
     if all(p.endswith(".bam") for p in paths):
         return read_bam(spark, *paths, sample=sample, tiles=tiles, head=head)

@@ -172,6 +172,26 @@ class Index:
         return merged
 
 
+def tile_runs(spans: DataFrame, low: str, high: str, bits: int = TILE_BITS) -> Tiles:
+    """Runs of genome tiles of 2**``bits`` bases that half-open spans touch, by chromosome.
+
+    The driver holds them: their number is bounded by the length of the genome, whatever the number
+    of spans.
+    """
+    tile = lambda c: F.shiftright(c, bits)
+    touched = spans.select("chrom", F.explode(
+        F.sequence(tile(F.col(low)), tile(F.col(high) - 1))
+    ).alias("tile")).distinct()
+    runs: Tiles = {}
+    for chrom, at in touched.orderBy("chrom", "tile").collect():
+        found = runs.setdefault(chrom, [])
+        if found and found[-1][1] == at - 1:
+            found[-1] = (found[-1][0], at)
+        else:
+            found.append((at, at))
+    return runs
+
+
 def tiles_text(tiles: Tiles) -> str:
     return "\n".join(
         f"{name}\t" + ",".join(f"{a}-{b}" for a, b in runs) for name, runs in tiles.items()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.functions.sites import source_id
+from strandloom.sources.bam import Tiles
+from strandloom.sources.lines import is_block_compressed, read_lines
 
 # Leading columns of a variant record.
 VCF_COLUMNS = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample"]
@@ -24,23 +28,35 @@ def vcf_records(lines: DataFrame) -> DataFrame:
     return records.withColumn("pos", F.col("pos").try_cast("int")).where(F.col("pos").isNotNull())
 
 
-def read_vcf(spark: SparkSession, *paths: str) -> DataFrame:
-    """Variant records of plain or gzip files."""
-    return vcf_records(
-        spark.read.text(list(paths)).select("value", F.col("_metadata.file_name").alias("file"))
-    )
+def read_vcf(spark: SparkSession, *paths: str, tiles: Tiles | None = None) -> DataFrame:
+    """Variant records of plain or gzip files; block-compressed ones are split.
+
+    With ``tiles``, those that have a position index give the records around the tiles only.
+    """
+    blocks = [p for p in paths if p.endswith(".gz") and is_block_compressed(p)]
+    lines = []
+    if others := [p for p in paths if p not in blocks]:
+        lines.append(spark.read.text(others).select("value", F.col("_metadata.file_name").alias("file")))
+    if blocks:
+        lines.append(read_lines(spark, *blocks, tiles=tiles).select("value", "file"))
+    return vcf_records(reduce(DataFrame.unionByName, lines))
 
 
 def read_vcf_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a variant file with their order, header flag, ``chrom``, ``pos`` and ``filter``."""
     fields = F.split("line", "\t", 8)
-    return spark.read.text(path).select(
-        F.col("value").alias("line"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("ord"),
-    ).withColumns({
+    if path.endswith(".gz") and is_block_compressed(path):
+        lines = read_lines(spark, path).select(
+            F.col("value").alias("line"), F.struct("block", "row").alias("ord"))
+    else:
+        lines = spark.read.text(path).select(
+            F.col("value").alias("line"),
+            F.struct(
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("row"),
+            ).alias("ord"),
+        )
+    return lines.withColumns({
         "is_header": F.col("line").startswith("#"),
         "chrom": F.get(fields, F.lit(0)),
         "pos": F.get(fields, F.lit(1)),
