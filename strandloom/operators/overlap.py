@@ -11,6 +11,7 @@ from strandloom.session import materialize
 
 BIN_SIZE = 32768
 HOT_BIN_ROWS = 100_000
+STRIP_BITS = 22
 RANK_PARTS = 64
 
 
@@ -69,6 +70,33 @@ def overlap_join(
     ).drop("_bin", "_read_bin", "_window_bin")
 
 
+def merged_regions(regions: DataFrame, chrom: str = "chrom", bits: int = STRIP_BITS) -> DataFrame:
+    """The same positions as disjoint regions (``start``, ``end``), none longer than a strip of 2**``bits`` bases.
+
+    Regions are cut at the borders of strips, and pieces that overlap or touch become one. Pieces of one strip
+    with the same start are combined before the shuffle, so a strip holds as many as it has bases at most, however
+    many regions cover it.
+    """
+    size = 1 << bits
+    strip = lambda c: F.shiftright(c, bits)
+    pieces = (
+        regions.where(F.col("end") > F.col("start"))
+        .select(chrom, F.col("start").cast("long"), F.col("end").cast("long"))
+        .withColumn("_strip", F.explode(F.sequence(strip(F.col("start")), strip(F.col("end") - 1))))
+        .select(chrom, "_strip", F.greatest("start", F.col("_strip") * size).alias("start"),
+                F.least("end", (F.col("_strip") + 1) * size).alias("end"))
+        .groupBy(chrom, "_strip", "start").agg(F.max("end").alias("end"))
+    )
+    order = Window.partitionBy(chrom, "_strip").orderBy("start")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reached >= F.col("start"), 0).otherwise(1)
+    return (
+        pieces.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(order))
+        .groupBy(chrom, "_strip", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .select(chrom, "start", "end")
+    )
+
+
 def points_in_regions(
     points: DataFrame,
     regions: DataFrame,
@@ -78,10 +106,11 @@ def points_in_regions(
     hot_rows: int = HOT_BIN_ROWS,
     small_regions: bool | None = None,
 ) -> DataFrame:
-    """Rows of ``points`` inside at least one half-open region (``start``, ``end``)."""
-    r = _with_bins(regions.select(chrom, "start", "end"), "start", "end", bin_size, "_first").drop(
-        "_first"
-    )
+    """Rows of ``points`` inside at least one half-open region (``start``, ``end``).
+
+    Regions are merged first: those that overlap give no more bins than the genome has.
+    """
+    r = _with_bins(merged_regions(regions, chrom), "start", "end", bin_size, "_first").drop("_first")
     p = points.withColumn("_bin", F.floor(F.col(position) / bin_size).cast("int"))
     keys = [chrom, "_bin"]
     if small_regions is None:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandloom.operators.balance import attach_by_key
 from strandloom.session import materialize
 
 ACCURACY = 10000
@@ -28,8 +29,8 @@ def order_statistics(
     sorted per group is the inside of a bracket: a share of at most a few in ACCURACY of the
     group, with copies of one value folded into one row.
 
-    ``by`` must name at least one column, all with few, fixed values (a label, a feature name): the brackets, one
-    row per group and rank, are broadcast.
+    ``by`` must name at least one column. The brackets, one row per group, are broadcast if their counted size
+    allows; otherwise rows meet them by key, and those of a large group on many tasks.
     """
     rows = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     margin = 4.0 / ACCURACY
@@ -43,7 +44,7 @@ def order_statistics(
         F.percentile_approx("_v", fractions, ACCURACY).alias("_q"),
     )
     small = F.col("n") <= ACCURACY
-    brackets = sketch.select(*by, "n", F.inline(F.array(*[
+    brackets = sketch.select(*by, "n", F.array(*[
         F.struct(
             F.lit(name).alias("_name"),
             F.greatest(F.least(ranks[name][1](F.col("n")), F.col("n") - 1), F.lit(0))
@@ -54,12 +55,12 @@ def order_statistics(
             .otherwise(F.col("_q")[2 * i + 1]).alias("_to"),
         )
         for i, name in enumerate(names)
-    ])))
-    joined = rows.join(F.broadcast(brackets), by)
+    ]).alias("_brackets"))
+    joined = attach_by_key(rows, brackets, by, "n", ["_v"]).where(F.col("n").isNotNull()).select(
+        *by, "n", "_v", F.inline(F.filter("_brackets", lambda b: F.col("_v") <= b["_to"])))
     inside = F.when(F.col("_v") >= F.col("_from"), F.col("_v"))
     counted = (
-        joined.where(F.col("_v") <= F.col("_to"))
-        .groupBy(*by, "_name", inside.alias("_v"))
+        joined.groupBy(*by, "_name", inside.alias("_v"))
         .agg(F.count("*").alias("_count"), F.first("n").alias("n"), F.first("_rank").alias("_rank"))
     )
     so_far = F.sum("_count").over(

@@ -155,3 +155,44 @@ def test_running_totals(spark, descending, buckets):
         total += n
         assert got[v] == total
     assert len(got) == len(values)
+
+
+@pytest.mark.parametrize("bits", [6, 22])
+def test_regions_are_merged(spark, bits):
+    rng = random.Random(bits)
+    rows = [("chr1" if i % 4 else "chr2", a, a + rng.choice([0, 1, 5, 80])) for i, a in
+            enumerate(rng.randint(0, 3000) for _ in range(200))] + [(None, 1, 9)]
+    merged = O.merged_regions(spark.createDataFrame(rows, "chrom string, start int, end int"), bits=bits).collect()
+    for chrom in ("chr1", "chr2"):
+        covered = {p for c, a, b in rows if c == chrom for p in range(a, b)}
+        own = [p for r in merged if r["chrom"] == chrom for p in range(r["start"], r["end"])]
+        assert len(own) == len(set(own)) and set(own) == covered
+        ends = {r["end"] for r in merged if r["chrom"] == chrom}
+        starts = {r["start"] for r in merged if r["chrom"] == chrom}
+        assert all(p % (1 << bits) == 0 for p in starts & ends)  # only strips are cut
+
+
+def test_overlapping_whole_chromosomes_give_no_extra_rows(spark):
+    regions = spark.createDataFrame([("chr1", i, 248_000_000 + i) for i in range(60)], "chrom string, start int, end int")
+    assert O.merged_regions(regions).count() == -(-248_000_059 // (1 << 22))
+    points = spark.createDataFrame([("chr1", 0), ("chr1", 248_000_058), ("chr1", 248_000_059), ("chr2", 5)], "chrom string, p int")
+    for small in (True, False):
+        got = O.points_in_regions(points, regions, "p", small_regions=small).collect()
+        assert sorted(r["p"] for r in got) == [0, 248_000_058]
+
+
+def test_quantiles_of_many_groups_without_broadcast(spark, nothing_fits):
+    """A group column without bound: brackets meet rows by key, the large group's on many tasks."""
+    rng = random.Random(4)
+    rows = [("hot" if i % 3 == 0 else f"g{i % 97}", round(rng.random(), 3)) for i in range(3000)] + [(None, 0.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["q10"], r["q50"]) for r in Q.exact_quantiles(df, ["g"], "v", {"q10": 0.1, "q50": 0.5}).collect()}
+    groups = {g for g, _ in rows if g}
+    assert set(got) == groups
+    for g in groups:
+        ordered = sorted(v for h, v in rows if h == g)
+        for q, value in zip((0.1, 0.5), got[g]):
+            at = (len(ordered) - 1) * q
+            low = int(at)
+            high = min(low + 1, len(ordered) - 1)
+            assert near(value, ordered[low] + (ordered[high] - ordered[low]) * (at - low), 1e-12)
