@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 
 from strandloom.config import LOG_LEVELS, RunConfig
 from strandloom.operators import grids as G
-from strandloom.session import build_session
+from strandloom.session import build_session, scratch
 
 FALSE_WORDS = ("false", "0", "no", "n", "off")
 
@@ -142,7 +142,8 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     mode = "overwrite" if args.overwrite else "errorifexists"
     try:
-        return _dispatch(args, mode)
+        with scratch():
+            return _dispatch(args, mode)
     except (ValueError, KeyError, OSError, PySparkException) as error:
         print(f"error: {error}", file=sys.stderr)
         return 1

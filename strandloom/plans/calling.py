@@ -12,7 +12,7 @@ from strandloom.operators.reads import SAMPLE_SIZE, samples_union, tag_report
 from strandloom.operators.summary import level3_statistics
 from strandloom.operators.variants import variants_from_records
 from strandloom.plans.analyze import analyze
-from strandloom.session import materialize
+from strandloom.session import materialize, scratch
 from strandloom.sinks.reports import write_levels
 from strandloom.sources.alignments import read_alignments
 from strandloom.sources.bam import tile_runs
@@ -55,8 +55,14 @@ def run(spark: SparkSession, config: RunConfig, mode: str = "errorifexists") ->
     """Run everything and write the reports; returns the folders written.
 
     The sites are written once, split by VCF, and every report reads its columns from there: the
-    reads are decoded once for the sites, whatever the number of reports and VCFs.
+    reads are decoded once for the sites, whatever the number of reports and VCFs. The tables of the run are
+    deleted when its reports stand.
     """
+    with scratch():
+        return _run(spark, config, mode)
+
+
+def _run(spark: SparkSession, config: RunConfig, mode: str) -> list[str]:
     variants = materialize(load_variants(spark, config), "variants")
     names = [
         r[0] for r in variants.select("vcf_source_id").distinct().orderBy("vcf_source_id").collect()

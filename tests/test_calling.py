@@ -10,6 +10,7 @@ from strandloom import RunConfig, cli
 from strandloom.operators import extract as E, reads as R
 from strandloom.plans import calling
 from strandloom.schema import SITES
+from strandloom.session import work_folder
 from strandloom.sources.alignments import read_sam
 from strandloom.sources.bam import read_bam
 from strandloom.sources.tables import read_sites, read_summary
@@ -212,7 +213,10 @@ def test_pooled_run_compares_vcfs(spark, inputs):
         normal_bam=f"{inputs}/normal.sam", window_size=50, outdir=f"{inputs}/pooled",
         gzip_output=False, per_vcf=False, min_strand_reads=0,
     )
+    folder = work_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
     assert calling.run(spark, config) == [f"{inputs}/pooled/all"]
+    assert set(os.listdir(folder)) == before  # no table of the run is left
     head, *body = lines_of(f"{inputs}/pooled/all/level3_haplotype_group_statistics.tsv")
     assert head.split("\t")[3:] == [
         "fp_mean_methylation", "tp_mean_methylation", "difference", "p_value"
