@@ -2,7 +2,9 @@
 
 Where no rule speaks, a host is judged by two personalised page ranks over the host edges: trust
 flows from hosts whose pages are allowed along the links, distrust flows from hosts whose pages are
-blocked against them (who links to a blocked host is suspect). All of it is DataFrame operations.
+blocked against them (who links to a blocked host is suspect). Each is divided by the rank that flows
+the same way from all pages, so a score is the share of a host's rank that is allowed or blocked: it lies
+in 0..1 and does not depend on the size of the table. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -16,14 +18,17 @@ from strandloom.llm.common import free_name, store
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Share of a score that flows on along the links.
 FLOW = 0.85
-ROUNDS = 12
-#: Rounds between two written tables of scores.
+#: Ranks are spread until no host's rank grows by more than this share of it in a round, or until
+#: MOST_ROUNDS, when 0.85^100, a ten-millionth of the mass, is unspread.
+TOLERANCE = 1e-6
+MOST_ROUNDS = 100
+#: Rounds between two written tables of ranks, each with a look at the growth.
 WRITE_EVERY = 4
-#: Scores count pages: an allowed or blocked page gives its host one. A host is blocked if its
-#: distrust is over LEAST and over RATIO times its trust, whatever the size of the table.
+#: A host is blocked if its share of distrust is LEAST or more, and over RATIO times its share of trust.
 LEAST = 0.5
 RATIO = 1.0
-DIGITS = 9
+#: Digits of a share, so that the order of sums is no matter.
+DIGITS = 5
 _LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:https?:)?//[^"'\s<>]+)"""
 
 
@@ -89,38 +94,50 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     )
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised page rank, in pages: (host, score) from ``seeds`` (host, weight) along ``edges``
-    (source, target, share). Scores are rounded, so that the order of sums is no matter."""
-    scores = seeds.select("host", F.col("weight").alias("score"))
-    for i in range(1, rounds + 1):
-        moved = edges.join(scores.withColumnRenamed("host", "source"), "source").select(
-            F.col("target").alias("host"), (FLOW * F.col("score") * F.col("share")).alias("score"))
-        kept = seeds.select("host", F.col("weight").alias("score"))
-        scores = moved.unionByName(kept).groupBy("host").agg(F.round(F.sum("score"), DIGITS).alias("score"))
-        if i % WRITE_EVERY == 0:
-            scores = store(scores, "host-scores")
-    return scores
+def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(host, share): what part of a host's page rank comes from the marked pages.
 
-
-def host_scores(edges: DataFrame, votes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) from edges and ``votes`` (host, allowed, blocked pages)."""
+    ``seeds`` (host, marked, pages) sends its marked and its other pages along ``edges`` (source, target,
+    share). Both ranks are sums over the walks of each length; a round adds those one link longer, from
+    what the last round brought, and both flow in one join.
+    """
+    start = [F.col(c).cast("double") for c in ("marked", "pages")]
+    ranks = seeds.select("host", start[0].alias("marked"), start[1].alias("pages"),
+                         start[0].alias("new_marked"), start[1].alias("new_pages"))
+    if not (edges.isEmpty() or seeds.where(F.col("marked") > 0).isEmpty()):
+        for i in range(1, MOST_ROUNDS + 1):
+            fresh = ranks.where(F.col("new_pages") > 0).select(
+                F.col("host").alias("source"), "new_marked", "new_pages")
+            came = [(FLOW * F.col(c) * F.col("share")) for c in ("new_marked", "new_pages")]
+            moved = edges.join(fresh, "source").select(
+                F.col("target").alias("host"), came[0].alias("marked"), came[1].alias("pages"),
+                came[0].alias("new_marked"), came[1].alias("new_pages"))
+            stays = ranks.select("host", "marked", "pages", F.lit(0.0).alias("new_marked"), F.lit(0.0).alias("new_pages"))
+            ranks = stays.unionByName(moved).groupBy("host").agg(
+                *[F.sum(c).alias(c) for c in ("marked", "pages", "new_marked", "new_pages")])
+            if i % WRITE_EVERY == 0:
+                ranks = store(ranks, "host-ranks")
+                if (ranks.agg(F.max(F.col("new_pages") / F.col("pages"))).first()[0] or 0.0) <= TOLERANCE:
+                    break
+    return ranks.where(F.col("pages") > 0).select(
+        "host", F.round(F.col("marked") / F.col("pages"), DIGITS).alias("share"))
+
+
+def host_scores(edges: DataFrame, votes: DataFrame) -> DataFrame:
+    """(host, trust, distrust), both shares, from edges and ``votes`` (host, allowed, blocked, pages)."""
     edges = store(edges, "host-edges")
     votes = store(votes, "host-votes")
 
-    def seeds(column: str) -> DataFrame:
-        return votes.where(F.col(column) > 0).select("host", F.col(column).cast("double").alias("weight"))
-
-    def shares(source: str, target: str) -> DataFrame:
+    def score(marked: str, source: str, target: str) -> DataFrame:
         out = edges.groupBy(source).agg(F.sum("links").alias("all"))
-        return edges.join(out, source).select(
+        shares = store(edges.join(out, source).select(
             F.col(source).alias("source"), F.col(target).alias("target"),
-            (F.col("links") / F.col("all")).alias("share"))
+            (F.col("links") / F.col("all")).alias("share")), "host-shares")
+        return spread(shares, votes.select("host", F.col(marked).alias("marked"), "pages"))
 
-    trust = spread(store(shares("source", "target"), "host-shares"), seeds("allowed"), rounds)
-    distrust = spread(store(shares("target", "source"), "host-shares"), seeds("blocked"), rounds)
-    return trust.withColumnRenamed("score", "trust").join(
-        distrust.withColumnRenamed("score", "distrust"), "host", "full").fillna(0.0)
+    trust = score("allowed", "source", "target").withColumnRenamed("share", "trust")
+    distrust = score("blocked", "target", "source").withColumnRenamed("share", "distrust")
+    return trust.join(distrust, "host", "full").fillna(0.0)
 
 
 def judged(
@@ -129,7 +146,7 @@ def judged(
     """``pages`` with host, path, rule and verdict, under free names.
 
     A null url, or one without ``://``, has an empty host and path; no rule fits it and it is
-    allowed. A null html has no links. Hosts that neither trust nor distrust reaches are allowed. Repeated
+    allowed. A null html has no links. Copying every row leaves all verdicts. Hosts that neither trust nor distrust reaches are allowed. Repeated
     rows are judged alike and stay. An empty table gives an empty result. The host table meets the
     pages in a left join, in which adaptive execution splits the rows of a frequent host.
     """
@@ -138,9 +155,10 @@ def judged(
     rows = pages.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))}).withColumn(
         rule, rule_for(F.col(host), F.col(path), rules))
     said = verdict_of(F.col(rule), rules)
-    votes = rows.where((F.col(host) != "") & F.col(rule).isNotNull()).groupBy(F.col(host).alias("host")).agg(
-        F.count_if(said == "allow").alias("allowed"), F.count_if(said == "block").alias("blocked"))
-    bad = (F.col("distrust") > LEAST) & (F.col("distrust") > RATIO * F.col("trust"))
+    votes = rows.where(F.col(host) != "").groupBy(F.col(host).alias("host")).agg(
+        F.count_if(said == "allow").alias("allowed"), F.count_if(said == "block").alias("blocked"),
+        F.count("*").alias("pages"))
+    bad = (F.col("distrust") >= LEAST) & (F.col("distrust") > RATIO * F.col("trust"))
     blocked = host_scores(host_edges(pages, url, html), votes).where(bad).select(F.col("host").alias(key))
     return rows.join(blocked, F.col(host) == F.col(key), "left").select(
         *pages.columns, host, path, rule,

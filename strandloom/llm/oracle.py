@@ -33,29 +33,27 @@ def _url_filter() -> str:
     def spread(name: str, seed: str, source: str, target: str) -> None:
         parts.append(f"""{name}_e AS MATERIALIZED (SELECT {source} AS source, {target} AS target,
           n::DOUBLE / sum(n) OVER (PARTITION BY {source}) AS share FROM edges)""")
-        parts.append(f"{name}_s AS MATERIALIZED (SELECT host, {seed}::DOUBLE AS score FROM votes WHERE {seed} > 0)")
-        parts.append(f"{name}_0 AS MATERIALIZED (SELECT * FROM {name}_s)")
-        for i in range(1, links.ROUNDS + 1):
-            parts.append(f"""{name}_{i} AS MATERIALIZED (SELECT host, round(sum(score), {links.DIGITS}) AS score FROM (
-              SELECT target AS host, {links.FLOW} * score * share AS score FROM {name}_e e JOIN {name}_{i - 1} s ON e.source = s.host
-              UNION ALL SELECT * FROM {name}_s) GROUP BY host)""")
+        parts.append(f"""{name}_w AS (SELECT 0 AS steps, host, {seed}::DOUBLE AS marked, pages::DOUBLE AS pages FROM votes
+          UNION ALL SELECT any_value(steps) + 1, target, sum({links.FLOW} * marked * share), sum({links.FLOW} * w.pages * share)
+          FROM {name}_w w JOIN {name}_e e ON e.source = w.host WHERE steps < {links.MOST_ROUNDS} GROUP BY target)""")
+        parts.append(f"""{name} AS MATERIALIZED (SELECT host, round(sum(marked) / sum(pages), {links.DIGITS}) AS share
+          FROM {name}_w GROUP BY host)""")
 
     spread("trust", "allowed", "source", "target")
     spread("dist", "blocked", "target", "source")
-    last = links.ROUNDS
-    return rf"""WITH p AS MATERIALIZED (SELECT page_id, html, coalesce({host.format('rest')}, '') AS host,
+    return rf"""WITH RECURSIVE p AS MATERIALIZED (SELECT page_id, html, coalesce({host.format('rest')}, '') AS host,
       coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
       FROM (SELECT *, {after.format('url')} AS rest FROM pages)),
     j AS MATERIALIZED (SELECT *, {said} AS said FROM (SELECT *, CASE {rules} END AS rule FROM p)),
     votes AS MATERIALIZED (SELECT host, count(*) FILTER (said = 'allow') AS allowed,
-      count(*) FILTER (said = 'block') AS blocked FROM j WHERE host <> '' AND rule IS NOT NULL GROUP BY host),
+      count(*) FILTER (said = 'block') AS blocked, count(*) AS pages FROM j WHERE host <> '' GROUP BY host),
     raw AS (SELECT host AS source, unnest(regexp_extract_all(html, {_text(links._LINK)}, 1)) AS link FROM p),
     edges AS MATERIALIZED (SELECT source, target, count(*) AS n FROM (
       SELECT source, {host.format("substr(link, instr(link, '//') + 2)")} AS target FROM raw)
       WHERE source <> '' AND target <> '' AND source <> target GROUP BY ALL),
     {", ".join(parts)},
-    bad AS (SELECT coalesce(t.host, d.host) AS host FROM trust_{last} t FULL JOIN dist_{last} d ON t.host = d.host
-      WHERE coalesce(d.score, 0) > {links.LEAST} AND coalesce(d.score, 0) > {links.RATIO} * coalesce(t.score, 0))
+    bad AS (SELECT coalesce(t.host, d.host) AS host FROM trust t FULL JOIN dist d ON t.host = d.host
+      WHERE coalesce(d.share, 0) >= {links.LEAST} AND coalesce(d.share, 0) > {links.RATIO} * coalesce(t.share, 0))
     SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
     FROM j"""
 
