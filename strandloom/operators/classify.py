@@ -5,8 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandloom.functions.numeric import ratio
@@ -62,9 +61,11 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``is_test``: per label, the rows with the smallest seeded key hashes.
 
-    The cut is an exact order statistic of the hash, so no label is sorted on one task.
+    The hash is the first 60 bits of the MD5 of seed and keys, which any SQL can state. The cut is an exact
+    order statistic of the hash, so no label is sorted on one task.
     """
-    hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), *key))
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    hashed = df.withColumn("_hash", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
     counts = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
     sizes = split_sizes(counts, test_share)
     wanted = F.coalesce(*[F.when(F.col("label") == k, F.lit(n)) for k, n in sizes.items()])
@@ -86,29 +87,79 @@ class Model:
     coefficients: tuple[float, ...]
     intercept: float
 
-    def probability(self) -> Column:
+    def margin(self) -> Column:
         margin = F.lit(self.intercept)
         for name, weight in zip(self.features, self.coefficients):
             margin = margin + F.lit(weight) * F.col(name)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+        return margin
+
+    def probability(self) -> Column:
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin()))
+
+
+NEWTON_STEPS = 100
+GRADIENT_LIMIT = 1e-10
+
+
+def _loss_sums(rows: DataFrame, x: list[str], model: Model) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted loss, gradient and Gram matrix at ``model``, summed in one aggregate over ``rows``."""
+    margin = model.margin()
+    z = F.when(F.col("_y") == 1, -margin).otherwise(margin)
+    placed = rows.select(
+        *x, "_w", model.probability().alias("_p"), "_y",
+        (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))).alias("_loss"))
+    slope, bend = F.col("_w") * (F.col("_p") - F.col("_y")), F.col("_w") * F.col("_p") * (1 - F.col("_p"))
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    row = placed.agg(
+        F.sum(F.col("_w") * F.col("_loss")), *[F.sum(slope * F.col(c)) for c in x],
+        *[F.sum(bend * F.col(x[i]) * F.col(x[j])) for i, j in pairs],
+    ).first()
+    gram = np.zeros((len(x), len(x)))
+    for (i, j), value in zip(pairs, row[1 + len(x):]):
+        gram[i, j] = gram[j, i] = value
+    return row[0], np.array(row[1 : 1 + len(x)], dtype=float), gram
 
 
 def fit_balanced_logistic(train: DataFrame, features: list[str], c: float = 1.0) -> Model:
-    """L2 logistic regression with labels weighted to equal totals, at inverse strength ``c``."""
-    counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
-    rows = sum(counts.values())
+    """L2 logistic regression with labels weighted to equal totals, at inverse strength ``c``.
+
+    Newton's method: each step is one aggregate over the rows (loss, gradient and weighted Gram matrix, whose
+    size depends on the features alone), halved where the loss would grow. The intercept is not
+    penalized. Rows of two labels and features without missing values are required.
+    """
+    seen = train.groupBy("label").agg(
+        F.count("*").alias("count"),
+        F.count_if(F.array_contains(F.array(*[F.col(f).isNull() for f in features]), True)).alias("missing"))
+    counts, missing = {}, 0
+    for r in seen.collect():
+        counts[r["label"]] = r["count"]
+        missing += r["missing"]
+    if len(counts) != 2 or missing:
+        raise ValueError(f"two labels and no missing values needed, not {counts} with {missing} missing")
+    total = sum(counts.values())
     weight = F.coalesce(*[
-        F.when(F.col("label") == label, F.lit(rows / (len(counts) * n)))
-        for label, n in counts.items()
+        F.when(F.col("label") == label, F.lit(total / (len(counts) * n))) for label, n in counts.items()
     ])
-    table = VectorAssembler(inputCols=features, outputCol="_x").transform(
-        train.withColumn("_y", (F.col("label") == "TP").cast("double")).withColumn("_w", weight)
+    rows = train.select(
+        *[F.col(f).cast("double").alias(f) for f in features], F.lit(1.0).alias("_one"),
+        (F.col("label") == "TP").cast("double").alias("_y"), weight.alias("_w"),
     )
-    fitted = LogisticRegression(
-        featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=1000, tol=1e-8,
-        regParam=1.0 / (c * rows), elasticNetParam=0.0, standardization=False,
-    ).fit(table.select("_x", "_y", "_w"))
-    return Model(tuple(features), tuple(float(x) for x in fitted.coefficients), fitted.intercept)
+    x = [*features, "_one"]
+    ridge = np.array([1.0 / c] * len(features) + [0.0])
+    model_of = lambda v: Model(tuple(features), tuple(float(b) for b in v[:-1]), float(v[-1]))
+    best, at, step = math.inf, np.zeros(len(x)), np.zeros(len(x))
+    for _ in range(NEWTON_STEPS):
+        loss, gradient, gram = _loss_sums(rows, x, model_of(at - step))
+        loss += float(ridge @ (at - step) ** 2) / 2
+        if not loss <= best * (1 + 1e-12):
+            step = step / 2
+            continue
+        best, at = loss, at - step
+        gradient = gradient + ridge * at
+        if np.abs(gradient).max() <= GRADIENT_LIMIT * total:
+            break
+        step = np.linalg.solve(gram + np.diag(ridge), gradient)
+    return model_of(at)
 
 
 def coefficients(df: DataFrame, model: Model) -> DataFrame:

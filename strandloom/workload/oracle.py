@@ -7,6 +7,8 @@ here by Simpson's rule.
 
 from __future__ import annotations
 
+from strandloom.operators.classify import SPLIT_SEED
+from strandloom.schema import CONTRAST_KEY
 from strandloom.workload.views import duckdb_view
 
 _KEY = "chrom, somatic_pos, variant_type, vcf_source_id, somatic_allele_type, haplotype_tag"
@@ -499,11 +501,9 @@ SELECT DISTINCT chrom, somatic_pos, variant_type, vcf_source_id, strand,
   upper(vcf_source_id) AS label FROM sites
 """, "sites")
 
-_oracle("median_impute_scale", "SELECT label, {key}, {cols} FROM features CROSS JOIN ({stats})".format(
+_step("standardized", "SELECT label, {key}, {cols} FROM features CROSS JOIN ({stats})".format(
     key=_KEY,
-    cols=", ".join(
-        _r(f"(coalesce({f}, {f}_med) - {f}_avg) / {f}_sd") + f" AS {f}" for f in _FEATURES
-    ),
+    cols=", ".join(f"(coalesce({f}, {f}_med) - {f}_avg) / {f}_sd AS {f}" for f in _FEATURES),
     stats="SELECT " + ", ".join(
         f"any_value({f}_med) AS {f}_med, avg(coalesce({f}, {f}_med)) AS {f}_avg, "
         f"stddev_pop(coalesce({f}, {f}_med)) AS {f}_sd" for f in _FEATURES
@@ -511,17 +511,60 @@ _oracle("median_impute_scale", "SELECT label, {key}, {cols} FROM features CROSS
         f"median({f}) AS {f}_med" for f in _FEATURES
     ) + " FROM features)",
 ), "features")
-_oracle("stratified_split", """
-SELECT label, is_test, CASE WHEN is_test THEN t ELSE n - t END AS rows FROM (
-  SELECT label, n, CAST(floor(x) AS BIGINT) + CASE WHEN row_number() OVER (
-      ORDER BY floor(x) - x, label) <= total - sum(CAST(floor(x) AS BIGINT)) OVER ()
-    THEN 1 ELSE 0 END AS t
-  FROM (
-    SELECT label, count(*) AS n, CAST(ceil(sum(count(*)) OVER () * 0.3e0) AS BIGINT) AS total,
-      n * total / (sum(count(*)) OVER ()) AS x
-    FROM features GROUP BY label)
-) CROSS JOIN (VALUES (true), (false)) v(is_test)
+_oracle("median_impute_scale", f"SELECT label, {_KEY}, " + ", ".join(
+    f"{_r(f)} AS {f}" for f in _FEATURES) + " FROM standardized", "standardized")
+_step("test_sizes", """
+SELECT label, n, CAST(floor(x) AS BIGINT) + CASE WHEN row_number() OVER (
+    ORDER BY floor(x) - x, label) <= total - sum(CAST(floor(x) AS BIGINT)) OVER ()
+  THEN 1 ELSE 0 END AS t
+FROM (
+  SELECT label, count(*) AS n, CAST(ceil(sum(count(*)) OVER () * 0.3e0) AS BIGINT) AS total,
+    n * total / (sum(count(*)) OVER ()) AS x
+  FROM features GROUP BY label)
 """, "features")
+_oracle("stratified_split", """
+SELECT label, is_test, CASE WHEN is_test THEN t ELSE n - t END AS rows
+FROM test_sizes CROSS JOIN (VALUES (true), (false)) v(is_test)
+""", "test_sizes")
+_HASHED = " || '|' || ".join(
+    [f"'{SPLIT_SEED}'", *(f"coalesce(CAST({c} AS VARCHAR), '')" for c in [*CONTRAST_KEY, "label"])])
+_step("split", f"""
+SELECT s.*, row_number() OVER (PARTITION BY s.label
+  ORDER BY CAST('0x' || substr(md5({_HASHED.replace("CAST(label", "CAST(s.label")}), 1, 15) AS BIGINT)) <= t AS is_test
+FROM standardized s JOIN test_sizes z ON s.label = z.label
+""", "standardized", "test_sizes")
+
+
+def _newton(rounds: int = 12) -> str:
+    """Newton steps of the weighted logistic loss; each system is solved by elimination, a table per pivot."""
+    x = [*_FEATURES, "1e0"]
+    size = len(x)
+    cells = [(i, j) for i in range(size) for j in range(size + 1)]
+    parts = ["""t AS MATERIALIZED (SELECT *, CASE label WHEN 'TP' THEN 1e0 ELSE 0e0 END AS y,
+      count(*) OVER () / (2e0 * count(*) OVER (PARTITION BY label)) AS w FROM split WHERE NOT is_test)""",
+             "b0 AS MATERIALIZED (SELECT " + ", ".join(f"0e0 AS b_{i}" for i in range(size)) + ")"]
+    margin = " + ".join(f"b_{i} * {c}" for i, c in enumerate(x))
+    for n in range(rounds):
+        sums = [
+            (f"sum(w * (p - y) * {x[i]})" if j == size else f"sum(w * p * (1 - p) * {x[i]} * {x[j]})")
+            + (f" + any_value(b_{i})" if j == size and i < size - 1 else " + 1" if i == j < size - 1 else "")
+            + f" AS a_{i}_{j}" for i, j in cells]
+        parts.append(f"""a{n}_0 AS MATERIALIZED (SELECT {", ".join(sums)}
+          FROM (SELECT *, 1 / (1 + exp(-({margin}))) AS p FROM t CROSS JOIN b{n}))""")
+        for k in range(size):
+            swept = [f"a_{i}_{j}" + (f" - a_{i}_{k} / a_{k}_{k} * a_{k}_{j}" if i != k else "") + f" AS a_{i}_{j}"
+                     for i, j in cells]
+            parts.append(f"a{n}_{k + 1} AS MATERIALIZED (SELECT {', '.join(swept)} FROM a{n}_{k})")
+        moved = ", ".join(f"b_{i} - a_{i}_{size} / a_{i}_{i} AS b_{i}" for i in range(size))
+        parts.append(f"b{n + 1} AS MATERIALIZED (SELECT {moved} FROM b{n} CROSS JOIN a{n}_{size})")
+    return f"WITH {', '.join(parts)} SELECT * FROM b{rounds}"
+
+
+_step("fit", _newton(), "split")
+_oracle("logreg_coefficients", " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, {_r(f'b_{i}')} AS coef FROM fit" for i, f in enumerate(_FEATURES)), "fit")
+_step("fit_scored", "SELECT label, 1 / (1 + exp(-(b_{last} + {terms}))) AS score FROM split CROSS JOIN fit WHERE is_test".format(
+    last=len(_FEATURES), terms=" + ".join(f"b_{i} * {f}" for i, f in enumerate(_FEATURES))), "split", "fit")
 _step("scored", "SELECT label, round(mean_methylation, 4) AS score FROM features", "features")
 _step("curve", """
 SELECT threshold, tp, fp, sum(tp) OVER w AS cum_tp, sum(fp) OVER w AS cum_fp FROM (
@@ -536,12 +579,18 @@ SELECT {_r('threshold')} AS threshold, CAST(cum_tp AS BIGINT) AS cum_tp,
   {_r('cum_tp / max(cum_tp) OVER ()')} AS tpr
 FROM curve UNION ALL SELECT NULL, 0, 0, 0, 0
 """, "curve")
-_oracle("roc_auc", f"""
+
+
+def _area(source: str) -> str:
+    return f"""
 SELECT {_r("count(*) FILTER (p.score > n.score) / count(*) + count(*) FILTER (p.score = n.score) / count(*) / 2")}
   AS auc
-FROM (SELECT score FROM scored WHERE label = 'TP') p
-CROSS JOIN (SELECT score FROM scored WHERE label = 'FP') n
-""", "scored")
+FROM (SELECT score FROM {source} WHERE label = 'TP') p
+CROSS JOIN (SELECT score FROM {source} WHERE label = 'FP') n
+"""
+
+
+_oracle("roc_auc", _area("scored"), "scored")
 # Precision, recall and F1 of each class, from its hits, false calls and misses.
 _CLASS_METRICS = ", ".join(
     f"coalesce({hit} / nullif({hit} + {wrong}, 0), 0) AS precision_{side}, "
@@ -555,7 +604,8 @@ _SHOWN = ", ".join([
     *(_r(f"({m}_TP + {m}_FP) / 2") + f" AS {m}_macro" for m in _METRICS),
     *(_r(f"({m}_TP * support_TP + {m}_FP * support_FP) / nullif(support_TP + support_FP, 0)")
       + f" AS {m}_weighted" for m in _METRICS)])
-_oracle("prediction_metrics", f"""
+def _prediction_metrics(source: str) -> str:
+    return f"""
 SELECT tp, fp, fn, tn, {_r('(tp + tn) / (tp + fp + fn + tn)')} AS accuracy,
   "support_TP", "support_FP", {_SHOWN}
 FROM (SELECT *, {_CLASS_METRICS} FROM (
@@ -563,8 +613,14 @@ FROM (SELECT *, {_CLASS_METRICS} FROM (
     count(*) FILTER (label = 'FP' AND score > 0.5e0) AS fp,
     count(*) FILTER (label = 'TP' AND score <= 0.5e0) AS fn,
     count(*) FILTER (label = 'FP' AND score <= 0.5e0) AS tn
-  FROM scored))
-""", "scored")
+  FROM {source}))
+"""
+
+
+_oracle("prediction_metrics", _prediction_metrics("scored"), "scored")
+_oracle(
+    "logreg_metrics",
+    f"SELECT * FROM ({_prediction_metrics('fit_scored')}) CROSS JOIN ({_area('fit_scored')})", "fit_scored")
 
 _oracle(
     "vcf_text_scan",

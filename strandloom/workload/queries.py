@@ -371,12 +371,19 @@ def stratified_split(spark, d):
 @query
 def logreg_metrics(spark, d):
     result = K.evaluate(stored_features(spark, d), FEATURES, [*CONTRAST_KEY, "label"])
-    return result.metrics
+    return _rounded_metrics(result.metrics)
 
 
 @query
 def logreg_coefficients(spark, d):
-    return K.evaluate(stored_features(spark, d), FEATURES, [*CONTRAST_KEY, "label"]).coefficients
+    found = K.evaluate(stored_features(spark, d), FEATURES, [*CONTRAST_KEY, "label"]).coefficients
+    return rounded(found, "coef")
+
+
+def _rounded_metrics(shown: DataFrame) -> DataFrame:
+    return rounded(shown, *[
+        c for c in shown.columns if c not in ("tp", "fp", "fn", "tn") and "support" not in c
+    ])
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -396,10 +403,7 @@ def roc_auc(spark, d):
 
 @query
 def prediction_metrics(spark, d):
-    shown = K.prediction_metrics(_scored(spark, d))
-    return rounded(shown, *[
-        c for c in shown.columns if c not in ("tp", "fp", "fn", "tn") and "support" not in c
-    ])
+    return _rounded_metrics(K.prediction_metrics(_scored(spark, d)))
 
 
 # --- variants --------------------------------------------------------------------------------

@@ -254,7 +254,18 @@ def test_model_recovers_a_separation(spark):
     x = pdf[["good", "noise"]].to_numpy()
     beta = np.array(model.coefficients)
     p = 1 / (1 + np.exp(-(model.intercept + x @ beta)))
-    assert np.allclose(x.T @ (w * (p - y)) + beta, 0, atol=1e-2) and near((w * (p - y)).sum(), 0, 1e-2)
+    assert np.allclose(x.T @ (w * (p - y)) + beta, 0, atol=1e-6) and near((w * (p - y)).sum(), 0, 1e-6)
+
+
+def test_model_of_separable_and_unfit_rows(spark):
+    rows = [("TP" if i % 2 else "FP", 1e3 * (i % 2) + i, 7.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "label string, x double, same double")
+    model = K.fit_balanced_logistic(K.standardize(df, ["x", "same"]), ["x", "same"], c=100.0)
+    assert 0 < model.coefficients[0] < 100 and near(model.coefficients[1], 0, 1e-9)
+    with pytest.raises(ValueError):
+        K.fit_balanced_logistic(df.where("label = 'TP'"), ["x"])
+    with pytest.raises(ValueError):
+        K.fit_balanced_logistic(df.withColumn("x", F.when(F.col("x") > 20, F.col("x"))), ["x"])
 
 
 def test_curve_area_counts_ties_half(spark):
