@@ -9,8 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandloom.functions.numeric import ratio
-from strandloom.operators.describe import unpivoted
-from strandloom.operators.quantiles import exact_quantiles, order_statistics, running_totals
+from strandloom.operators.quantiles import feature_quantiles, order_statistics, running_totals
 from strandloom.session import materialize
 
 TEST_SHARE = 0.3
@@ -21,9 +20,7 @@ def impute_medians(df: DataFrame, features: list[str]) -> DataFrame:
     """Fill missing values with the exact median of the feature, over both labels."""
     medians = {
         r["feature"]: r["median"]
-        for r in exact_quantiles(
-            unpivoted(df, [], features), ["feature"], "value", {"median": 0.5}
-        ).collect()
+        for r in feature_quantiles(df, [], features, {"median": 0.5}).collect()
     }
     return df.withColumns({
         f: F.coalesce(F.col(f).cast("double"), F.lit(medians.get(f)).cast("double"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandloom.functions import numeric as N
-from strandloom.operators.quantiles import exact_quantiles
+from strandloom.operators.quantiles import feature_quantiles
 
 
 def unpivoted(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
@@ -40,9 +40,7 @@ MOMENTS = {
 def descriptive_stats(df: DataFrame, features: list[str]) -> DataFrame:
     """count, mean, median, std, min and max per feature and label."""
     moments = wide_aggregate(df, ["label"], features, MOMENTS)
-    medians = exact_quantiles(
-        unpivoted(df, ["label"], features), ["label", "feature"], "value", {"median": 0.5}
-    )
+    medians = feature_quantiles(df, ["label"], features, {"median": 0.5})
     return moments.join(F.broadcast(medians), ["label", "feature"], "left").select(
         "feature", F.col("label").alias("group"), "count", "mean", "median", "std", "min", "max"
     )
@@ -58,10 +56,7 @@ def describe(df: DataFrame, features: list[str], by: tuple[str, ...] = ("label",
     stats = {**MOMENTS, "missing": lambda c: F.count_if(c.isNull())}
     keys = [*by]
     moments = wide_aggregate(df, keys, features, stats)
-    quartiles = exact_quantiles(
-        unpivoted(df, keys, features), [*keys, "feature"], "value",
-        {"q25": 0.25, "q50": 0.5, "q75": 0.75},
-    )
+    quartiles = feature_quantiles(df, keys, features, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return moments.join(_few(quartiles, keys), [*keys, "feature"], "left").select(
         *keys, "feature", "count", "missing", "mean", "std", "min", "q25", "q50", "q75", "max"
     )

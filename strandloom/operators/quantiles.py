@@ -99,6 +99,79 @@ def exact_quantiles(
     return stats.select(*by, *[between(name, q) for name, q in quantiles.items()])
 
 
+def feature_quantiles(
+    df: DataFrame, by: list[str], features: list[str], quantiles: dict[str, float]
+) -> DataFrame:
+    """Exact quantiles of many features at once: a row per group and feature, a column per name.
+
+    As ``exact_quantiles``, but rows stay wide: one aggregate sketches all features, one counts the values below
+    every bracket, and only the values inside a bracket leave their row, to be counted per distinct value. A
+    feature without values in a group has no row. ``by`` may be empty.
+    """
+    if not features:
+        raise ValueError("no features")
+    names, margin = list(quantiles), 4.0 / ACCURACY
+    fractions = [f for q in quantiles.values() for f in (max(q - margin, 0.0), min(q + margin, 1.0))]
+    keys = by or ["_all"]
+    group = [F.col(c) for c in by] or [F.lit(0).alias("_all")]
+    values = [f"_v{i}" for i in range(len(features))]
+    wide = df.select(*group, *[F.col(f).cast("double").alias(v) for f, v in zip(features, values)])
+    sketch = wide.groupBy(*keys).agg(F.count("*").alias("_rows"), *[
+        make(v).alias(f"{v}_{name}") for v in values for name, make in (
+            ("n", F.count), ("min", F.min), ("max", F.max),
+            ("q", lambda c: F.percentile_approx(c, fractions, ACCURACY)))
+    ])
+
+    def bracket(v: str, k: int) -> Column:
+        n, q, low, high = F.col(f"{v}_n"), quantiles[names[k]], fractions[2 * k], fractions[2 * k + 1]
+        small = n <= ACCURACY
+        return F.struct(
+            F.greatest(F.floor((n - 1) * F.lit(q)), F.lit(0)).cast("long").alias("rank"), n.alias("n"),
+            F.when(small | F.lit(low <= 0.0), F.col(f"{v}_min")).otherwise(F.col(f"{v}_q")[2 * k]).alias("low"),
+            F.when(small | F.lit(high >= 1.0), F.col(f"{v}_max")).otherwise(F.col(f"{v}_q")[2 * k + 1]).alias("high"),
+        )
+
+    places = [(i, k) for i in range(len(features)) for k in range(len(names))]
+    brackets = sketch.select(
+        *keys, "_rows", *[bracket(values[i], k).alias(f"_b{i}_{k}") for i, k in places])
+    joined = attach_by_key(wide, brackets, keys, "_rows", values).where(F.col("_rows").isNotNull())
+    at = lambda i, k, part: F.col(f"_b{i}_{k}")[part]
+    below = joined.groupBy(*keys).agg(*[
+        F.struct(
+            F.max(at(i, k, "n")).alias("_n"), F.max(at(i, k, "rank")).alias("_rank"),
+            F.count_if(F.col(values[i]) < at(i, k, "low")).alias("_below"),
+        ).alias(f"_b{i}_{k}") for i, k in places
+    ]).select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_feature"), F.lit(k).alias("_name"), F.col(f"_b{i}_{k}").alias("_place"))
+        for i, k in places
+    ])))
+    inside = joined.select(*keys, F.inline(F.filter(
+        F.array(*[
+            F.struct(F.lit(i).alias("_feature"), F.lit(k).alias("_name"), F.when(
+                F.col(values[i]).between(at(i, k, "low"), at(i, k, "high")), F.col(values[i])).alias("_v"))
+            for i, k in places
+        ]), lambda x: x["_v"].isNotNull(),
+    ))).groupBy(*keys, "_feature", "_name", "_v").agg(F.count("*").alias("_count"))
+    place = [*keys, "_feature", "_name"]
+    upto = F.col("_place._below") + F.sum("_count").over(
+        Window.partitionBy(*place).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rank, last = F.col("_place._rank"), F.least(F.col("_place._rank") + 1, F.col("_place._n") - 1)
+    found = inside.join(below, place).withColumn("_upto", upto).groupBy(*place).agg(
+        F.min(F.when(F.col("_upto") > rank, F.col("_v"))).alias("_low"),
+        F.min(F.when(F.col("_upto") > last, F.col("_v"))).alias("_high"),
+        F.first("_place._n").alias("_n"),
+    )
+
+    def between(k: int) -> Column:
+        pick = lambda c: F.max(F.when(F.col("_name") == k, F.col(c)))
+        place = (F.max("_n") - 1) * F.lit(quantiles[names[k]])
+        return (pick("_low") + (pick("_high") - pick("_low")) * (place - F.floor(place))).alias(names[k])
+
+    title = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_feature") + 1).alias("feature")
+    wanted = found.groupBy(*keys, "_feature").agg(*[between(k) for k in range(len(names))])
+    return wanted.select(*by, title, *names)
+
+
 def running_totals(
     df: DataFrame, order: str, sums: list[str], descending: bool = True, buckets: int | None = None
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,25 @@ def test_quantiles_of_many_groups_without_broadcast(spark, nothing_fits):
             low = int(at)
             high = min(low + 1, len(ordered) - 1)
             assert near(value, ordered[low] + (ordered[high] - ordered[low]) * (at - low), 1e-12)
+
+
+def test_feature_quantiles_keep_rows_wide(spark, monkeypatch):
+    """Groups below and above the sketch's accuracy, ties, missing values and a feature without any."""
+    monkeypatch.setattr(Q, "ACCURACY", 200)
+    rng = np.random.default_rng(4)
+    rows = [(("a", "b")[i % 9 == 0], float(rng.normal()), float(i % 3) if i % 7 else None, None) for i in range(3000)]
+    rows.append((None, 1.0, 1.0, 1.0))
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double")
+    wanted = {"q10": 0.1, "q50": 0.5, "q100": 1.0}
+    got = {(r["g"], r["feature"]): r for r in Q.feature_quantiles(df, ["g"], ["x", "y", "z"], wanted).collect()}
+    assert {k for k in got if k[0]} == {(g, f) for g in "ab" for f in "xy"}
+    for (g, f), r in got.items():
+        if g:
+            column = [row["xyz".index(f) + 1] for row in rows if row[0] == g]
+            column = [v for v in column if v is not None]
+            assert all(abs(r[n] - np.quantile(column, q)) < 1e-12 for n, q in wanted.items())
+    over_all = {r["feature"]: r["q50"] for r in Q.feature_quantiles(df, [], ["x", "y", "z"], {"q50": 0.5}).collect()}
+    assert over_all["x"] == np.median([r[1] for r in rows]) and over_all["z"] == 1.0
+    plan = Q.feature_quantiles(df, ["g"], ["x", "y"], wanted)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+    assert Q.feature_quantiles(df.limit(0), ["g"], ["x"], wanted).count() == 0
