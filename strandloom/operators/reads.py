@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandloom.functions import alignment as A, sites as S
 
 SAMPLE_SIZE = 100
+# The haplotype sample takes one record in THINNING after the first WHOLE_HEAD, SAMPLE_SIZE in all. Some 280
+# records are enough for it; HEAD_SIZE is ten times that, so it is full whenever the file is long enough.
+WHOLE_HEAD, THINNING = 11, 3
+HEAD_SIZE = 3000
 
 
 def fetchable_reads(reads: DataFrame) -> DataFrame:
@@ -36,13 +40,16 @@ def with_haplotype(reads: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TagReport:
-    """Tag counts over the first records of one sample."""
+    """Tag counts over the first records of one sample, and over its thinned haplotype sample."""
 
     sampled: int
     mm: int
     ml: int
     hp: int
     ps: int
+    thinned: int
+    thinned_hp: int
+    thinned_ps: int
 
     @property
     def has_methylation(self) -> bool:
@@ -50,7 +57,7 @@ class TagReport:
 
     @property
     def has_haplotypes(self) -> bool:
-        return self.hp > 0
+        return self.thinned_hp > 0
 
 
 def tag_counts(reads: DataFrame) -> DataFrame:
@@ -59,19 +66,39 @@ def tag_counts(reads: DataFrame) -> DataFrame:
     Sources that also read the lower-case spelling mark it in ``legacy_mm``. Each task keeps its
     first records, so only a bounded number is sorted in the end.
     """
+    return _tag_flags(reads).orderBy("ord").limit(SAMPLE_SIZE).agg(
+        *[F.count_if(c).alias(c) for c in ("sampled", "mm", "ml", "hp", "ps")]
+    )
+
+
+def _tag_flags(reads: DataFrame) -> DataFrame:
     upper = ~F.col("legacy_mm") if "legacy_mm" in reads.columns else F.lit(True)
-    flags = reads.select(
+    return reads.select(
         "ord", F.lit(True).alias("sampled"), (F.col("mm").isNotNull() & upper).alias("mm"),
         (F.col("ml").isNotNull() & upper).alias("ml"), F.col("hp_value").isNotNull().alias("hp"),
         F.col("ps").isNotNull().alias("ps"),
     )
-    return flags.orderBy("ord").limit(SAMPLE_SIZE).agg(
-        *[F.count_if(c).alias(c) for c in ("sampled", "mm", "ml", "hp", "ps")]
-    )
+
+
+def is_thinned(place: Column, key: Column) -> Column:
+    """Whether the haplotype sample takes the record at ``place`` (from 1): a hash of ``key`` draws it."""
+    return (place <= WHOLE_HEAD) | (F.pmod(F.xxhash64(key), F.lit(THINNING)) == 0)
 
 
 def tag_report(reads: DataFrame) -> TagReport:
-    return TagReport(*tag_counts(reads).first())
+    """Both samples in one pass over the reads; windows run over HEAD_SIZE rows at most."""
+    head = _tag_flags(reads).orderBy("ord").limit(HEAD_SIZE)
+    in_order = Window.orderBy("ord")
+    placed = head.withColumn("_place", F.row_number().over(in_order))
+    taken = placed.withColumn("_taken", is_thinned(F.col("_place"), F.col("ord")))
+    so_far = F.sum(F.col("_taken").cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = F.col("_place") <= SAMPLE_SIZE
+    thinned = F.col("_taken") & (F.col("_so_far") <= SAMPLE_SIZE)
+    row = taken.withColumn("_so_far", so_far).agg(
+        *[F.count_if(first & F.col(c)).alias(c) for c in ("sampled", "mm", "ml", "hp", "ps")],
+        *[F.count_if(thinned & F.col(c)).alias(f"thinned_{c}") for c in ("sampled", "hp", "ps")],
+    ).first()
+    return TagReport(*row)
 
 
 def samples_union(**samples: DataFrame) -> DataFrame:

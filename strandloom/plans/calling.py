@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.config import RunConfig
 from strandloom.operators.extract import methylation_sites, window_tiles
-from strandloom.operators.reads import SAMPLE_SIZE, samples_union, tag_report
+from strandloom.operators.reads import HEAD_SIZE, samples_union, tag_report
 from strandloom.operators.summary import level3_statistics
 from strandloom.operators.variants import variants_from_records
 from strandloom.plans.analyze import analyze
@@ -42,7 +42,7 @@ def load_samples(
     for name, path in (("tumor", config.tumor_bam), ("normal", config.normal_bam)):
         if not path or path == "-":
             continue
-        tags = tag_report(read_alignments(spark, path, sample=name, head=SAMPLE_SIZE))
+        tags = tag_report(read_alignments(spark, path, sample=name, head=HEAD_SIZE))
         log.info("%s: %s", name, tags)
         if tags.has_methylation:
             samples[name] = read_alignments(spark, path, sample=name, tiles=tiles)

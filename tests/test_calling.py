@@ -179,6 +179,25 @@ def test_legacy_tags(spark, tmp_path):
     assert R.tag_report(read_rows(spark, READ_A)).has_methylation
 
 
+def test_haplotype_sample_is_thinned_after_its_head(spark):
+    def rows(n, tagged):
+        return spark.range(n, numPartitions=4).select(
+            F.col("id").alias("ord"), F.lit("C+m,0;").alias("mm"), F.lit(None).cast("string").alias("ml"),
+            F.when(F.expr(tagged), 1).alias("hp_value"), F.lit(7).alias("ps"))
+
+    drawn = [r[0] for r in spark.range(2000).where(
+        R.is_thinned(F.col("id") + 1, F.col("id"))).orderBy("id").limit(100).collect()]
+    assert drawn[:11] == list(range(11)) and 200 < drawn[-1] < 400
+    report = R.tag_report(rows(2000, "id % 2 = 0"))
+    assert (report.sampled, report.mm, report.ml, report.hp, report.ps) == (100, 100, 0, 50, 100)
+    assert (report.thinned, report.thinned_ps) == (100, 100)
+    assert report.thinned_hp == sum(i % 2 == 0 for i in drawn)
+    late = R.tag_report(rows(2000, f"id = {drawn[-1]}"))
+    assert late.hp == 0 and late.has_haplotypes
+    assert R.tag_report(rows(5, "false")) == R.TagReport(5, 5, 0, 0, 5, 5, 0, 5)
+    assert R.tag_report(rows(0, "true")).sampled == 0
+
+
 def lines_of(path):
     lines = []
     for name in sorted(glob.glob(f"{path}/part-*")):
