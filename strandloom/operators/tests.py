@@ -50,6 +50,7 @@ def stat_tests(df: DataFrame, features: list[str], alpha: float = 0.05) -> DataF
     tested = with_effect_sizes(with_welch(label_moments(df, features))).withColumn(
         "p_val", N.t_two_sided_p("t_stat", "t_df")
     )
+    # Names of the result columns.
     return tested.select(
         "feature", F.col("tp_mean").alias("TP_mean"), F.col("fp_mean").alias("FP_mean"),
         "t_stat", "p_val", F.col("d_simple").alias("cohen_d"),
