@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandloom.functions import numeric as N
 from strandloom.operators.balance import attach_by_key
 from strandloom.operators.describe import unpivoted, wide_aggregate
+from strandloom.operators.quantiles import running_totals
 from strandloom.session import materialize
 
 
@@ -96,29 +93,74 @@ def feature_tests(
 
 # --- bootstrap ---------------------------------------------------------------------------------
 
-VALUES_PER_PART = 4096
+VALUES_PER_PART = 131_072
 FANOUT = 1024
-COPIES = 4
+CHUNK = 65_536  # draws of one stream
+DRAWS_PER_TASK = 50_000_000
+SLICES = 8  # tasks that share the redraws of a part
+LANES = 4
+BITS = 0x7FFFFFFF
+TOLERANCE = 1e-12  # of the largest absolute value: the gap and a redraw that equals it differ by rounding
+
 
+def streams(nodes: DataFrame, level: int, one: Column, seed: int = 0) -> DataFrame:
+    """Cut the ``number`` draws of each node into chunks, with two keys of 31 bits (``k1``, ``k2``) each.
 
-def _generator(seed: int, *names) -> np.random.Generator:
-    return np.random.default_rng([seed, *[zlib.crc32(str(n).encode()) for n in names]])
+    The keys come from the MD5 of the seed, the level, the node (``stream``, ``start``, ``side``, ``redraw``) and the
+    chunk, so draws are a function of their counter and the same in each run of a task. A node with ``one`` has a
+    single stream, of one step that counts for all its draws.
+    """
+    chunked = nodes.where(F.col("number") > 0).withColumn("one", one).withColumn("chunk", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.when(F.col("one"), F.lit(0)).otherwise(
+            F.floor((F.col("number") - 1) / CHUNK)))
+    ))
+    text = F.concat_ws("|", F.lit(f"{seed}|{level}"), *[
+        F.col(c).cast("string") for c in ("stream", "start", "side", "redraw", "chunk")])
+    bits = lambda at: F.conv(F.substring("md5", at, 8), 16, 10).cast("long").bitwiseAND(BITS)
+    rest = F.least(F.lit(CHUNK), F.col("number") - F.col("chunk") * CHUNK)
+    return chunked.withColumn("md5", F.md5(text)).select(
+        *nodes.columns, bits(1).alias("k1"), bits(9).alias("k2"),
+        F.when(F.col("one"), F.lit(1)).otherwise(rest).cast("long").alias("steps"),
+        F.when(F.col("one"), F.col("number")).otherwise(F.lit(1)).alias("times"),
+    )
 
 
-def _sums_of_draws(
-    rng: np.random.Generator, level: np.ndarray, weight: np.ndarray, number: np.ndarray
-) -> np.ndarray:
-    """Sum of ``number[i]`` values drawn with replacement, for each i; a value counts by its weight.
+def places(chunks: DataFrame, *kept: str, lanes: int = 1) -> DataFrame:
+    """Places from ``start`` up to ``stop`` for the steps of the chunks, each of which counts ``times``.
 
-    Where values hardly repeat, the draws themselves are cheaper than a count of draws for each value.
+    A row has ``lanes`` steps in turn, as ``place0`` and so on, NULL after the last step. The counter is mixed with the
+    two keys. The mixing steps stand in projections of their own, so that each is evaluated once.
     """
-    room = COPIES * len(level)
-    if weight.sum() > room or number.sum() > room * len(number):
-        return rng.multinomial(number, weight / weight.sum()) @ level
-    copies = np.repeat(level, weight)
-    drawn = np.concatenate([[0.0], np.cumsum(copies[rng.integers(0, len(copies), number.sum())])])
-    ends = np.cumsum(number)
-    return drawn[ends] - drawn[ends - number]
+    every = range(lanes)
+    counter = [F.col("_row") * lanes + i for i in every]
+    mixed = chunks.withColumn("_row", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.floor((F.col("steps") - 1) / lanes)))).withColumns({
+        **{f"_in{i}": counter[i] < F.col("steps") for i in every}, **{f"_x{i}": counter[i] for i in every}})
+    shifted = lambda x, by: x.bitwiseXOR(F.shiftright(x, by))
+    times = lambda value, by: (value * F.lit(by).cast("long")).bitwiseAND(BITS)
+    for step in (
+        lambda x: times(x.bitwiseXOR(F.col("k1")), 0x7FEB352D), lambda x: shifted(x, 15),
+        lambda x: times(x + F.col("k2"), 0x2C1B3C6D), lambda x: shifted(x, 13),
+        lambda x: times(x, 0x297A2D39), lambda x: shifted(x, 16),
+    ):
+        mixed = mixed.withColumns({f"_x{i}": step(F.col(f"_x{i}")) for i in every})
+    width = (F.col("stop") - F.col("start")) / F.lit(BITS + 1.0)
+    return mixed.select(*kept, "times", *[
+        F.when(F.col(f"_in{i}"), F.col("start") + F.floor(F.col(f"_x{i}") * width)).alias(f"place{i}") for i in every])
+
+
+def _values_by_part(ranked: DataFrame) -> DataFrame:
+    """The values of each part in order, one entry per pooled row: at most VALUES_PER_PART entries."""
+    start, stop = F.col("first"), F.col("first") + F.col("weight")
+    part = lambda place: F.floor(place / VALUES_PER_PART)
+    low = F.greatest(start, F.col("part") * VALUES_PER_PART)
+    high = F.least(stop, (F.col("part") + 1) * VALUES_PER_PART)
+    runs = ranked.withColumn("part", F.explode(F.sequence(part(start), part(stop - 1)))).select(
+        "pool", "part", F.struct(low.alias("low"), "value", (high - low).cast("int").alias("rows")).alias("run"))
+    return runs.groupBy("pool", "part").agg(F.sort_array(F.collect_list("run")).alias("runs")).select(
+        "pool", "part", (F.size("runs") == 1).alias("is_one"),
+        F.flatten(F.transform("runs", lambda r: F.array_repeat(r["value"], r["rows"]))).alias("values"),
+    )
 
 
 def bootstrap_p(
@@ -127,97 +169,81 @@ def bootstrap_p(
     """Bootstrap p-value of the difference of means, per group and feature.
 
     Both sides are redrawn with replacement from the pooled values; the p-value is the share of
-    redraws with a difference at least as large as the observed one. The draw is a multinomial
-    over all pooled values, done in steps so that no task holds a whole group: first how many
-    draws fall to each part of the values, then the draws within each part. More than FANOUT parts are
-    drawn for as a tree of that fan-out, level by level. Values are counted beforehand, so equal values
-    cost one entry. Draws are seeded by group, feature, level and part and repeat when a task is run again.
+    redraws with a difference at least as large as the observed one. The pooled values have places in the
+    order of their size. Draws pick places, in steps, so that no task holds a whole group: first how many
+    fall to each of at most FANOUT ranges of places, then within each range, down to parts of
+    VALUES_PER_PART places, and last the values within each part. Only counts of draws shuffle. Ranges
+    of a single part, and parts of a single value, take all their draws at once.
     """
     key = [*by, "feature"]
     counted = materialize(unpivoted(df, [*by, "label"], features).groupBy(*key, "value").agg(
         F.count_if(F.col("label") == "TP").alias("tp"),
         F.count_if(F.col("label") == "FP").alias("fp"),
-    ), "value-counts")
+    ).select(
+        *key, "value", "tp", "fp", (F.col("tp") + F.col("fp")).alias("weight"),
+        F.struct(*key, "value").alias("order"),
+    ).where(F.col("weight") > 0), "value-counts")
+    placed = running_totals(counted, "order", ["weight"], descending=False).drop("order")
+    rows = F.col("tp_n") + F.col("fp_n")
+    name = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
     groups = materialize(
-        counted.groupBy(*key).agg(
-            F.count("*").alias("values"),
+        placed.groupBy(*key).agg(
+            F.min(F.col("cum_weight") - F.col("weight")).alias("base"),
             F.sum("tp").alias("tp_n"), F.sum("fp").alias("fp_n"),
             F.sum(F.col("value") * F.col("tp")).alias("tp_sum"),
             F.sum(F.col("value") * F.col("fp")).alias("fp_sum"),
+            F.max(F.abs("value")).alias("scale"),
         )
         .where((F.col("tp_n") >= 2) & (F.col("fp_n") >= 2))
         .select(
-            *key, "values", "tp_n", "fp_n",
-            F.abs(F.col("tp_sum") / F.col("tp_n") - F.col("fp_sum") / F.col("fp_n")).alias("gap"),
-            F.ceil(F.col("values") / VALUES_PER_PART).alias("parts"),
+            *key, "base", "tp_n", "fp_n", rows.alias("rows"),
+            F.monotonically_increasing_id().alias("pool"),
+            F.conv(F.substring(name, 1, 15), 16, 10).cast("long").alias("stream"),
+            (F.abs(F.col("tp_sum") / F.col("tp_n") - F.col("fp_sum") / F.col("fp_n"))
+             - TOLERANCE * F.col("scale")).alias("gap"),
         ), "value-groups",
     )
-    parts = attach_by_key(
-        counted, groups.select(*key, "values", "parts"), key, "values", ["value"]
-    ).where(F.col("parts").isNotNull()).select(
-        *key, F.pmod(F.xxhash64("value"), "parts").alias("part"),
-        "value", (F.col("tp") + F.col("fp")).alias("weight"),
-    )
-    sizes = parts.groupBy(*key, "part").agg(F.sum("weight").alias("weight"))
-    key_fields = ", ".join(f"`{c}` string" for c in key)
-
-    def share_draws(level: int):
-        def run(children: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
-            """Draws per child, for one parent with at most FANOUT children."""
-            children = children.sort_values("part")
-            names = children[key].iloc[0].tolist()
-            rng = _generator(seed, *names, "shares", level, int(children["parent"].iloc[0]))
-            share = children["weight"].to_numpy(dtype=float)
-            share /= share.sum()
-            out = children[[*key, "part"]].copy()
-            for side in ("tp_draws", "fp_draws"):
-                number = np.asarray(draws[side].iloc[0], dtype=np.int64)
-                out[side] = list(rng.multinomial(number, share).T)
-            return out
-
-        return run
-
-    def draw_sums(values: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
-        """Sums of the drawn values of one part, for each redraw."""
-        values = values.sort_values("value")
-        names = values[key].iloc[0].tolist()
-        rng = _generator(seed, *names, int(values["part"].iloc[0]))
-        weight = values["weight"].to_numpy(dtype=np.int64)
-        level = values["value"].to_numpy(dtype=float)
-        out = draws[[*key]].copy()
-        for side in ("tp", "fp"):
-            number = np.asarray(draws[f"{side}_draws"].iloc[0], dtype=np.int64)
-            out[f"{side}_sums"] = [_sums_of_draws(rng, level, weight, number)]
-        return out
-
-    levels, most = 1, groups.agg(F.max("parts")).first()[0] or 1
-    while FANOUT**levels < most:
-        levels += 1
-    shares = groups.select(*key, F.lit(0).cast("long").alias("part"), *[
-        F.array_repeat(F.col(f"{side}_n"), n_boot).alias(f"{side}_draws") for side in ("tp", "fp")
-    ])
-    for level in reversed(range(levels)):
-        children = sizes.groupBy(*key, F.floor(F.col("part") / FANOUT**level).alias("part")).agg(
-            F.sum("weight").alias("weight")
-        ).withColumn("parent", F.floor(F.col("part") / FANOUT))
-        shares = (
-            children.groupBy(*key, "parent")
-            .cogroup(shares.withColumnRenamed("part", "parent").groupBy(*key, "parent"))
-            .applyInPandas(
-                share_draws(level),
-                f"{key_fields}, part long, tp_draws array<long>, fp_draws array<long>",
-            )
+    most, total = groups.agg(F.coalesce(F.max("rows"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-total * n_boot // DRAWS_PER_TASK))
+    spans = [VALUES_PER_PART]
+    while spans[-1] * FANOUT < most:
+        spans.append(spans[-1] * FANOUT)
+
+    nodes = groups.select(
+        "pool", "stream", "rows", F.lit(0).cast("long").alias("start"), F.col("rows").alias("stop"),
+        F.posexplode(F.array("tp_n", "fp_n")).alias("side", "number"),
+    ).withColumn("redraw", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    node = ["pool", "side", "redraw"]
+    for span in reversed(spans):
+        within = F.floor(F.col("start") / span) == F.floor((F.col("stop") - 1) / span)
+        # An explicit number of tasks: the chunks are few and small, but each stands for many draws.
+        chunks = streams(nodes, span, within, seed).repartition(tasks, "k1", "k2")
+        nodes = (
+            places(chunks, *node, "stream", "rows")
+            .groupBy(*node, F.floor(F.col("place0") / span).alias("part"))
+            .agg(F.sum("times").alias("number"), F.max("stream").alias("stream"), F.max("rows").alias("rows"))
+            .withColumns({
+                "start": F.col("part") * span, "stop": F.least("rows", (F.col("part") + 1) * span),
+            })
         )
-    sums = parts.groupBy(*key, "part").cogroup(shares.groupBy(*key, "part")).applyInPandas(
-        draw_sums, f"{key_fields}, tp_sums array<double>, fp_sums array<double>"
-    )
-    redraws = (
-        sums.select(*key, F.posexplode(F.arrays_zip("tp_sums", "fp_sums")).alias("redraw", "s"))
-        .groupBy(*key, "redraw")
-        .agg(F.sum("s.tp_sums").alias("tp"), F.sum("s.fp_sums").alias("fp"))
-    )
+    ranked = attach_by_key(placed, groups.select(*key, "pool", "rows", "base"), key, "rows", ["value"]).where(
+        F.col("base").isNotNull()
+    ).withColumn("first", F.col("cum_weight") - F.col("weight") - F.col("base"))
+    place = ["pool", "part", "slice"]
+    values = _values_by_part(ranked)
+    whole = values.select("pool", "part", "is_one")
+    chunks = streams(nodes.join(whole, ["pool", "part"]), 1, F.col("is_one"), seed).withColumn(
+        "slice", F.col("redraw") % SLICES).repartition(tasks, *place)
+    copies = values.drop("is_one").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    drawn = places(
+        chunks.join(copies.repartition(tasks, *place), place), *node, "values", "start", lanes=LANES)
+    value = lambda i: F.coalesce(F.get("values", (F.col(f"place{i}") - F.col("start")).cast("int")), F.lit(0.0))
+    sums = drawn.groupBy(*node).agg(
+        F.sum(sum((value(i) for i in range(1, LANES)), value(0)) * F.col("times")).alias("drawn"))
+    redraws = sums.groupBy("pool", "redraw").agg(*[
+        F.sum(F.when(F.col("side") == i, F.col("drawn"))).alias(side) for i, side in enumerate(("tp", "fp"))])
     return (
-        redraws.join(groups, key)
+        redraws.join(groups, "pool")
         .groupBy(*key)
         .agg((F.count_if(
             F.abs(F.col("tp") / F.col("tp_n") - F.col("fp") / F.col("fp_n")) >= F.col("gap")

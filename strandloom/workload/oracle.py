@@ -1,7 +1,7 @@
 """Comparison SQL for DuckDB, one statement per registered query.
 
 Written from the definitions, on its own: it shares the input views with the Spark side and
-nothing else. Redraws and model fits have no SQL. The tail of the t distribution is an integral, taken
+nothing else. Redraws take the same numbered draws. The tail of the t distribution is an integral, taken
 here by Simpson's rule.
 """
 
@@ -501,6 +501,74 @@ SELECT DISTINCT chrom, somatic_pos, variant_type, vcf_source_id, strand,
   upper(vcf_source_id) AS label FROM sites
 """, "sites")
 
+
+def _drawn(source: str, level: int, one: str) -> str:
+    """Places drawn from ``source`` (gid, start, stop, side, redraw, number), one row per draw or per ``one``."""
+    return f"""
+SELECT *, start + CAST(floor(xor(e, e >> 16) * ((stop - start) / 2147483648e0)) AS BIGINT) AS place,
+  CASE WHEN one THEN number ELSE 1 END AS times FROM (
+SELECT *, (xor(c, c >> 13) * 695872825) & 2147483647 AS e FROM (
+SELECT *, ((xor(a, a >> 15) + k2) * 739982445) & 2147483647 AS c FROM (
+SELECT *, (xor(j, k1) * 2146121005) & 2147483647 AS a FROM (
+SELECT *, unnest(range(CASE WHEN one THEN 1 ELSE least(65536, number - chunk * 65536) END)) AS j FROM (
+SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) & 2147483647 AS k1,
+  CAST('0x' || substr(h, 9, 8) AS BIGINT) & 2147483647 AS k2 FROM (
+SELECT *, md5('1|{level}|' || concat_ws('|', stream, start, side, redraw, chunk)) AS h FROM (
+SELECT *, {one} AS one, unnest(range(CASE WHEN {one} THEN 1 ELSE (number + 65535) // 65536 END)) AS chunk
+FROM {source} WHERE number > 0)))))))"""
+
+
+def _redraws(column: str) -> list[tuple[str, str, tuple[str, ...]]]:
+    """Bootstrap steps by one grouping column: ranges of 131,072 places (up to 1024 of them), then places."""
+    c = column
+    return [
+        (f"pool_{c}", f"""
+SELECT {c} AS name, feature, label, value,
+  row_number() OVER (PARTITION BY {c}, feature ORDER BY value) - 1 AS place
+FROM long WHERE {c} IS NOT NULL""", ("long",)),
+        (f"pools_{c}", f"""
+SELECT *, row_number() OVER () AS gid, n1 + n2 AS n,
+  CAST('0x' || substr(md5(name || '|' || feature), 1, 15) AS BIGINT) AS stream FROM (
+  SELECT name, feature, count(*) FILTER (label = 'TP') AS n1, count(*) FILTER (label = 'FP') AS n2,
+    abs(avg(value) FILTER (label = 'TP') - avg(value) FILTER (label = 'FP')) - 1e-12 * max(abs(value)) AS gap
+  FROM pool_{c} GROUP BY ALL) WHERE n1 >= 2 AND n2 >= 2""", (f"pool_{c}",)),
+        (f"roots_{c}", f"""
+SELECT gid, stream, n, 0 AS start, n AS stop, side, redraw, CASE side WHEN 0 THEN n1 ELSE n2 END AS number
+FROM pools_{c}, (VALUES (0), (1)) s(side), range(1000) b(redraw)""", (f"pools_{c}",)),
+        (f"ranges_{c}", f"""
+SELECT gid, stream, n, side, redraw, place // 131072 * 131072 AS start,
+  least(n, start + 131072) AS stop, CAST(sum(times) AS BIGINT) AS number
+FROM ({_drawn(f"roots_{c}", 131072, "stop <= 131072")}) GROUP BY ALL""", (f"roots_{c}",)),
+        (f"boot_{c}", f"""
+SELECT name, feature, count(*) FILTER (abs(tp / n1 - fp / n2) >= gap) / 1000e0 AS p_boot FROM (
+  SELECT gid, redraw, sum(value) FILTER (side = 0) AS tp, sum(value) FILTER (side = 1) AS fp
+  FROM ({_drawn(f"ranges_{c}", 1, "false")}) d
+  JOIN (SELECT gid, p.place, p.value FROM pool_{c} p JOIN pools_{c} g USING (name, feature)) v USING (gid, place)
+  GROUP BY gid, redraw) JOIN pools_{c} USING (gid)
+GROUP BY name, feature""", (f"ranges_{c}", f"pool_{c}", f"pools_{c}")),
+    ]
+
+
+for _column in ("variant_type", "haplotype_tag"):
+    for _name, _sql, _needs in _redraws(_column):
+        _step(_name, _sql, *_needs)
+_step("tag_moments", _moments("haplotype_tag,"), "long")
+_oracle("bootstrap_p", 'SELECT name AS "group", feature, p_boot FROM boot_variant_type', "boot_variant_type")
+_oracle("feature_stats", f"""
+SELECT name AS "group", feature, {_r('t')} AS t_stat, {_r('p')} AS p_val, p_boot, {_r('d')} AS cohens_d,
+  {_r('least(p * count(*) OVER (), 1)')} AS p_adj
+FROM (
+  SELECT name, feature, t, d, greatest(0, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2))
+    / sqrt(pi()) * atan(abs(t) / sqrt(df)) / 6000 * sum(
+      CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+      * pow(cos(i / 2000 * atan(abs(t) / sqrt(df))), df - 1))) AS p
+  FROM (SELECT haplotype_tag AS name, feature, {_T} AS t, {_DF} AS df, {_D2} AS d
+    FROM tag_moments WHERE n1 >= 2 AND n2 >= 2 AND haplotype_tag IS NOT NULL)
+  CROSS JOIN range(0, 2001) s(i)
+  GROUP BY name, feature, t, df, d)
+JOIN boot_haplotype_tag USING (name, feature)
+""", "tag_moments", "boot_haplotype_tag")
+
 _step("standardized", "SELECT label, {key}, {cols} FROM features CROSS JOIN ({stats})".format(
     key=_KEY,
     cols=", ".join(f"(coalesce({f}, {f}_med) - {f}_avg) / {f}_sd AS {f}" for f in _FEATURES),

@@ -335,7 +335,8 @@ def bootstrap_p(spark, d):
 
 @query
 def feature_stats(spark, d):
-    return T.feature_tests(stored_features(spark, d), FEATURES, "haplotype_tag", seed=1)
+    tested = T.feature_tests(stored_features(spark, d), FEATURES, "haplotype_tag", seed=1)
+    return rounded(tested, "t_stat", "p_val", "cohens_d", "p_adj")
 
 
 @query

@@ -166,15 +166,30 @@ def test_bootstrap_near_a_plain_one(spark, monkeypatch):
     assert run(1) == first
 
 
-@pytest.mark.parametrize("weight", [1, 2, 50])
-def test_sums_of_draws(weight):
-    """Mean and variance of the sums, on either way of drawing."""
-    rng = np.random.default_rng(2)
-    level, number = rng.normal(3, 2, 40), np.array([0] + [30] * 20000 + [0])
-    sums = T._sums_of_draws(rng, level, np.full(40, weight), number)
-    assert sums[0] == sums[-1] == 0 and len(sums) == len(number)
-    assert near(sums[1:-1].mean(), 30 * level.mean(), 0.4)
-    assert near(sums[1:-1].var() / (30 * level.var()), 1, 0.06)
+@pytest.mark.parametrize("number", [30, 70_000])
+def test_draws_are_uniform(spark, number):
+    """Counts of places as far from equal as chance has them, and streams without relation."""
+    rows = spark.range(2000 if number == 30 else 4).selectExpr(
+        "id AS redraw", "0 AS side", "7L AS stream", "5L AS start", "45L AS stop", f"{number}L AS number")
+    drawn = lambda rows: T.places(T.streams(rows, 1, F.lit(False), 3), "redraw").groupBy(
+        "redraw", F.col("place0").alias("place")).count().toPandas()
+    out = drawn(rows)
+    table = out.pivot(index="redraw", columns="place", values="count").fillna(0).to_numpy()
+    assert table.shape[1] == 40 and (table.sum(1) == number).all()
+    expected = number / 40
+    assert near(((table - expected) ** 2 / expected).sum() / (table.shape[0] * 39), 1, 0.3 if number > 30 else 0.03)
+    total = table.sum(0)
+    assert ((total - total.mean()) ** 2 / total.mean()).sum() < 75
+    again = drawn(rows.repartition(3))
+    order = ["redraw", "place"]
+    assert out.sort_values(order).values.tolist() == again.sort_values(order).values.tolist()
+
+
+def test_single_values_need_no_draws(spark):
+    df = labelled(spark, [1] * 40 + [2], [1] * 40).withColumn("g", F.lit("a"))
+    same = labelled(spark, [0.1] * 30, [0.1] * 47).withColumn("g", F.lit("b"))
+    got = {r["g"]: r["p_boot"] for r in T.bootstrap_p(df.union(same), ["x"], ["g"], n_boot=500).collect()}
+    assert got["b"] == 1.0 and 0.3 < got["a"] < 1.0
 
 
 def test_bootstrap_over_a_tree_of_parts(spark, monkeypatch):
