@@ -537,7 +537,7 @@ SELECT gid, stream, n, 0 AS start, n AS stop, side, redraw, CASE side WHEN 0 THE
 FROM pools_{c}, (VALUES (0), (1)) s(side), range(1000) b(redraw)""", (f"pools_{c}",)),
         (f"ranges_{c}", f"""
 SELECT gid, stream, n, side, redraw, place // 131072 * 131072 AS start,
-  least(n, start + 131072) AS stop, CAST(sum(times) AS BIGINT) AS number
+  least(n, place // 131072 * 131072 + 131072) AS stop, CAST(sum(times) AS BIGINT) AS number
 FROM ({_drawn(f"roots_{c}", 131072, "stop <= 131072")}) GROUP BY ALL""", (f"roots_{c}",)),
         (f"boot_{c}", f"""
 SELECT name, feature, count(*) FILTER (abs(tp / n1 - fp / n2) >= gap) / 1000e0 AS p_boot FROM (
