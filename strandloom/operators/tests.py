@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as Y
 
 from strandloom.functions import numeric as N
 from strandloom.operators.balance import attach_by_key
@@ -96,9 +101,9 @@ def feature_tests(
 VALUES_PER_PART = 131_072
 FANOUT = 1024
 CHUNK = 65_536  # draws of one stream
-DRAWS_PER_TASK = 50_000_000
-SLICES = 8  # tasks that share the redraws of a part
-LANES = 4
+DRAWS_PER_TASK = 200_000_000
+SLICES = 8  # groups that share the redraws of a full part
+RUN = 65_536  # draws, ranges or rows that a worker has in hand
 BITS = 0x7FFFFFFF
 TOLERANCE = 1e-12  # of the largest absolute value: the gap and a redraw that equals it differ by rounding
 
@@ -125,28 +130,107 @@ def streams(nodes: DataFrame, level: int, one: Column, seed: int = 0) -> DataFra
     )
 
 
-def places(chunks: DataFrame, *kept: str, lanes: int = 1) -> DataFrame:
-    """Places from ``start`` up to ``stop`` for the steps of the chunks, each of which counts ``times``.
+def _each(values: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The value of its chunk for each step; that of a single chunk serves all of them as it is."""
+    return values if len(steps) == 1 else np.repeat(values, steps)
+
+
+def _places(k1: np.ndarray, k2: np.ndarray, start: np.ndarray, stop: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Places of the steps of all chunks: the counter of a step is mixed with the two keys of its chunk.
 
-    A row has ``lanes`` steps in turn, as ``place0`` and so on, NULL after the last step. The counter is mixed with the
-    two keys. The mixing steps stand in projections of their own, so that each is evaluated once.
+    In 4 bytes without sign a product wraps, which leaves the 31 bits that are kept as they are.
     """
-    every = range(lanes)
-    counter = [F.col("_row") * lanes + i for i in every]
-    mixed = chunks.withColumn("_row", F.explode(
-        F.sequence(F.lit(0).cast("long"), F.floor((F.col("steps") - 1) / lanes)))).withColumns({
-        **{f"_in{i}": counter[i] < F.col("steps") for i in every}, **{f"_x{i}": counter[i] for i in every}})
-    shifted = lambda x, by: x.bitwiseXOR(F.shiftright(x, by))
-    times = lambda value, by: (value * F.lit(by).cast("long")).bitwiseAND(BITS)
-    for step in (
-        lambda x: times(x.bitwiseXOR(F.col("k1")), 0x7FEB352D), lambda x: shifted(x, 15),
-        lambda x: times(x + F.col("k2"), 0x2C1B3C6D), lambda x: shifted(x, 13),
-        lambda x: times(x, 0x297A2D39), lambda x: shifted(x, 16),
-    ):
-        mixed = mixed.withColumns({f"_x{i}": step(F.col(f"_x{i}")) for i in every})
-    width = (F.col("stop") - F.col("start")) / F.lit(BITS + 1.0)
-    return mixed.select(*kept, "times", *[
-        F.when(F.col(f"_in{i}"), F.col("start") + F.floor(F.col(f"_x{i}") * width)).alias(f"place{i}") for i in every])
+    short = lambda values: _each(values.astype(np.uint32), steps)
+    bits = np.uint32(BITS)
+    x = np.arange(steps.sum(), dtype=np.uint32)
+    if len(steps) > 1:
+        x -= short(np.cumsum(steps) - steps)
+    x ^= short(k1)
+    x *= np.uint32(0x7FEB352D)
+    x &= bits
+    x ^= x >> np.uint32(15)
+    x += short(k2)
+    x *= np.uint32(0x2C1B3C6D)
+    x &= bits
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0x297A2D39)
+    x &= bits
+    x ^= x >> np.uint32(16)
+    return _each(start, steps) + (x * _each((stop - start) / (BITS + 1.0), steps)).astype(np.int64)
+
+
+def _arrays(chunks: pa.Table, *names: str) -> list[np.ndarray]:
+    return [chunks.column(c).to_numpy() for c in names]
+
+
+def _runs(chunks: pa.Table, weight: np.ndarray) -> Iterator[pa.Table]:
+    """The chunks in turn, as many at a time as weigh about RUN."""
+    before = np.cumsum(weight) - weight
+    cuts = [0, *(np.flatnonzero(np.diff(before // RUN)) + 1), chunks.num_rows]
+    for low, high in zip(cuts, cuts[1:]):
+        yield chunks.slice(low, high - low)
+
+
+def _ranges(chunks: pa.Table, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunk, range of ``span`` places and number of draws there, for each range that a chunk draws from."""
+    start, stop, steps, times = _arrays(chunks, "start", "stop", "steps", "times")
+    low = start // span
+    width = (stop - 1) // span - low + 1
+    first = np.cumsum(width) - width
+    drawn = np.bincount(
+        _places(*_arrays(chunks, "k1", "k2"), start, stop, steps) // span + _each(first - low, steps))
+    hit = np.flatnonzero(drawn)
+    owner = np.searchsorted(first, hit, side="right") - 1
+    return owner, hit - first[owner] + low[owner], drawn[hit] * times[owner]
+
+
+def places(chunks: DataFrame, *kept: str, span: int | None = None) -> DataFrame:
+    """The draws of the chunks, as rows that count ``times`` each.
+
+    A row is a step and has its place from ``start`` up to ``stop`` as ``place0``. With a ``span`` it is a range of so
+    many places that a chunk draws from, with the number of the range as ``place0``.
+    """
+    schema = Y.StructType([*[chunks.schema[c] for c in kept], *[
+        Y.StructField(c, Y.LongType()) for c in ("times", "place0")]])
+
+    def rows(run: pa.Table) -> pa.Table:
+        if span is None:
+            k1, k2, start, stop, steps, times = _arrays(run, "k1", "k2", "start", "stop", "steps", "times")
+            owner, place = np.repeat(np.arange(len(steps)), steps), _places(k1, k2, start, stop, steps)
+            number = times[owner]
+        else:
+            owner, place, number = _ranges(run, span)
+        return run.select(list(kept)).take(owner).append_column("times", pa.array(number)).append_column(
+            "place0", pa.array(place))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = [], 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            start, stop, steps = _arrays(table, "start", "stop", "steps")
+            ranges = (stop - 1) // span - start // span + 1 if span else 0
+            for run in _runs(table, steps + ranges):
+                held.append(rows(run))
+                number += held[-1].num_rows
+                if number >= RUN:
+                    yield from pa.concat_tables(held).combine_chunks().to_batches()
+                    held, number = [], 0
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+    return chunks.mapInArrow(drawn, schema)
+
+
+def _sums(chunks: pa.Table, part: pa.Table) -> pa.Table:
+    """The sum of the values that each chunk draws from a part, whose values come as one row."""
+    sums = []
+    values = pc.list_flatten(part.column("values")).to_numpy()
+    for run in _runs(chunks, chunks.column("steps").to_numpy()) if chunks.num_rows else ():
+        k1, k2, start, stop, steps, times = _arrays(run, "k1", "k2", "start", "stop", "steps", "times")
+        drawn = values[_places(k1, k2, start - start, stop - start, steps)]
+        sums.append(np.add.reduceat(drawn, np.cumsum(steps) - steps) * times)
+    return chunks.select(["pool", "side", "redraw"]).append_column(
+        "drawn", pa.array(np.concatenate(sums) if sums else [], pa.float64()))
 
 
 def _values_by_part(ranked: DataFrame) -> DataFrame:
@@ -160,7 +244,7 @@ def _values_by_part(ranked: DataFrame) -> DataFrame:
     return runs.groupBy("pool", "part").agg(F.sort_array(F.collect_list("run")).alias("runs")).select(
         "pool", "part", (F.size("runs") == 1).alias("is_one"),
         F.flatten(F.transform("runs", lambda r: F.array_repeat(r["value"], r["rows"]))).alias("values"),
-    )
+    ).withColumn("slices", F.ceil(F.size("values") * SLICES / VALUES_PER_PART))
 
 
 def bootstrap_p(
@@ -219,8 +303,8 @@ def bootstrap_p(
         # An explicit number of tasks: the chunks are few and small, but each stands for many draws.
         chunks = streams(nodes, span, within, seed).repartition(tasks, "k1", "k2")
         nodes = (
-            places(chunks, *node, "stream", "rows")
-            .groupBy(*node, F.floor(F.col("place0") / span).alias("part"))
+            places(chunks, *node, "stream", "rows", span=span)
+            .groupBy(*node, F.col("place0").alias("part"))
             .agg(F.sum("times").alias("number"), F.max("stream").alias("stream"), F.max("rows").alias("rows"))
             .withColumns({
                 "start": F.col("part") * span, "stop": F.least("rows", (F.col("part") + 1) * span),
@@ -231,15 +315,14 @@ def bootstrap_p(
     ).withColumn("first", F.col("cum_weight") - F.col("weight") - F.col("base"))
     place = ["pool", "part", "slice"]
     values = _values_by_part(ranked)
-    whole = values.select("pool", "part", "is_one")
+    whole = values.select("pool", "part", "is_one", "slices")
     chunks = streams(nodes.join(whole, ["pool", "part"]), 1, F.col("is_one"), seed).withColumn(
-        "slice", F.col("redraw") % SLICES).repartition(tasks, *place)
-    copies = values.drop("is_one").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    drawn = places(
-        chunks.join(copies.repartition(tasks, *place), place), *node, "values", "start", lanes=LANES)
-    value = lambda i: F.coalesce(F.get("values", (F.col(f"place{i}") - F.col("start")).cast("int")), F.lit(0.0))
-    sums = drawn.groupBy(*node).agg(
-        F.sum(sum((value(i) for i in range(1, LANES)), value(0)) * F.col("times")).alias("drawn"))
+        "slice", F.col("redraw") % F.col("slices")).repartition(tasks, *place)
+    copies = values.select("pool", "part", "values", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")).repartition(tasks, *place)
+    drawn = chunks.groupBy(*place).cogroup(copies.groupBy(*place)).applyInArrow(
+        _sums, Y.StructType([*[chunks.schema[c] for c in node], Y.StructField("drawn", Y.DoubleType())]))
+    sums = drawn.groupBy(*node).agg(F.sum("drawn").alias("drawn"))
     redraws = sums.groupBy("pool", "redraw").agg(*[
         F.sum(F.when(F.col("side") == i, F.col("drawn"))).alias(side) for i, side in enumerate(("tp", "fp"))])
     return (

@@ -185,6 +185,34 @@ def test_draws_are_uniform(spark, number):
     assert out.sort_values(order).values.tolist() == again.sort_values(order).values.tolist()
 
 
+def mixed(step, k1, k2):
+    """The mix of a counter with two keys in whole numbers, as the SQL states it."""
+    a = ((step ^ k1) * 2146121005) & 2147483647
+    c = (((a ^ (a >> 15)) + k2) * 739982445) & 2147483647
+    e = ((c ^ (c >> 13)) * 695872825) & 2147483647
+    return e ^ (e >> 16)
+
+
+@pytest.mark.parametrize("run", [65_536, 40])
+def test_draws_of_a_chunk_are_those_of_its_counter(spark, monkeypatch, run):
+    """By step and by range, for long and short chunks together, whatever a worker has in hand at once."""
+    monkeypatch.setattr(T, "RUN", run)
+    chunks = [(0, 2**31 - 1, 2**31 - 1, 0, 131_072, 500, 1), (1, 5, 2**30, 131_072, 131_073, 1, 9_000_000_000),
+              (2, 123_456_789, 987_654_321, 10**12, 10**12 + 3_000_000, 300, 1), (3, 0, 0, 70, 75, 1, 1),
+              (4, 2**31 - 1, 0, 100_000, 2**27, 700, 1)]
+    df = spark.createDataFrame(
+        chunks, "redraw int, k1 long, k2 long, start long, stop long, steps long, times long").coalesce(1)
+    want = [(r, start + math.floor(mixed(i, k1, k2) * ((stop - start) / 2**31)), times)
+            for r, k1, k2, start, stop, steps, times in chunks for i in range(steps)]
+    got = T.places(df, "redraw").select("redraw", "place0", "times").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    ranges = {}
+    for r, place, times in want:
+        ranges[r, place // 1000] = ranges.get((r, place // 1000), 0) + times
+    got = T.places(df, "redraw", span=1000).select("redraw", "place0", "times").collect()
+    assert sorted(map(tuple, got)) == sorted((*key, n) for key, n in ranges.items())
+
+
 def test_single_values_need_no_draws(spark):
     df = labelled(spark, [1] * 40 + [2], [1] * 40).withColumn("g", F.lit("a"))
     same = labelled(spark, [0.1] * 30, [0.1] * 47).withColumn("g", F.lit("b"))
