@@ -128,6 +128,17 @@ def test_fixed_point_ties_round_to_even(spark):
     assert got == [f"{v:.4f}" for v in (0.03125, 0.09375, 0.5, 1.0, 0.6666666865348816)]
 
 
+def test_fixed_point_text_is_that_of_c(spark):
+    values = [-0.00003, -0.0, 0.0, -0.5, 0.12345, -0.12345, 0.00005, 0.03125, 0.09375, 0.99995, 1e15, -7.0]
+    values += [(-1) ** n * (n * 10 + 5) / 100_000 for n in range(0, 20_000, 3)]
+    values += [n / 32 for n in range(200)] + [n / 7919 - 1 for n in range(2000)]
+    for digits in (4, 6):
+        got = column(spark, [(v,) for v in values], "v double", N.fixed(F.col("v"), digits))
+        assert got == [f"{v:.{digits}f}" for v in values]
+    odd = column(spark, [(float("inf"),), (-float("inf"),), (None,)], "v double", N.fixed(F.col("v"), 4))
+    assert odd == ["Infinity", "-Infinity", None]
+
+
 def test_approximate_p(spark):
     def p(*values):
         row = spark.createDataFrame(

@@ -67,6 +67,16 @@ def test_level3(spark):
     ]
 
 
+def test_level3_report_keeps_the_sign_of_a_small_difference(spark):
+    rows = [("1", "tumor", "SNV", 0.50897, 0.50899, 0.50897 - 0.50899, 0.5, True)]
+    stats = spark.createDataFrame(rows, "haplotype_group string, bam_source string, variant_type_group string, "
+                                  "fp_mean_methylation double, tp_mean_methylation double, difference double, "
+                                  "p_value double, is_comparable boolean")
+    shown = reports.level3_text(stats).first()
+    assert shown["difference"] == f"{0.50897 - 0.50899:.4f}" == "-0.0000"
+    assert (shown["fp_mean_methylation"], shown["p_value"]) == ("0.5090", "0.500000")
+
+
 def test_level3_of_one_vcf_has_no_comparison(spark):
     stats = M.level3_statistics(l2(spark, ("1", "SNV", "only.v1", 0.25)))
     assert stats.columns == [
