@@ -102,6 +102,7 @@ VALUES_PER_PART = 131_072
 FANOUT = 1024
 CHUNK = 65_536  # draws of one stream
 DRAWS_PER_TASK = 200_000_000
+DRAWS_TOGETHER = 12_500_000  # draws of one node whose counts are put together before they shuffle
 SLICES = 8  # groups that share the redraws of a full part
 RUN = 65_536  # draws, ranges or rows that a worker has in hand
 BITS = 0x7FFFFFFF
@@ -222,13 +223,21 @@ def places(chunks: DataFrame, *kept: str, span: int | None = None) -> DataFrame:
 
 
 def _sums(chunks: pa.Table, part: pa.Table) -> pa.Table:
-    """The sum of the values that each chunk draws from a part, whose values come as one row."""
+    """The sum of the values that each chunk draws from a part, whose values come in order as one row.
+
+    A part of a single value needs no draws. Chunks without a part, those of a group that is left out, give nothing.
+    """
     sums = []
     values = pc.list_flatten(part.column("values")).to_numpy()
+    if not len(values):
+        chunks = chunks.slice(0, 0)
     for run in _runs(chunks, chunks.column("steps").to_numpy()) if chunks.num_rows else ():
-        k1, k2, start, stop, steps, times = _arrays(run, "k1", "k2", "start", "stop", "steps", "times")
+        k1, k2, start, stop, steps = _arrays(run, "k1", "k2", "start", "stop", "steps")
+        if values[0] == values[-1]:
+            sums.append(steps * values[0])
+            continue
         drawn = values[_places(k1, k2, start - start, stop - start, steps)]
-        sums.append(np.add.reduceat(drawn, np.cumsum(steps) - steps) * times)
+        sums.append(np.add.reduceat(drawn, np.cumsum(steps) - steps))
     return chunks.select(["pool", "side", "redraw"]).append_column(
         "drawn", pa.array(np.concatenate(sums) if sums else [], pa.float64()))
 
@@ -242,9 +251,12 @@ def _values_by_part(ranked: DataFrame) -> DataFrame:
     runs = ranked.withColumn("part", F.explode(F.sequence(part(start), part(stop - 1)))).select(
         "pool", "part", F.struct(low.alias("low"), "value", (high - low).cast("int").alias("rows")).alias("run"))
     return runs.groupBy("pool", "part").agg(F.sort_array(F.collect_list("run")).alias("runs")).select(
-        "pool", "part", (F.size("runs") == 1).alias("is_one"),
-        F.flatten(F.transform("runs", lambda r: F.array_repeat(r["value"], r["rows"]))).alias("values"),
-    ).withColumn("slices", F.ceil(F.size("values") * SLICES / VALUES_PER_PART))
+        "pool", "part", F.flatten(F.transform("runs", lambda r: F.array_repeat(r["value"], r["rows"]))).alias("values"))
+
+
+def _slices(rows: Column) -> Column:
+    """The number of groups that share the redraws of a part with so many pooled rows."""
+    return F.ceil(rows * SLICES / VALUES_PER_PART)
 
 
 def bootstrap_p(
@@ -257,7 +269,8 @@ def bootstrap_p(
     order of their size. Draws pick places, in steps, so that no task holds a whole group: first how many
     fall to each of at most FANOUT ranges of places, then within each range, down to parts of
     VALUES_PER_PART places, and last the values within each part. Only counts of draws shuffle. Ranges
-    of a single part, and parts of a single value, take all their draws at once.
+    of a single part, and parts of a single value, take all their draws at once. No join meets the counts of
+    draws: they and the values of a part come together by their key alone.
     """
     key = [*by, "feature"]
     counted = materialize(unpivoted(df, [*by, "label"], features).groupBy(*key, "value").agg(
@@ -300,8 +313,10 @@ def bootstrap_p(
     node = ["pool", "side", "redraw"]
     for span in reversed(spans):
         within = F.floor(F.col("start") / span) == F.floor((F.col("stop") - 1) / span)
-        # An explicit number of tasks: the chunks are few and small, but each stands for many draws.
-        chunks = streams(nodes, span, within, seed).repartition(tasks, "k1", "k2")
+        # An explicit number of tasks: the chunks are few and small, but each stands for many draws. Those of one
+        # node lie together, so that its counts are added up before they shuffle; a large node is dealt out by k1.
+        share = F.col("k1") % F.ceil(F.col("number") / DRAWS_TOGETHER)
+        chunks = streams(nodes, span, within, seed).repartition(tasks, *node, share)
         nodes = (
             places(chunks, *node, "stream", "rows", span=span)
             .groupBy(*node, F.col("place0").alias("part"))
@@ -314,12 +329,12 @@ def bootstrap_p(
         F.col("base").isNotNull()
     ).withColumn("first", F.col("cum_weight") - F.col("weight") - F.col("base"))
     place = ["pool", "part", "slice"]
-    values = _values_by_part(ranked)
-    whole = values.select("pool", "part", "is_one", "slices")
-    chunks = streams(nodes.join(whole, ["pool", "part"]), 1, F.col("is_one"), seed).withColumn(
-        "slice", F.col("redraw") % F.col("slices")).repartition(tasks, *place)
-    copies = values.select("pool", "part", "values", F.explode(
-        F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")).repartition(tasks, *place)
+    # A node tells the size of its part itself. A join would be planned by the few groups that the nodes, a row for
+    # each part and redraw, stem from, and would gather them on the driver to broadcast them.
+    chunks = streams(nodes, 1, F.lit(False), seed).withColumn(
+        "slice", F.col("redraw") % _slices(F.col("stop") - F.col("start"))).repartition(tasks, *place)
+    copies = _values_by_part(ranked).withColumn("slice", F.explode(
+        F.sequence(F.lit(0).cast("long"), _slices(F.size("values")) - 1))).repartition(tasks, *place)
     drawn = chunks.groupBy(*place).cogroup(copies.groupBy(*place)).applyInArrow(
         _sums, Y.StructType([*[chunks.schema[c] for c in node], Y.StructField("drawn", Y.DoubleType())]))
     sums = drawn.groupBy(*node).agg(F.sum("drawn").alias("drawn"))
